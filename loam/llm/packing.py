@@ -54,7 +54,10 @@ class ByteBPE(Merger):
             self.kind[[ord(c) for c in regex.findall(pattern, every)]] = kind
 
 
-tables = lru_cache(maxsize=2)(ByteBPE)
+@lru_cache(maxsize=2)
+def tables(path: str) -> ByteBPE:
+    """The tokenizer's tables, built once in each Python worker."""
+    return ByteBPE(path)
 
 
 def cuts(codes: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:

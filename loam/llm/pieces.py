@@ -169,7 +169,10 @@ class Pieces(Merger):
         return b"".join(ids), b"".join(back), n
 
 
-pieces = lru_cache(maxsize=2)(Pieces)
+@lru_cache(maxsize=2)
+def pieces(path: str) -> Pieces:
+    """The model's tables, built once in each Python worker."""
+    return Pieces(path)
 
 
 class Words:
