@@ -302,6 +302,7 @@ def pack(parts: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc_i
             filled[s] += n * times
             offset += n * s
         bins += times
+    names = parts.columns
     plan = spark.sparkContext.broadcast({s: np.array(x, np.int64) for s, x in slots.items()})
 
     def deal(batches):
@@ -313,7 +314,7 @@ def pack(parts: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc_i
                 own = x[np.searchsorted(x[:, 0], i[rows], "right") - 1]
                 at = i[rows] - own[:, 0]
                 sequence[rows], offset[rows] = own[:, 1] + at // own[:, 2], own[:, 3] + at % own[:, 2] * s
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in parts.columns), pa.array(sequence), pa.array(offset)], [*parts.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
     return numbered.mapInArrow(deal, f"{schema}, sequence_id long, offset long")
