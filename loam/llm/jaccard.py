@@ -120,16 +120,14 @@ def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
             head = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             width = np.diff(np.append(head, len(t)))
             hot = np.repeat(width > HOT, width)
-            if hot.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(hot.sum()), pa.int32()), pa.nulls(int(hot.sum()), pa.binary()), as_long(t[hot]), as_long(key[hot])], ["bucket", "packed", "token", "key"])
             # a hot token leaves one entry with key 0 behind, so that its other documents are known to share it
-            t, key = np.concatenate([t[~hot], t[head[width > HOT]]]), np.concatenate([key[~hot], np.zeros(int((width > HOT).sum()), U)])
-            bucket = (t % U(parts)).astype(np.int64)
+            bucket = np.concatenate([np.where(hot, parts + ((t + key) % U(parts)).astype(np.int64), (t % U(parts)).astype(np.int64)), (t[head[width > HOT]] % U(parts)).astype(np.int64)])
+            t, key = np.concatenate([t, t[head[width > HOT]]]), np.concatenate([key, np.zeros(int((width > HOT).sum()), U)])
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
+            cuts = np.searchsorted(bucket[order], np.arange(2 * parts + 1))
             full = np.flatnonzero(np.diff(cuts))
             blobs = [np.stack([t[o], key[o]]).tobytes() for o in (order[cuts[i] : cuts[i + 1]] for i in full)]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64())], ["bucket", "packed", "token", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "packed"])
 
         for batch in batches:
             for _, s in sets(batch.column("text"), k):
@@ -153,14 +151,11 @@ def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
         new[1:] = (t[1:] != t[:-1]) | (k2[1:] != k2[:-1])
         t, k2 = t[new], k2[new]
         width = np.diff(np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t)))
-        keep = np.repeat(width > 1, width) & (k2 != 0)
+        keep = np.repeat((width > 1) | (key[0].as_py() >= parts), width) & (k2 != 0)
         return pa.table({"token": as_long(t[keep]), "key": as_long(k2[keep])})
 
-    sent = docs.mapInArrow(emit, "bucket int, packed binary, token long, key long")
-    # the two branches read one exchange: hot rows have a null bucket, but a random place
-    dealt = sent.repartition(parts, F.coalesce("bucket", F.xxhash64("token", "key").cast("int")))
-    cold = dealt.where("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(meet, "token long, key long")
-    shared = written(cold.unionByName(dealt.where("bucket is null").select("token", "key").distinct()), "jaccard-shared")
+    # buckets from `parts` on hold hot tokens, dealt by token and key
+    shared = written(docs.mapInArrow(emit, "bucket int, packed binary").groupBy("bucket").applyInArrow(meet, "token long, key long"), "jaccard-shared")
     links, done = None, None
     for turn in range(3):
         pairs = _hub_pairs(shared, turn) if turn < 2 else _all_pairs(shared)
@@ -203,10 +198,10 @@ def _all_pairs(shared: DataFrame) -> DataFrame:
     return _counted(x.join(y, "token").where("a < b and ca <> cb").select("a", "b"))
 
 
-def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity."""
+def _held(docs: DataFrame, members: DataFrame, keys: DataFrame, k: int, whole: bool) -> DataFrame:
+    """(key, held) of the wanted keys: the sets' hashes, or their upper halves."""
     plain = F.col("key").bitwiseAND(F.lit(~(LEVELS - 1)))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().select(F.col("key").alias("full"), plain.alias("key"))
+    wanted = keys.distinct().select(F.col("key").alias("full"), plain.alias("key"))
     holders = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = holders.join(wanted, "key").select("doc_id", "full")
 
@@ -216,23 +211,48 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, per
             for row, s in sets(batch.column("text"), k):
                 if int(np.uint64(signature(s)).astype(np.int64)) == full[row] & ~(LEVELS - 1):  # a repeated id can hold another text
                     keys.append(full[row])
-                    held.append(s.tobytes())
+                    held.append((s if whole else (s >> U(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.binary())], ["key", "held"])
 
-    held = written(docs.join(small(wanted, 16), "doc_id").select("full", "text").mapInArrow(load, "key long, held binary"), "jaccard-held")
+    return docs.join(small(wanted, 16), "doc_id").select("full", "text").mapInArrow(load, "key long, held binary")
+
+
+def _compared(pairs: DataFrame, held: DataFrame, percent: int, kind: type, sure: int) -> DataFrame:
+    """pairs with state: 0 not similar, 1 similar, 2 similar unless more than `sure` of the equal values are chance."""
 
     def verify(batches):
         for batch in batches:
-            keep = []
+            state = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                n = len(x) + len(y)
+                need = -(-percent * n // (100 + percent))  # of equal values
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    state.append(0)
+                    continue
+                both = np.sort(np.concatenate([x, y]))
+                equal = int((both[1:] == both[:-1]).sum())
+                chance = sure + (n * n >> 30) if kind is np.uint32 else 0
+                state.append(0 if equal < need else 1 if equal >= need + chance else 2)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(state, pa.int32())], ["a", "b", "state"])
 
     left = held.select(F.col("key").alias("a"), F.col("held").alias("x"))
     right = held.select(F.col("key").alias("b"), F.col("held").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, state int")
+
+
+def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets reach the similarity.
+
+    Upper halves of the hashes decide first: they never count too few equal shingles, and too many
+    only by chance; pairs so near the bound that chance could matter are decided by whole hashes.
+    """
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("key"))
+    held = written(_held(docs, members, ends(pairs), k, whole=False), "jaccard-held")
+    first = written(_compared(pairs, held, percent, np.uint32, 16), "jaccard-compared")
+    near = first.where("state = 2").select("a", "b")
+    exact = _compared(near, _held(docs, members, ends(near), k, whole=True), percent, np.uint64, 0)
+    return first.where("state = 1").unionByName(exact.where("state = 1")).select("a", "b")
 
 
 def similar_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
