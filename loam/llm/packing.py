@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections import Counter, defaultdict
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,6 @@ class ByteBPE(Merger):
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -47,11 +46,20 @@ class ByteBPE(Merger):
         chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.byte = np.array([vocab[chars[b]] for b in range(256)], np.int32)
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.kind = np.full(0x110000, OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
-            self.kind[[ord(c) for c in regex.findall(pattern, every)]] = kind
+        for plane in range(0, 0x110000, 1 << 12):
+            every = "".join(map(chr, (c for c in range(plane, plane + (1 << 12)) if not 0xD800 <= c < 0xE000)))
+            for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
+                if found := regex.findall(pattern, every):
+                    self.kind[[ord(c) for c in found]] = kind
+
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer, for texts that spell a special token."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
 
 @lru_cache(maxsize=2)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, jaccard, packing, pieces, search
+from . import context_tree, jaccard, packing, pieces, search, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.keep_unrepeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.approximate_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_context_tree": op2_context_tree,
     "op3_threshold_top_k": op3_threshold_top_k,
+    "op4_suffix_automata": op4_suffix_automata,
     "op8_cross_polytope": op8_cross_polytope,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -69,4 +75,14 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x : floor(64 * x::DOU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op4_suffix_automata": r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w : w <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+h AS (SELECT s.doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM s JOIN w USING (doc_id)),
+d AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM h SEMI JOIN d USING (h)),
+k AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+r AS (SELECT doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN k USING (doc_id))
+SELECT doc_id, len(ws) AS n_words, len(gone) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(ws, lambda x, j : NOT list_contains(gone, j)), ' '), '')) AS kept_sha256 FROM r""",
 }
