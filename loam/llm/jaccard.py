@@ -26,6 +26,7 @@ from .text import U, each, mix
 SKETCH = 1 << 20  #: counters of the frequency sketch (4 MB), the same for every corpus size
 BLOCK = 1 << 14
 LEVELS = 8  #: prefix levels, held in the low three bits of a class key
+CELL = 128  #: sets of a block of a family of candidates
 HOT = 64  #: a token of more documents of one task leaves the packed path
 _WIDE = np.array([0x9E3779B97F4A7C15 * (2 * i + 3) % (1 << 64) for i in range(64)], U)
 
@@ -162,7 +163,7 @@ def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
-        found = written(_verified(docs, members, pairs, k, percent), "jaccard-links")
+        found = written(_verified(docs, members, pairs, k, percent, stars=turn < 2), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         if turn < 2:
@@ -217,31 +218,57 @@ def _held(docs: DataFrame, members: DataFrame, keys: DataFrame, k: int, whole: b
     return docs.join(small(wanted, 16), "doc_id").select("full", "text").mapInArrow(load, "key long, held binary")
 
 
-def _compared(pairs: DataFrame, held: DataFrame, percent: int, kind: type, sure: int) -> DataFrame:
-    """pairs with state: 0 not similar, 1 similar, 2 similar unless more than `sure` of the equal values are chance."""
+def _family_cells(pairs: DataFrame) -> DataFrame:
+    """(a, b, cell) where the sets of a family (a component of the pairs) fall into blocks of about CELL and
+    each pair belongs to the cell of its two blocks: a set is sent once per block of its family, not once
+    per pair. Families of one block share cells."""
+    family = components(pairs)
+    cells = family.groupBy("component").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
+    shared = F.lit(max(1, family.count() // CELL))
+    placed = family.join(cells, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    x, y = (placed.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}"), *extra) for c, extra in (("a", ["component", "blocks"]), ("b", [])))
+    low, high = F.least("block_a", "block_b"), F.greatest("block_a", "block_b")
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), shared)).otherwise(F.xxhash64("component", low, high))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", cell.alias("cell"))
 
-    def verify(batches):
-        for batch in batches:
-            state = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
-                n = len(x) + len(y)
-                need = -(-percent * n // (100 + percent))  # of equal values
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    state.append(0)
-                    continue
-                both = np.sort(np.concatenate([x, y]))
-                equal = int((both[1:] == both[:-1]).sum())
-                chance = sure + (n * n >> 30) if kind is np.uint32 else 0
-                state.append(0 if equal < need else 1 if equal >= need + chance else 2)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(state, pa.int32())], ["a", "b", "state"])
-
-    left = held.select(F.col("key").alias("a"), F.col("held").alias("x"))
-    right = held.select(F.col("key").alias("b"), F.col("held").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, state int")
-
-
-def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+
+def _star_cells(pairs: DataFrame) -> DataFrame:
+    """(a, b, cell) for pairs around hubs: those of one a together, in several cells where they are many."""
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    shared = F.lit(max(1, pairs.count() // CELL))
+    cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("a"), shared)).otherwise(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))))
+    return pairs.join(stars, "a").select("a", "b", cell.alias("cell"))
+
+
+def _compared(celled: DataFrame, held: DataFrame, percent: int, kind: type, sure: int) -> DataFrame:
+    """Pairs with state: 0 not similar, 1 similar, 2 similar unless more than `sure` of the equal values are chance.
+
+    celled: (a, b, cell); the pairs of a cell meet the sets they need in one group of a bounded size.
+    """
+    pairs = written(celled, "jaccard-cells")
+    asked = pairs.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("key")).distinct()
+    sent = asked.join(held, "key").select("at", "key", "held")
+
+    def verify(key, pairs, sets):
+        of = {k: np.frombuffer(v.as_buffer(), kind) for k, v in zip(sets.column("key").to_pylist(), sets.column("held"), strict=True)}
+        state = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            x, y = of[a], of[b]
+            n = len(x) + len(y)
+            need = -(-percent * n // (100 + percent))  # of equal values
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                state.append(0)
+                continue
+            both = np.sort(np.concatenate([x, y]))
+            equal = int((both[1:] == both[:-1]).sum())
+            chance = sure + (n * n >> 30) if kind is np.uint32 else 0
+            state.append(0 if equal < need else 1 if equal >= need + chance else 2)
+        return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "state": pa.array(state, pa.int32())})
+
+    return pairs.groupBy("cell").cogroup(sent.groupBy("at")).applyInArrow(verify, "a long, b long, state int")
+
+
+def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int, stars: bool) -> DataFrame:
     """The pairs whose whole sets reach the similarity.
 
     Upper halves of the hashes decide first: they never count too few equal shingles, and too many
@@ -249,9 +276,12 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, per
     """
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("key"))
     held = written(_held(docs, members, ends(pairs), k, whole=False), "jaccard-held")
-    first = written(_compared(pairs, held, percent, np.uint32, 16), "jaccard-compared")
+    cells = _star_cells if stars else _family_cells
+    first = written(_compared(cells(pairs), held, percent, np.uint32, 16), "jaccard-compared")
     near = first.where("state = 2").select("a", "b")
-    exact = _compared(near, _held(docs, members, ends(near), k, whole=True), percent, np.uint64, 0)
+    if near.isEmpty():
+        return first.where("state = 1").select("a", "b")
+    exact = _compared(cells(near), _held(docs, members, ends(near), k, whole=True), percent, np.uint64, 0)
     return first.where("state = 1").unionByName(exact.where("state = 1")).select("a", "b")
 
 
