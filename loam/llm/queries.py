@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, jaccard, packing, pieces, search, substrings
+from . import context_tree, jaccard, packing, personal, pieces, quality, search, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,19 @@ def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_lstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = personal.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.approximate_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_context_tree": op2_context_tree,
     "op3_threshold_top_k": op3_threshold_top_k,
     "op4_suffix_automata": op4_suffix_automata,
+    "op5_subword_quality": op5_subword_quality,
+    "op6_compression_toxicity": op6_compression_toxicity,
+    "op7_lstm_crf_pii": op7_lstm_crf_pii,
     "op8_cross_polytope": op8_cross_polytope,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_best_fit_packing": op10_best_fit_packing,
