@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, written
+from .shared import lean, written
 from .text import U, each, flat, mix, ranges
 
 K = 6  #: words of an anchor
@@ -171,7 +171,7 @@ def repeated_windows(documents: DataFrame, length: int = 35) -> DataFrame:
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.bool_()), pa.array(out[6], pa.binary())], ["anchor", "unit", "m", "key", "s", "crowded", "words"])
 
-    held = documents.join(small(wanted, 400), "key").select("key", "text", "units").mapInArrow(read, "anchor long, unit long, m long, key long, s long, crowded boolean, words binary")
+    held = documents.join(wanted, "key").select("key", "text", "units").mapInArrow(read, "anchor long, unit long, m long, key long, s long, crowded boolean, words binary")
     held = written(held, "substring-words")
     shards = max(1, n // SHARD_UNITS)
 
@@ -208,6 +208,7 @@ def keep_unrepeated(documents: DataFrame, length: int = 35, text: str = "text")
     texts; an empty table gives no rows. Other columns stay as they are (n_words, n_removed and kept of
     the input give way).
     """
+    lean(documents.sparkSession)
     docs = documents.drop("n_words", "n_removed", "kept")
     others = [c for c in docs.columns if c != text]
     keyed = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__key", F.xxhash64("__text", *[F.col(c).cast("string") for c in others]))
