@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, small, written
+from .shared import components, lean, small, written
 from .text import U, each, mix
 
 SKETCH = 1 << 20  #: counters of the frequency sketch (4 MB), the same for every corpus size
@@ -80,7 +80,7 @@ def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Null and empty texts have no key and no link. Repeated rows are equal sets; other columns are ignored.
     """
-    spark = documents.sparkSession
+    spark = lean(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def measure(batches):
@@ -137,7 +137,7 @@ def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     tokens.append(t)
                     keys.append(np.full(len(t), signature(s) | (level - 1), U))
                     held += len(t)
-                    if held > 2_000_000:
+                    if held > 500_000:
                         yield from packed()
                         tokens, keys, held = [], [], 0
         if held:

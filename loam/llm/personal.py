@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .text import flat
 
 KINDS = ("email", "ip", "card", "phone")
@@ -305,6 +306,7 @@ def with_spans(documents: DataFrame, text: str = "text", redact: bool = False) -
     brackets. Null counts as the empty text (and stays null); repeated rows are treated alike; an empty
     table gives no rows; input columns of these names give way, all others stay.
     """
+    lean(documents.sparkSession)
     added = [f"n_{k}" for k in KINDS] + ["base", "spans"]
     source = documents.drop(*added)
     held, names = source.sparkSession.sparkContext.broadcast(fit(source, text)), source.columns

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .text import U, flat, hashes, slices
 
 NONE = np.int32(2**31 - 1)
@@ -246,6 +247,7 @@ def encode_decode(documents: DataFrame, model: str, text: str = "text", keep: tu
     Null and empty texts have no ids and decode to the empty text. Rows are kept one by one, repeated
     ones too; an empty table gives no rows; no other column is read, so clashing names do no harm.
     """
+    lean(documents.sparkSession)
     source = documents.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     names = list(keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema) + ", n_tokens long, ids string, decoded string"

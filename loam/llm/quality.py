@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
+from .shared import lean
 from .text import U, each, flat, slices
 
 BITS = 17  #: of the number of vectors
@@ -79,6 +80,8 @@ def scores(documents: DataFrame, labels: DataFrame, label: str = "quality", mod:
     rows; without training rows every score is 0.5.
     """
 
+    lean(documents.sparkSession)
+
     def extract(batches):
         for batch in batches:
             out: list[list] = [[], []]

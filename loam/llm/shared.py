@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Smaller Arrow batches: rows here hold whole texts, and a Python worker keeps the memory of its largest batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE = 2 << 20  #: bytes of text handled at once; a longer text is a slice of its own
+SLICE = 1 << 20  #: bytes of text handled at once; a longer text is a slice of its own
 _ODD, _SEED = 0x9E3779B97F4A7C15, 0x5EED
 
 

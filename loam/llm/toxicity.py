@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, sample
+from .shared import lean
 from .text import flat
 
 SAMPLE = 2000  #: labelled training texts of each class at most; the bound of what reaches the driver
@@ -120,6 +121,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", mod: int
 
 def with_scores(documents: DataFrame, model: tuple[bytes, bytes, np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
     """The rows with a column toxicity (0 to 1)."""
+    lean(documents.sparkSession)
     held, source = documents.sparkSession.sparkContext.broadcast(model), documents.drop("toxicity")
     names = source.columns
 
