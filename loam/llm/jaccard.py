@@ -105,7 +105,7 @@ def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     for row in measured.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         counts[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int64)
     sketch = spark.sparkContext.broadcast((counts.astype(np.float64), float(np.median(counts))))
-    parts = max(1, math.ceil(counts.sum() / 1_500_000))
+    parts = max(1, math.ceil(counts.sum() / 500_000))
 
     def emit(batches):
         ordered, noise = sketch.value
@@ -137,7 +137,7 @@ def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     tokens.append(t)
                     keys.append(np.full(len(t), signature(s) | (level - 1), U))
                     held += len(t)
-                    if held > 500_000:
+                    if held > 1_000_000:
                         yield from packed()
                         tokens, keys, held = [], [], 0
         if held:
@@ -156,7 +156,7 @@ def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return pa.table({"token": as_long(t[keep]), "key": as_long(k2[keep])})
 
     # buckets from `parts` on hold hot tokens, dealt by token and key
-    shared = written(docs.mapInArrow(emit, "bucket int, packed binary").groupBy("bucket").applyInArrow(meet, "token long, key long"), "jaccard-shared")
+    shared = written(docs.mapInArrow(emit, "bucket int, packed binary").repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, "token long, key long"), "jaccard-shared")
     links, done = None, None
     for turn in range(3):
         pairs = _hub_pairs(shared, turn) if turn < 2 else _all_pairs(shared)
