@@ -241,8 +241,11 @@ def fit(documents: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.uint8).tobytes() for r in x], pa.binary()), pa.array([r.astype(np.uint8).tobytes() for r in y], pa.binary())], ["x", "y"])
 
     own = F.col(text).cast("string")
-    chosen = documents.select(own.alias("text")).where(own.rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_TEXTS)
-    rows = chosen.mapInArrow(cut, "x binary, y binary").distinct().orderBy(F.xxhash64("x", "y")).limit(SAMPLE_WINDOWS).collect()
+    marked = documents.select(own.alias("text")).where(own.rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    # hashes alone find the bound, so that no task sorts texts; copies of a chosen text give the same windows
+    bound = marked.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h").alias("h")).first()["h"]
+    chosen = marked.where(F.col("h") <= F.lit(bound)).select("text")
+    rows = chosen.mapInArrow(cut, "x binary, y binary").distinct().orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_WINDOWS).collect()
     tagger = Tagger()
     if rows:
         rows.sort(key=lambda r: (bytes(r["x"]), bytes(r["y"])))
