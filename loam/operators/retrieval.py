@@ -62,7 +62,7 @@ def overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:
 def fused(left: DataFrame, right: DataFrame, weight: float, k: int) -> DataFrame:
     """Weighted sum of two ranked lists per query; a row missing on one side scores 0 there."""
     both = left.select("qid", "id", F.col("score").alias("x")).join(right.select("qid", "id", F.col("score").alias("y")), ["qid", "id"], "full_outer")
-    score = F.round(weight * F.coalesce("x", F.lit(0.0)) + (1 - weight) * F.coalesce("y", F.lit(0.0)), 6)
+    score = F.round(weight * F.coalesce("x", F.lit(0.0)) + (1 - weight) * F.coalesce("y", F.lit(0.0)), 8)
     return ranked(both.select("qid", "id", score.alias("score")), "score", "qid", most=k)
 
 

@@ -131,7 +131,7 @@ def by_length(spark, sf_dir, k=10):
     return R.ranked(found.join(docs(spark, sf_dir), "id").select("qid", "id", r6(F.least(F.lit(1.0), F.length("text") / 20000.0)).alias("score")), "score", "qid", most=k)
 
 
-@query(f"WITH {LONG}, f AS (SELECT coalesce(l.qid, x.qid) AS qid, coalesce(l.id, x.id) AS id, round(0.7::DOUBLE * coalesce(l.score, 0) + (1 - 0.7::DOUBLE) * coalesce(x.score, 0), 6) AS score FROM (SELECT * FROM l WHERE rank <= 10) l FULL JOIN (SELECT * FROM x WHERE rank <= 10) x ON l.qid = x.qid AND l.id = x.id) SELECT qid, id, score FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5")
+@query(f"WITH {LONG}, f AS (SELECT coalesce(l.qid, x.qid) AS qid, coalesce(l.id, x.id) AS id, round(0.7::DOUBLE * coalesce(l.score, 0) + (1 - 0.7::DOUBLE) * coalesce(x.score, 0), 8) AS score FROM (SELECT * FROM l WHERE rank <= 10) l FULL JOIN (SELECT * FROM x WHERE rank <= 10) x ON l.qid = x.qid AND l.id = x.id) SELECT qid, id, score FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5")
 def hybrid_search_fused(spark, sf_dir):
     return R.fused(lexical(spark, sf_dir), by_length(spark, sf_dir), 0.7, 5).select("qid", "id", "score")
 
@@ -192,11 +192,11 @@ def diversity_penalty(spark, sf_dir):
     return R.penalised(own, 0.3)
 
 
-@query(f"WITH {LONG} SELECT l.qid, l.id, round(0.5::DOUBLE * l.score + 0.3::DOUBLE * x.score + 0.2::DOUBLE * (l.id % 10) / 10, 4) AS score FROM l JOIN x ON l.qid = x.qid AND l.id = x.id WHERE l.rank <= 10")
+@query(f"WITH {LONG} SELECT l.qid, l.id, round(0.5::DOUBLE * l.score + 0.3::DOUBLE * x.score + 0.2::DOUBLE * (l.id % 10) / 10, 8) AS score FROM l JOIN x ON l.qid = x.qid AND l.id = x.id WHERE l.rank <= 10")
 def ensemble_rerank(spark, sf_dir):
     both = lexical(spark, sf_dir).join(by_length(spark, sf_dir, 1 << 30).select("qid", "id", F.col("score").alias("x")), ["qid", "id"])
     scores, weights = F.array("score", "x", F.expr("id % 10 / 10D")), F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2))
-    return both.select("qid", "id", F.round(F.aggregate(F.zip_with(scores, weights, lambda s, w: s * w), F.lit(0.0), lambda a, x: a + x), 4).alias("score"))
+    return both.select("qid", "id", F.round(F.aggregate(F.zip_with(scores, weights, lambda s, w: s * w), F.lit(0.0), lambda a, x: a + x), 8).alias("score"))
 
 
 @query(f"WITH {LEX} SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank > 3, CASE WHEN rank <= 3 THEN -id END, rank) AS INTEGER) AS place FROM l WHERE rank <= 10")

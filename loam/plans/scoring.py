@@ -37,10 +37,10 @@ def diversity_penalty_trigram(spark, sf_dir):
     return own.join(near, ["qid", "id"], "left").select("qid", "id", r6(F.when(F.col("near"), F.col("score") * 0.7).otherwise(F.col("score"))).alias("score"))
 
 
-@query(f"WITH {T.LONG} SELECT l.qid, l.id, round((l.score + x.score) / 2, 4) AS score FROM l JOIN x ON l.qid = x.qid AND l.id = x.id WHERE l.rank <= 10")
+@query(f"WITH {T.LONG} SELECT l.qid, l.id, round((l.score + x.score) / 2, 8) AS score FROM l JOIN x ON l.qid = x.qid AND l.id = x.id WHERE l.rank <= 10")
 def rerank_average(spark, sf_dir):
     other = T.by_length(spark, sf_dir, 1 << 30).select("qid", "id", F.col("score").alias("x"))
-    return T.lexical(spark, sf_dir).join(other, ["qid", "id"]).select("qid", "id", F.round((F.col("score") + F.col("x")) / 2, 4).alias("score"))
+    return T.lexical(spark, sf_dir).join(other, ["qid", "id"]).select("qid", "id", F.round((F.col("score") + F.col("x")) / 2, 8).alias("score"))
 
 
 @query(f"""WITH {T.LONG}, j AS (SELECT l.qid, l.id, l.score AS a, x.score AS b FROM l JOIN x ON l.qid = x.qid AND l.id = x.id WHERE l.rank <= 10),
@@ -54,9 +54,9 @@ def fuse_weighted_sum(spark, sf_dir):
     return own.select("qid", "id", scaled("a").alias("a"), scaled("b").alias("b")).select("qid", "id", F.round(0.3 * F.col("a") + 0.7 * F.col("b"), 5).alias("score"))
 
 
-@query(f"WITH {T.LONG} SELECT qid, id, source, round(score * CASE source WHEN 'vector' THEN 0.7 ELSE 0.3 END, 6) AS score FROM (SELECT qid, id, score, 'vector' AS source FROM l WHERE rank <= 10 UNION ALL SELECT qid, id, score, 'graph' FROM x WHERE rank <= 10)")
+@query(f"WITH {T.LONG} SELECT qid, id, source, round(score * CASE source WHEN 'vector' THEN 0.7 ELSE 0.3 END, 8) AS score FROM (SELECT qid, id, score, 'vector' AS source FROM l WHERE rank <= 10 UNION ALL SELECT qid, id, score, 'graph' FROM x WHERE rank <= 10)")
 def merge_weighted_sources(spark, sf_dir):
-    parts = [df.select("qid", "id", F.lit(name).alias("source"), r6(F.col("score") * weight).alias("score")) for df, name, weight in ((T.lexical(spark, sf_dir), "vector", 0.7), (T.by_length(spark, sf_dir), "graph", 0.3))]
+    parts = [df.select("qid", "id", F.lit(name).alias("source"), F.round(F.col("score") * weight, 8).alias("score")) for df, name, weight in ((T.lexical(spark, sf_dir), "vector", 0.7), (T.by_length(spark, sf_dir), "graph", 0.3))]
     return parts[0].unionByName(parts[1])
 
 
@@ -66,10 +66,10 @@ def boost_by_graph(spark, sf_dir):
     return T.lexical(spark, sf_dir).join(found, "id", "left").select("qid", "id", r6(F.col("score") * F.pow(F.lit(1.02), F.least(F.coalesce("found", F.lit(0)), F.lit(10)))).alias("score"))
 
 
-@query(f"WITH {T.LEX} SELECT qid, CAST(sum(length(text)) AS BIGINT) AS coverage, count(DISTINCT source) AS sources, round(avg(1 / (1 + (doc_id % 90) / 30.0::DOUBLE)), 6) AS recency, round(avg(score), 4) AS relevance FROM l JOIN documents ON doc_id = id WHERE rank <= 10 GROUP BY 1")
+@query(f"WITH {T.LEX} SELECT qid, CAST(sum(length(text)) AS BIGINT) AS coverage, count(DISTINCT source) AS sources, round(avg(1 / (1 + (doc_id % 90) / 30.0::DOUBLE)), 6) AS recency, round(avg(score), 10) AS relevance FROM l JOIN documents ON doc_id = id WHERE rank <= 10 GROUP BY 1")
 def score_result_set(spark, sf_dir):
     own = T.lexical(spark, sf_dir).join(T.docs(spark, sf_dir), "id").groupBy("qid")
-    return own.agg(F.sum(F.length("text")).alias("coverage"), F.count_distinct("source").alias("sources"), r6(F.avg(F.expr("1 / (1 + id % 90 / 30D)"))).alias("recency"), F.round(F.avg("score"), 4).alias("relevance"))
+    return own.agg(F.sum(F.length("text")).alias("coverage"), F.count_distinct("source").alias("sources"), r6(F.avg(F.expr("1 / (1 + id % 90 / 30D)"))).alias("recency"), F.round(F.avg("score"), 10).alias("relevance"))
 
 
 @query(f"WITH {UL}, a AS (SELECT id, CASE WHEN access_count > 10 THEN least(100, confidence_score * 100 * 1.05) ELSE confidence_score * 100 END AS x FROM u), b AS (SELECT id, CASE WHEN id % 5 = 0 THEN x * 0.9 ELSE x END AS x FROM a), c AS (SELECT id, CASE WHEN id % 3 = 0 THEN least(100, x * 1.1) ELSE x END AS x FROM b) SELECT id, round(CASE WHEN id % 7 = 0 THEN x * 0.8 ELSE x END, 6) AS confidence FROM c")
