@@ -53,7 +53,7 @@ def infer_file_type(spark, sf_dir):
 
 
 @query("""SELECT doc_id % 100 AS batch, count(*) AS total, count(*) FILTER (length(text) >= 400) AS successful, count(*) FILTER (length(text) < 400) AS failed,
-  CAST(sum(ceil(length(text) / 1000.0)) FILTER (length(text) >= 400) AS BIGINT) AS chunks FROM documents GROUP BY 1""")
+  CAST(coalesce(sum(ceil(length(text) / 1000.0)) FILTER (length(text) >= 400), 0) AS BIGINT) AS chunks FROM documents GROUP BY 1""")
 def ingest_batch(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("batch", F.expr("doc_id % 100"))
     return T.batch_totals(docs, "batch", F.length("text") >= 400, F.ceil(F.length("text") / 1000))

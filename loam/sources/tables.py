@@ -78,7 +78,7 @@ def request_rules() -> dict[str, Column]:
 def batch_totals(docs: DataFrame, batch: str, ok: Column, chunks: Column) -> DataFrame:
     """Per batch: how many succeeded and failed, and their chunks; a bad document fails alone."""
     marked = docs.withColumns({"__ok": F.coalesce(ok, F.lit(False)), "__chunks": chunks})
-    return marked.groupBy(batch).agg(F.count("*").alias("total"), F.count_if("__ok").alias("successful"), F.count_if(~F.col("__ok")).alias("failed"), F.sum(F.when(F.col("__ok"), F.col("__chunks"))).alias("chunks"))
+    return marked.groupBy(batch).agg(F.count("*").alias("total"), F.count_if("__ok").alias("successful"), F.count_if(~F.col("__ok")).alias("failed"), F.coalesce(F.sum(F.when(F.col("__ok"), F.col("__chunks"))), F.lit(0)).alias("chunks"))
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
