@@ -219,16 +219,17 @@ def _held(docs: DataFrame, members: DataFrame, keys: DataFrame, k: int, whole: b
 
 
 def _family_cells(pairs: DataFrame) -> DataFrame:
-    """(a, b, cell) where the sets of a family (a component of the pairs) fall into blocks of about CELL and
-    each pair belongs to the cell of its two blocks: a set is sent once per block of its family, not once
-    per pair. Families of one block share cells."""
-    family = components(pairs)
-    cells = family.groupBy("component").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
-    shared = F.lit(max(1, family.count() // CELL))
-    placed = family.join(cells, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    x, y = (placed.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}"), *extra) for c, extra in (("a", ["component", "blocks"]), ("b", [])))
-    low, high = F.least("block_a", "block_b"), F.greatest("block_a", "block_b")
-    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), shared)).otherwise(F.xxhash64("component", low, high))
+    """(a, b, cell) where documents are labelled by the smallest one they are paired with, which in a dense family is
+    the same for all; those of a label fall into blocks of about CELL, and each pair belongs to the cell of its two
+    blocks: a set is sent once per block it meets, not once per pair. Labels of one block share cells."""
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    label = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "jaccard-labels")
+    sizes = label.groupBy("label").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
+    shared = F.lit(max(1, label.count() // CELL))
+    block = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), shared)).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    placed = label.join(sizes, "label").select("node", block.alias("block"))
+    x, y = (placed.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}")) for c in ("a", "b"))
+    cell = F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", cell.alias("cell"))
 
 
