@@ -1,11 +1,11 @@
 """Context-tree weighting over binary-decomposed bytes, and a smoothed word count beside it.
 
-The tree has a node for every context of 0 to `depth` preceding bytes and every prefix of the next
-byte's bits; each node keeps how often a 0 and a 1 followed. Nodes live in tables of a fixed number of
-slots per depth (contexts of up to one byte directly, longer ones by hash), so that the model has one
-size for every corpus. Tasks count their distinct byte n-grams and send sparse tables; the sums over
-all training texts give every node's Krichevsky-Trofimov probability, and from the deepest nodes
-upwards its weighted probability against its children. Texts are then scored with the model fixed.
+The tree has a node for every context of 0 to `depth` preceding bytes that occurs and every prefix of the
+next byte's bits; each node keeps how often a 0 and a 1 followed. Nodes are keyed by their whole context,
+so the model grows with the corpus and no two contexts share one. Blocks of texts count their distinct byte
+n-grams; these are summed in buckets by the three nearest context bytes, which hold the whole tree below
+those bytes. Only the nodes of up to two context bytes, which the bytes bound, are summed over all buckets
+and sent back. Every bucket then answers the n-grams of every block, as it does the words.
 """
 
 from __future__ import annotations
@@ -21,13 +21,11 @@ from .shared import lean, written
 from .text import U, each, flat, mix, slices
 
 DEPTH = 5  #: preceding bytes of the longest context
-SLOTS = (8, 16, 19, 20, 21, 21)  #: bits of the number of nodes of each depth
-BLOCK_BITS = 16  #: nodes of a block of a table, the unit in which tables are summed
+TOP = 2  #: depth of the deepest nodes that are summed over all buckets
+SLOTS = (8, 16, 19, 20, 21, 21)  #: bits of the number of nodes of each depth in tables (see `weigh`), which only tests use
 EDGE = 0xFF  #: stands before and after every text; UTF-8 never has it
 CHUNK = 4 << 20
-FAN_IN = 64  #: tables that one group adds up
-TASK_BYTES = 24 << 20  #: text that a task counts at least, if partitions are smaller
-BLOCK_BYTES = 8 << 20  #: text of a block, in which words are looked up together
+BLOCK_BYTES = 8 << 20  #: text of a block, in which words and n-grams are looked up together
 _STARTS = np.cumsum([0, *(1 << b for b in SLOTS)])
 
 
@@ -138,66 +136,151 @@ def log_probability(keys: np.ndarray, chance: np.ndarray, weight: np.ndarray) ->
     return total
 
 
-def learn(documents: DataFrame, text: str, held_out: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(chance, weight) of all nodes, from the texts that aren't held out."""
-    blocks = -(-int(_STARTS[-1]) >> BLOCK_BITS)
+def turned(keys: np.ndarray) -> np.ndarray:
+    """The n-grams with their context bytes nearest first, so that every context is a prefix; the last byte stays."""
+    out = keys & U(255)
+    for d in range(1, DEPTH + 1):
+        out |= ((keys >> U(8 * d)) & U(255)) << U(8 * (DEPTH + 1 - d))
+    return out
+
+
+def block_grams(column, train: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Distinct turned n-grams of a block by bucket, their training counts, the first one of each bucket, and slice by slice the index of every n-gram and the first of every row."""
+    data, offsets = flat(column)
+    parts = []
+    for a, b in slices(offsets, CHUNK):
+        keys, at = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        k, back = distinct(keys)
+        parts.append((k, np.bincount(back, weights=np.repeat(train[a:b], np.diff(at)), minlength=len(k)), back.astype(np.int32), at))
+    values, place = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    n = np.bincount(place, weights=np.concatenate([x[1] for x in parts])).astype(np.int64)
+    keys = turned(values)
+    bucket = (mix(keys >> U(8 * (DEPTH - TOP))) % U(buckets)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    ends = np.cumsum([0, *(len(x[0]) for x in parts)])
+    return keys[order], n[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), [(rank[place[a:b]][x[2]], x[3]) for x, a, b in zip(parts, ends, ends[1:], strict=False)]
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """48-bit keys byte by byte, which compresses well."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return out.view("<u8").ravel()
+
+
+def estimate(n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of a 1, weight of the own estimate, log of the weighted probability) of nodes; weight -1: never seen."""
+    kt = log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - math.log(math.pi)
+    both = kt if below is None else np.logaddexp(kt, below) - math.log(2)
+    own = np.ones(len(kt)) if below is None else np.exp(kt - math.log(2) - both)
+    return (n1 + 0.5) / (n0 + n1 + 1), np.where(n0 + n1 > 0, own, -1), np.where(n0 + n1 > 0, both, 0)
+
+
+class Branches:
+    """The nodes of more than TOP context bytes below the contexts of sorted distinct turned n-grams."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        n = n.astype(np.float64)
+        self.entries, self.up, counts = {DEPTH: keys}, {}, {DEPTH: n}
+        for d in range(DEPTH - 1, TOP - 1, -1):  # the same n-grams with one context byte less
+            e = self.entries[d + 1]
+            self.entries[d], self.up[d + 1] = np.unique(((e >> U(16)) << U(8)) | (e & U(255)), return_inverse=True)
+            counts[d] = np.bincount(self.up[d + 1], weights=counts[d + 1])
+        self.index, self.model, tops = {}, {}, []
+        for bit in range(8):
+            below = first = None
+            for d in range(DEPTH, TOP - 1, -1):
+                e = self.entries[d]
+                node = ((e >> U(8)) << U(bit)) | ((e & U(255)) >> U(8 - bit))
+                new = np.append(True, node[1:] != node[:-1])
+                index, start = np.cumsum(new) - 1, np.flatnonzero(new)
+                if below is not None:
+                    below = np.bincount(index[self.up[d + 1][first]], weights=below, minlength=len(start))
+                ones = np.add.reduceat(np.where((e >> U(7 - bit)) & U(1) == 1, counts[d], 0), start)
+                zeros = np.add.reduceat(counts[d], start) - ones
+                if d == TOP:
+                    tops.append(((e[start] >> U(8)) << U(8) | U(1 << bit) | ((e[start] & U(255)) >> U(8 - bit)), zeros, ones, below))
+                else:
+                    chance, weight, below = estimate(zeros, ones, below)
+                    self.index[d, bit], self.model[d, bit], first = index, (chance, weight), start
+        self.tops = [np.concatenate(x) for x in zip(*tops, strict=True)]  # node keys of depth TOP, zeros, ones, log probability below
+
+    def log_probability(self, crown: Crown) -> np.ndarray:
+        """log10 of the probability of the last byte of every n-gram after the others."""
+        total = np.zeros(len(self.entries[DEPTH]))
+        for bit in range(8):
+            e = self.entries[TOP]
+            p, left, own, open_ = np.zeros(len(e)), np.ones(len(e)), np.full(len(e), 0.5), np.ones(len(e), bool)
+            for d in range(DEPTH + 1):
+                if d <= TOP:
+                    chance, weight = crown.at(d, e, bit)
+                else:
+                    p, left, own, open_ = (x[self.up[d]] for x in (p, left, own, open_))
+                    chance, weight = (x[self.index[d, bit]] for x in self.model[d, bit])
+                open_ &= weight >= 0  # below a context that was never seen, its parent's estimate holds
+                own = np.where(open_, chance, own)
+                part = left * np.where(open_, weight, 0)
+                p, left = p + part * own, left - part
+            p = np.clip(p + left * own, 1e-9, 1 - 1e-9)
+            total += np.log10(np.where((self.entries[DEPTH] >> U(7 - bit)) & U(1) == 1, p, 1 - p))
+        return total
+
+
+class Crown:
+    """The nodes of up to TOP context bytes, from the summed ones of depth TOP."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+        self.model = {}
+        for d in range(TOP, -1, -1):
+            chance, weight, both = estimate(zeros, ones, below)
+            self.model[d] = (keys, chance, weight)
+            if d:
+                keys, back = np.unique(((keys >> U(16)) << U(8)) | (keys & U(255)), return_inverse=True)
+                zeros, ones, below = (np.bincount(back, weights=x, minlength=len(keys)) for x in (zeros, ones, both))
+
+    def at(self, d: int, entries: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of a 1, weight) of the nodes of depth d that predict a bit of the n-grams with TOP context bytes."""
+        keys, chance, weight = self.model[d]
+        node = ((entries >> U(8 * (TOP - d + 1))) << U(8)) | U(1 << bit) | ((entries & U(255)) >> U(8 - bit))
+        i = np.searchsorted(keys, node)
+        return chance[i], weight[i]
+
+
+def merged(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums by key, always in the same order."""
+    order = np.lexsort((values[-1], keys))
+    keys, back = np.unique(keys[order], return_inverse=True)
+    return keys, *(np.bincount(back, weights=x[order], minlength=len(keys)) for x in values)
+
+
+def crown(tops: DataFrame) -> Crown:
+    """tops: packed nodes of depth TOP of every bucket; they are added up by the nearest byte."""
+    schema = "byte int, " + ", ".join(f"c{i} binary" for i in range(4))
+
+    def rows(parts):
+        keys = parts[0]
+        cuts = np.searchsorted(keys >> U(8 * TOP), np.arange(257))
+        full = np.flatnonzero(np.diff(cuts))
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()) for x in parts)], names=["byte", "c0", "c1", "c2", "c3"])
 
-    def count(batches):
-        size = int(_STARTS[-1])
-        parent, times = np.zeros(size, np.uint32), np.zeros((2, size), np.uint32)
+    def split(batches):
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            for a, b in slices(offsets, CHUNK):
-                keys, back = distinct(grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0])
-                n, before = np.bincount(back, minlength=len(keys)), contexts(keys)
-                for bit in range(8):
-                    one = (keys >> U(7 - bit)) & U(1) == 1
-                    above = None
-                    for d in range(DEPTH + 1):
-                        at = nodes(before[d], keys, d, bit)
-                        if d:
-                            parent[at] = above
-                        above, own, wide = at, at - _STARTS[d], 1 << SLOTS[d]
-                        for side, mask in enumerate((~one, one)):
-                            times[side, _STARTS[d] : _STARTS[d + 1]] += np.bincount(own[mask], weights=n[mask], minlength=wide).astype(np.uint32)
-        for i in range(blocks):
-            part = slice(i << BLOCK_BITS, min(size, (i + 1) << BLOCK_BITS))
-            if len(at := np.flatnonzero(times[:, part].any(axis=0))):
-                n = times[:, part][:, at]
-                wide = int(n.max()) >> 16 > 0
-                rows = at.astype(np.uint16).tobytes() + parent[part][at].tobytes() + n.astype(np.uint32 if wide else np.uint16).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([wide]), pa.array([rows], pa.binary())], ["block", "wide", "rows"])
-
-    def unpacked(raw: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, count = len(raw) // (14 if wide else 10), np.uint32 if wide else np.uint16
-        return np.frombuffer(raw, np.uint16, n).astype(np.int64), np.frombuffer(raw[2 * n : 6 * n], np.uint32), np.frombuffer(raw[6 * n :], count).reshape(2, n).astype(np.int64)
+            for raw in batch.column("tops"):
+                n = len(raw.as_py()) // 32
+                yield rows(merged(np.frombuffer(raw.as_py(), U, n), *np.frombuffer(raw.as_py(), np.float64, offset=8 * n).reshape(3, n)))
 
     def add(key, table):
-        above, total = np.zeros(1 << BLOCK_BITS, np.uint32), np.zeros((2, 1 << BLOCK_BITS), np.int64)
-        for raw, wide in zip(table.column("rows"), table.column("wide").to_pylist(), strict=True):
-            at, parent, n = unpacked(raw.as_py(), wide)
-            above[at] = np.maximum(above[at], parent)
-            total[:, at] += n
-        total = -(-total // (1 + (int(total.max()) >> 32)))  # keeps counts in 32 bits
-        at = np.flatnonzero(total.any(axis=0))
-        rows = at.astype(np.uint16).tobytes() + above[at].tobytes() + total[:, at].astype(np.uint32).tobytes()
-        part = key[1].as_py() if len(key) > 1 else 0
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "wide": pa.array([True]), "rows": pa.array([rows], pa.binary()), "part": pa.array([part], pa.int32())})
-
-    # every task sends a table of its own, so small partitions of the input are read together
-    tasks = max(1, -(-size // TASK_BYTES))
-    training = documents.coalesce(tasks).where(~F.col(held_out)).select(F.col(text).alias("text"))
-    sums = training.mapInArrow(count, "block int, wide boolean, rows binary").withColumn("part", F.spark_partition_id())
-    while tasks > FAN_IN:  # tables are added up in a tree, at most about FAN_IN in one group
-        tasks = -(-tasks // FAN_IN)
-        sums = sums.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("block", "part").applyInArrow(add, "block int, wide boolean, rows binary, part int")
-    sums = sums.groupBy("block").applyInArrow(add, "block int, wide boolean, rows binary, part int")
-    tables = np.zeros((3, blocks << BLOCK_BITS), np.uint32)
-    for row in sums.toLocalIterator():  # the fixed tables, block by block
-        at, parent, n = unpacked(bytes(row["rows"]), True)
-        tables[:, (row["block"] << BLOCK_BITS) + at] = np.stack([parent, *n])
-    tables = tables[:, : _STARTS[-1]]
-    return weigh(tables[1], tables[2], tables[0])
+        parts = [np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(f"c{i}")]) for i, kind in enumerate((U, float, float, float))]
+        return pa.Table.from_batches([rows(merged(*parts))])
+
+    got = tops.mapInArrow(split, schema).groupBy("byte").applyInArrow(add, schema).collect()
+    return Crown(*merged(*(np.concatenate([np.zeros(0, kind), *(np.frombuffer(bytes(r[f"c{i}"]), kind) for r in got)]) for i, kind in enumerate((U, float, float, float)))))
 
 
 def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,10 +294,10 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False)))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    model = spark.sparkContext.broadcast(learn(docs, "text", "held_out", size))
     n_blocks = max(1, size // BLOCK_BYTES)
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).cast("int"))
     buckets = 4 * n_blocks
+    gram_buckets = max(12, 2 * n_blocks)
 
     def local(table):
         """Distinct word hashes of a block, their training counts, and the index of every word."""
@@ -237,44 +320,78 @@ def scores(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts))
         own = [order[cuts[i] : cuts[i + 1]] for i in full]
-        return pa.table({"block": pa.array([key[0].as_py()] * len(full), pa.int32()), "bucket": pa.array(full, pa.int32()), "words": pa.array([values[o].tobytes() for o in own], pa.binary()), "counts": pa.array([train[o].astype(np.uint32).tobytes() for o in own], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([False] * len(full)), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([values[o].tobytes() for o in own], pa.binary()), pa.array([train[o].astype(np.uint32).tobytes() for o in own], pa.binary())], ["gram", "block", "bucket", "words", "counts"])
+        keys, n, cuts, _ = block_grams(table.column("text"), ~table.column("held_out").to_numpy(), gram_buckets)
+        full = np.flatnonzero(np.diff(cuts))
+        own = [slice(cuts[i], cuts[i + 1]) for i in full]
+        yield pa.RecordBatch.from_arrays([pa.array([True] * len(full)), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([packed(keys[o]) for o in own], pa.binary()), pa.array([n[o].astype(np.uint32).tobytes() for o in own], pa.binary())], ["gram", "block", "bucket", "words", "counts"])
+
+    def counted(key, table):
+        return pa.Table.from_batches(list(count(key, table)))
+
+    looked_up = [("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("wide", pa.bool_()), ("n", pa.int64()), ("v", pa.int64())]
+    summed = pa.schema([*looked_up, ("keys", pa.binary()), ("counts", pa.binary()), ("tops", pa.binary()), ("blocks", pa.list_(pa.int32())), ("ends", pa.list_(pa.int64())), ("places", pa.binary())])
 
     def add(key, table):
-        words = [np.frombuffer(x.as_py(), U) for x in table.column("words")]
         counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")])
+        if key[0].as_py():  # n-grams: one row with those of the bucket and where each block's stand among them
+            grams_ = [unpacked(x.as_py()) for x in table.column("words")]
+            keys, back = np.unique(np.concatenate(grams_), return_inverse=True)
+            total = np.bincount(back, weights=counts).astype(np.int64)
+            row = {"bucket": key[1].as_py(), "keys": packed(keys), "counts": total.tobytes(), "tops": b"".join(x.tobytes() for x in Branches(keys, total).tops)}
+            row |= {"blocks": table.column("block").to_pylist(), "ends": np.cumsum([len(x) for x in grams_]).tolist(), "places": back.astype(np.uint32).tobytes()}
+            return pa.Table.from_pylist([row], summed)
+        words = [np.frombuffer(x.as_py(), U) for x in table.column("words")]
         _, back = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(back, weights=counts).astype(np.int64)
         cuts = np.append(0, np.cumsum([len(w) for w in words]))
         n, v = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         n[0], v[0] = total.sum(), (total > 0).sum()  # once for the bucket
         kind = np.uint32 if total.max() < 1 << 32 else np.uint64
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([total[back[a:b]].astype(kind).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), "wide": pa.array([kind is np.uint64] * len(words)), "n": pa.array(n), "v": pa.array(v)})
+        own = {"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([total[back[a:b]].astype(kind).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), "wide": pa.array([kind is np.uint64] * len(words)), "n": pa.array(n), "v": pa.array(v)}
+        return pa.table([own[f.name] if f.name in own else pa.nulls(len(words), f.type) for f in summed], schema=summed)
+
+    answer = pa.schema([*looked_up, ("logs", pa.binary())])
+
+    def answered(batches):
+        """Word counts as they are; of n-grams, for each block their probabilities."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in summed.names}
+                if row["keys"] is None:
+                    yield pa.RecordBatch.from_pylist([{f: row.get(f) for f in answer.names}], answer)
+                    continue
+                logs = Branches(unpacked(row["keys"]), np.frombuffer(row["counts"], np.int64)).log_probability(model.value).astype(np.float32)
+                places = np.frombuffer(row["places"], np.uint32)
+                yield pa.RecordBatch.from_pylist([{"block": k, "bucket": row["bucket"], "n": 0, "v": 0, "logs": logs[places[a:b]].tobytes()} for k, a, b in zip(row["blocks"], [0, *row["ends"]], row["ends"], strict=False)], answer)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "part", "score", "n", "v"]
 
     def score(key, table, found):
-        chance, weight = model.value
         values, inverse, _, first = local(table)
         totals, bucket = np.zeros(len(values), np.int64), (values % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for i, x, wide in zip(found.column("bucket").to_pylist(), found.column("totals"), found.column("wide").to_pylist(), strict=True):
+        keys, _, own, parts = block_grams(table.column("text"), np.zeros(table.num_rows), gram_buckets)
+        chances = np.zeros(len(keys))
+        for i, x, wide, y in zip(found.column("bucket").to_pylist(), found.column("totals"), found.column("wide").to_pylist(), found.column("logs"), strict=True):
+            if y.is_valid:
+                chances[own[i] : own[i + 1]] = np.frombuffer(y.as_py(), np.float32)
+                continue
             totals[order[cuts[i] : cuts[i + 1]]] = np.frombuffer(x.as_py(), np.uint64 if wide else np.uint32)
         logs = np.append(0, np.cumsum(np.log10(totals + 0.1)[inverse]))
         known = np.append(0, np.cumsum((totals > 0)[inverse]))
-        data, offsets = flat(table.column("text"))
-        out = []
-        for a, b in slices(offsets, CHUNK):
-            keys, at = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            k, back = distinct(keys)
-            out.append(np.add.reduceat(log_probability(k, chance, weight)[back], at[:-1]))
+        out = [np.add.reduceat(chances[at], first_[:-1]) for at, first_ in parts]
         rows = table.num_rows
         columns = [table.column("doc_id").combine_chunks(), table.column("held_out").combine_chunks(), pa.array(np.diff(first) + 1), pa.array(np.diff(known[first])), pa.array(np.diff(logs[first])), pa.array(np.concatenate(out)), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())]
         summed = [pa.nulls(1, f) for f in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())] + [pa.array([sum(found.column(c).to_pylist())], pa.int64()) for c in ("n", "v")]
         return pa.concat_tables([pa.table(columns, names=names), pa.table(summed, names=names)])
 
-    looked = blocks.groupBy("block").applyInArrow(count, "block int, bucket int, words binary, counts binary")
-    looked = looked.groupBy("bucket").applyInArrow(add, "block int, bucket int, totals binary, wide boolean, n long, v long")
+    looked = blocks.groupBy("block").applyInArrow(counted, "gram boolean, block int, bucket int, words binary, counts binary")
+    schema = "block int, bucket int, totals binary, wide boolean, n long, v long"
+    looked = written(looked.groupBy("gram", "bucket").applyInArrow(add, f"{schema}, keys binary, counts binary, tops binary, blocks array<int>, ends array<long>, places binary"), "context-tree-counts")
+    model = spark.sparkContext.broadcast(crown(looked.where("tops is not null").select("tops")))
+    looked = looked.mapInArrow(answered, f"{schema}, logs binary")
     result = blocks.groupBy("block").cogroup(looked.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, part double, score double, n long, v long")
     result = written(result, "context-tree-scores")
     sums = result.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.count_if(~F.col("held_out")).alias("ends")).first()
