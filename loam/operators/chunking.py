@@ -48,13 +48,14 @@ def packed(sizes: Column, budget: int | Column) -> Column:
     return F.aggregate(sizes, start, step, finish)
 
 
-def unit_chunks(docs: DataFrame, units: Column, size: int, glue: str) -> DataFrame:
+def unit_chunks(docs: DataFrame, units: Column, size: int, glue: str, taken: Column | None = None) -> DataFrame:
     """Chunks of whole units of up to `size` tokens: chunk_no, first_unit, last_unit, chunk.
 
-    13 * words <= 10 * size states 1.3 * words <= size in integers.
+    13 * words <= 10 * size states 1.3 * words <= size in integers. taken: words that each chunk holds besides its units.
     """
+    budget = F.lit(10 * size) if taken is None else F.lit(10 * size) - 13 * taken
     own = docs.withColumn("__u", F.filter(units, lambda u: F.trim(u) != ""))
-    own = own.withColumn("__c", packed(F.transform("__u", lambda u: 13 * F.size(words(u))), F.lit(10 * size)))
+    own = own.withColumn("__c", packed(F.transform("__u", lambda u: 13 * F.size(words(u))), budget))
     out = own.select("*", F.posexplode("__c").alias("chunk_no", "__r"))
     cut = F.slice("__u", F.col("__r.first") + 1, F.col("__r.last") - F.col("__r.first") + 1)
     return out.withColumns({"first_unit": F.col("__r.first"), "last_unit": F.col("__r.last"), "chunk": F.array_join(cut, glue)}).drop("__u", "__c", "__r")
@@ -74,6 +75,27 @@ def sentence_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame
     return unit_chunks(docs, F.split(text, r"[.!?]+\s+"), size, ". ")
 
 
+def row_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """Whole rows below the header, which counts against the size and stands on every chunk; a lone line is a row."""
+    lines = F.filter(F.split(text, "\n"), lambda u: F.trim(u) != "")
+    own = docs.withColumn("__l", lines).withColumn("__h", F.when(F.size("__l") > 1, F.element_at("__l", 1)).otherwise(""))
+    out = unit_chunks(own, F.when(F.size("__l") > 1, F.slice("__l", 2, F.size("__l"))).otherwise(F.col("__l")), size, "\n", F.size(words("__h")))
+    return out.withColumn("chunk", F.when(F.col("__h") != "", F.concat("__h", F.lit("\n"), "chunk")).otherwise(F.col("chunk"))).drop("__l", "__h")
+
+
+def object_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """Whole items of a JSON array; other texts, and arrays whose items would lose text, count as JSON lines."""
+    items = F.from_json(text, "array<string>")
+    bare = lambda t: F.regexp_replace(t, r'[\s,\[\]"\\]', "")
+    whole = bare(F.array_join(items, "")) == bare(F.col(text))
+    return unit_chunks(docs, F.when(whole, items).otherwise(F.split(text, "\n")), size, "\n")
+
+
+def page_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """Whole pages, which form feeds end."""
+    return unit_chunks(docs, F.split(text, "\f"), size, "\n")
+
+
 def sections(docs: DataFrame, id_: str, text: str = "text") -> DataFrame:
     """One row per section: a header line (# to ######) and the lines below it, in order; section 0 has no header."""
     header = r"^#{1,6}\s+\S"
@@ -100,7 +122,7 @@ def auto_chunks(docs: DataFrame, size: int, text: str = "text", kind: str = "fil
     routed = docs.withColumn("strategy", strategy(text, kind))
     plain = routed.where("strategy = 'token'")
     out = token_chunks(plain, size, 0, text)
-    for name, cut in (("paragraph", paragraph_chunks), ("semantic", sentence_chunks), ("section", line_chunks)):
+    for name, cut in (("paragraph", paragraph_chunks), ("semantic", sentence_chunks), ("section", line_chunks), ("row", row_chunks), ("object", object_chunks), ("page", page_chunks)):
         out = out.unionByName(cut(routed.where(F.col("strategy") == name), size, text).drop("first_unit", "last_unit"))
     return out
 
