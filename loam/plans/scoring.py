@@ -168,7 +168,7 @@ def stream_alerts_dedup(spark, sf_dir):
     from ..streaming import streams as S
 
     live = stream(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
-    return finished(spark, S.alerts(live, F.col("value") > 200, "operation", "hour").select("operation", F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour")), "append")
+    return finished(spark, S.alerts(live, F.col("value") > 200, "operation", "hour", late=S.HISTORY).select("operation", F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour")), "append")
 
 
 @query("SELECT count(*) FILTER (n > 1) AS groups, CAST(sum(n) FILTER (n > 1) AS BIGINT) AS members FROM (SELECT count(*) AS n FROM documents GROUP BY md5(lower(text)))")

@@ -21,21 +21,20 @@ def stream(spark, sf_dir):
 
 def finished(spark, df, mode):
     shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    name = "stream_" + uuid.uuid4().hex
-    return S.run_once(df, name, os.path.join(shared, name), mode)
+    return S.run_once(df, os.path.join(shared, "stream_" + uuid.uuid4().hex), mode)
 
 
 @query(f"WITH {E} SELECT operation, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 6) AS mean FROM e GROUP BY operation, time_bucket(INTERVAL 1 HOUR, ts)")
 def stream_rollup(spark, sf_dir):
-    out = finished(spark, S.rollup(stream(spark, sf_dir), "operation"), "complete")
+    out = finished(spark, S.rollup(stream(spark, sf_dir), "operation", late=S.HISTORY), "complete")
     return out.select("operation", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", r6("mean").alias("mean"))
 
 
 @query()
 def stream_sliding_rate(spark, sf_dir):
-    return finished(spark, S.rollup(stream(spark, sf_dir), "agent_id", every="6 hours", slide="3 hours"), "complete")
+    return finished(spark, S.rollup(stream(spark, sf_dir), "agent_id", every="6 hours", slide="3 hours", late=S.HISTORY), "complete")
 
 
 @query()
 def stream_sessions(spark, sf_dir):
-    return finished(spark, S.sessions(stream(spark, sf_dir), "agent_id", "600 minutes"), "complete")
+    return finished(spark, S.sessions(stream(spark, sf_dir), "agent_id", "600 minutes", late=S.HISTORY), "complete")

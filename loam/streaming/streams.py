@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 LATE = "10 minutes"
+HISTORY = "1000 years"  #: late bound for files of the past, which come in any order
 
 
 def events(spark: SparkSession, path: str, schema: StructType, files: int = 1) -> DataFrame:
@@ -14,15 +15,15 @@ def events(spark: SparkSession, path: str, schema: StructType, files: int = 1) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def rollup(stream: DataFrame, *keys: str, every: str = "1 hour", slide: str | None = None) -> DataFrame:
+def rollup(stream: DataFrame, *keys: str, every: str = "1 hour", slide: str | None = None, late: str = LATE) -> DataFrame:
     """Counts and means per window and key."""
     window = F.window("ts", every, slide) if slide else F.window("ts", every)
-    own = stream.withWatermark("ts", LATE).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    own = stream.withWatermark("ts", late).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return own.select(F.col("w.start").alias("start"), *keys, "n", "mean")
 
 
-def sessions(stream: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
-    own = stream.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
+def sessions(stream: DataFrame, key: str, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
+    own = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
     return own.select(key, F.col("w.start").alias("start"), "n")
 
 
@@ -32,13 +33,20 @@ def anomalies(stream: DataFrame, baselines: DataFrame, sigmas: float = 2.0) -> D
     return joined.where(F.abs(F.col("value") - F.col("mean")) > sigmas * F.col("std"))
 
 
-def alerts(stream: DataFrame, broken: Column, *keys: str) -> DataFrame:
+def alerts(stream: DataFrame, broken: Column, *keys: str, late: str = LATE) -> DataFrame:
     """One alert per key within the watermark."""
-    return stream.where(broken).withWatermark("ts", LATE).dropDuplicatesWithinWatermark(list(keys))
+    return stream.where(broken).withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there, through the stream, into an in-memory table; for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there, through the stream, into Parquet tables in a shared folder, one for each batch; complete: only the last one counts."""
+    done = {}
+
+    def save(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(at := f"{folder}/out/{i % 2 if mode == 'complete' else i}")
+        done[i] = at
+
+    stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(*([done[max(done)]] if mode == "complete" else done.values()))
