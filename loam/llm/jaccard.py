@@ -1,14 +1,18 @@
 """N-gram Jaccard join with adaptive multi-match prefixes; links and their classes.
 
-A document's set holds the 64-bit hashes of its distinct k-word shingles. Tokens are ordered by a
-fixed-size frequency sketch over all documents, rarest first. If two sets reach the similarity, the
-prefixes of both for a level e (size - least overlap + e tokens) share at least e tokens. Each document
-picks its own level by estimated cost: deeper levels send more tokens, but demand more shared tokens
-before a pair is verified; a pair is held to the smaller level of its two documents.
-
-Equal sets are one class from the start. Within a token's documents pairs are never listed: rounds
-compare every document with one hub per token, and documents already joined need no further
-comparison with each other; only what stays apart after the hub rounds is compared pair by pair.
+A document's set holds the 64-bit hashes of its distinct k-word shingles. Its tokens are these hashes cut
+to a length that grows with the corpus; hashes that fall together take the next free number, which never
+makes two sets share less. Tokens are ordered by the number of documents that hold them, counted exactly,
+rarest first. If two sets reach the similarity, the prefixes of both for a level e (size - least overlap
++ e tokens) share at least e tokens. Each document picks its own level by estimated cost: deeper levels
+send more tokens, but demand more shared tokens before a pair is verified; a pair is held to the smaller
+level of its two documents. Tokens of one document only are counted, but never sent on.
+
+Pairs of a token's documents are never listed. Two rounds compare them with one hub per token, the
+document with the most shared tokens; classes come from the links found. Tokens whose documents are still
+in different classes are left to cells: documents of a family (those that share a hub) fall into blocks of
+a bounded size, and two blocks that share a token meet in one group of a task, where pairs of different
+classes, similar sizes and enough shared prefix tokens are compared by their whole sets.
 """
 
 from __future__ import annotations
@@ -17,18 +21,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, lean, small, written
+from .shared import Scratch, components, lean, small, written
 from .text import U, each, mix
 
-SKETCH = 1 << 20  #: counters of the frequency sketch (4 MB), the same for every corpus size
-BLOCK = 1 << 14
-LEVELS = 8  #: prefix levels, held in the low three bits of a class key
-CELL = 128  #: sets of a block of a family of candidates
-HOT = 64  #: a token of more documents of one task leaves the packed path
+LEVELS = 8  #: prefix levels, held in the low three bits of a key
+BLOCK = 1 << 20  #: shingles that are counted together before they leave a task
+COMMON = 32  #: a token of more documents of one block is sent once for all of them
+CELL = 100_000  #: shingles of the documents of one side of a cell, about
+_ALL = 0xFFFF  #: in place of a document's number: all documents of the block that hold the token
 _WIDE = np.array([0x9E3779B97F4A7C15 * (2 * i + 3) % (1 << 64) for i in range(64)], U)
+_SENT = "kind int, bucket int, block long, doc_id long, n_shingles long, key long, h long, a binary, b binary, c binary"
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -54,248 +60,350 @@ def signature(s: np.ndarray) -> int:
     return int(mix(s + U(1)).sum(dtype=U) & ~U(LEVELS - 1)) if len(s) else 0
 
 
+def tokens(s: np.ndarray, bits: int) -> np.ndarray:
+    """The sorted hashes cut to `bits` bits; equal ones move to the next free number (as in linear probing)."""
+    place = np.arange(len(s))
+    return np.maximum.accumulate((s >> U(64 - bits)).astype(np.int64) - place) + place
+
+
 def least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
-    """(tokens, level) of a set: the level with the least estimated cost of tokens sent and pairs verified."""
-    seen = counts[(s >> U(44)).astype(np.int64)]
-    order = np.lexsort((s, seen))
-    n, base = len(s), len(s) - least(len(s), percent)
+def level(n: int, df: np.ndarray, percent: int) -> tuple[int, int]:
+    """(level, number of shared tokens in its prefix) of a set of n tokens, of which those shared with other
+    documents have the ascending frequencies df: the level with the least estimated cost of tokens sent and
+    pairs verified."""
+    base, alone = n - least(n, percent), n - len(df)
     levels = np.arange(1, max(1, min(LEVELS, least(n, percent))) + 1)
-    shared = np.cumsum(np.maximum(seen[order] - noise, 0))
-    cost = (base + levels) + shared[base + levels - 1] / levels * (4 + n / 20)
-    level = int(levels[np.argmin(cost)])
-    return s[order[: base + level]], level
+    sent = np.clip(base + levels - alone, 0, len(df))
+    met = np.append(0, np.cumsum(df - 1.0))[sent]
+    best = int(np.argmin(sent + met / levels * (4 + n / 20)))
+    return int(levels[best]), int(sent[best])
 
 
-def as_long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned numbers as planes of bytes, lowest first, so that high bytes compress to nothing."""
+    x = x.astype(U)
+    need = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([need]) + x.view(np.uint8).reshape(-1, 8)[:, :need].T.tobytes()
 
 
-def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(membership, links): doc_id, n_shingles, key; and (a, b) pairs of keys found similar, enough to connect
-    every class of similar sets.
+def unplaned(raw: bytes) -> np.ndarray:
+    need = raw[0]
+    out = np.zeros(((len(raw) - 1) // need, 8), np.uint8)
+    out[:, :need] = np.frombuffer(raw, np.uint8, offset=1).reshape(need, -1).T
+    return out.view(U).ravel()
 
-    Null and empty texts have no key and no link. Repeated rows are equal sets; other columns are ignored.
-    """
-    spark = lean(documents.sparkSession)
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    def measure(batches):
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            ids, sizes, keys = batch.column("doc_id"), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for row, s in sets(batch.column("text"), k):
-                sizes[row], keys[row] = len(s), np.uint64(signature(s)).astype(np.int64)
-                np.add.at(total, (s >> U(44)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(keys), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], ["doc_id", "n_shingles", "key", "block", "counts"])
-        for i in np.flatnonzero(total.reshape(-1, BLOCK).any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([i], pa.int32()), pa.array([total[i * BLOCK : (i + 1) * BLOCK].tobytes()], pa.binary())], ["doc_id", "n_shingles", "key", "block", "counts"])
+def rising(x: np.ndarray) -> bytes:
+    return planes(np.diff(x.astype(np.int64), prepend=0))
 
-    measured = written(docs.mapInArrow(measure, "doc_id long, n_shingles long, key long, block int, counts binary"), "jaccard-sets")
-    members = measured.where("block is null").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"))
 
-    def add(key, table):
-        total = sum((np.frombuffer(x.as_py(), np.int64) for x in table.column("counts")), np.zeros(BLOCK, np.int64))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+def risen(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(raw).astype(np.int64))
 
-    counts = np.zeros(SKETCH, np.int64)
-    for row in measured.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        counts[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int64)
-    sketch = spark.sparkContext.broadcast((counts.astype(np.float64), float(np.median(counts))))
-    parts = max(1, math.ceil(counts.sum() / 500_000))
 
-    def emit(batches):
-        ordered, noise = sketch.value
-        tokens, keys, held = [], [], 0
-
-        def packed():
-            t, key = np.concatenate(tokens), np.concatenate(keys)
-            order = np.lexsort((key, t))
-            t, key = t[order], key[order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
-            t, key = t[new], key[new]
-            head = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            width = np.diff(np.append(head, len(t)))
-            hot = np.repeat(width > HOT, width)
-            # a hot token leaves one entry with key 0 behind, so that its other documents are known to share it
-            bucket = np.concatenate([np.where(hot, parts + ((t + key) % U(parts)).astype(np.int64), (t % U(parts)).astype(np.int64)), (t[head[width > HOT]] % U(parts)).astype(np.int64)])
-            t, key = np.concatenate([t, t[head[width > HOT]]]), np.concatenate([key, np.zeros(int((width > HOT).sum()), U)])
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(2 * parts + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            blobs = [np.stack([t[o], key[o]]).tobytes() for o in (order[cuts[i] : cuts[i + 1]] for i in full)]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "packed"])
+def as_long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(x).astype(np.int64, copy=False) if np.asarray(x).dtype != U else x.view(np.int64))
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    """Rows of _SENT; columns that aren't given are null."""
+    kinds = [("kind", pa.int32()), ("bucket", pa.int32()), *((c, pa.int64()) for c in ("block", "doc_id", "n_shingles", "key", "h")), *((c, pa.binary()) for c in "abc")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds], [c for c, _ in kinds])
+
+
+class Block:
+    """Distinct sets of one task, until they are many enough to be sorted and sent."""
+
+    def __init__(self, number: int):
+        self.number, self.of, self.held, self.total = number, {}, [], 0
+
+    def add(self, key: int, s: np.ndarray, bits: int) -> None:
+        if key not in self.of:
+            self.of[key] = len(self.of)
+            self.held.append(tokens(s, bits))
+            self.total += len(s)
+
+    def full(self, most: int) -> bool:
+        return self.total >= most or len(self.of) >= _ALL - 1
+
+    def sent(self, bits: int, parts: int, common: int):
+        """Kind 1: a bucket's tokens, each with its document's number and 1, or with _ALL and how many of the block
+        hold it; kind 2: keys and sizes of the documents, and which ones hold the common tokens."""
+        sizes = np.array([len(t) for t in self.held])
+        t, doc = np.concatenate(self.held), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(t, kind="stable")
+        t, doc = t[order], doc[order]
+        head = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        width = np.diff(np.append(head, len(t)))
+        many = width > common
+        inside = np.repeat(many, width)
+        own = np.concatenate([[many.sum()], t[head[many]], width[many], doc[inside]]).astype(np.int64)
+        keep = ~inside
+        keep[head] = True
+        doc, n = np.where(inside, _ALL, doc)[keep], np.ones(len(t), np.int64)
+        n[head] = np.where(many, width, 1)
+        t, n = t[keep], n[keep]
+        bucket = np.minimum((t * (parts / (1 << bits))).astype(np.int64), parts - 1)
+        cuts = np.searchsorted(bucket, np.arange(parts + 1))
+        for i in np.flatnonzero(np.diff(cuts)):
+            x = slice(cuts[i], cuts[i + 1])
+            yield _rows(1, kind=[1], bucket=[int(i)], block=[self.number], a=[rising(t[x])], b=[planes(doc[x])], c=[planes(n[x])])
+        yield _rows(1, kind=[2], bucket=[self.number % parts], block=[self.number], a=[np.array(list(self.of), U).tobytes()], b=[planes(sizes)], c=[own.tobytes()])
+
+
+def _count(key, table):
+    """Of a bucket's tokens those that more than one document holds, with their number; other rows as they are."""
+    sent = pa.array(np.equal(table.column("kind").to_numpy(), 1))
+    rest, rows = table.filter(pa.array(~sent.to_numpy(zero_copy_only=False))), table.filter(sent)
+    if not rows.num_rows:
+        return rest
+    t, doc, n = ([f(x.as_py()) for x in rows.column(c)] for c, f in (("a", risen), ("b", unplaned), ("c", unplaned)))
+    cuts = np.append(0, np.cumsum([len(x) for x in t]))
+    every = np.concatenate(t)
+    order = np.argsort(every, kind="stable")
+    head = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
+    df = np.zeros(len(every), np.int64)
+    df[order] = np.repeat(np.add.reduceat(np.concatenate(n)[order].astype(np.int64), head), np.diff(np.append(head, len(every))))
+    out = []
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        keep = df[a:b] > 1
+        if keep.any():
+            out.append(_rows(1, kind=[1], bucket=[key[0].as_py()], block=[rows.column("block")[i].as_py()], a=[rising(t[i][keep])], b=[planes(doc[i][keep])], c=[planes(df[a:b][keep])]))
+    return pa.concat_tables([rest.cast(pa.schema(_rows(0).schema)), pa.Table.from_batches(out, _rows(0).schema)])
+
+
+def _prefixes(percent: int):
+    def choose(key, table):
+        t, doc, df = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys = sizes = common = None
+        for kind, a, b, c in zip(table.column("kind").to_pylist(), *(table.column(x) for x in "abc"), strict=True):
+            if kind == 2:
+                keys, sizes, common = np.frombuffer(a.as_py(), U), unplaned(b.as_py()).astype(np.int64), np.frombuffer(c.as_py(), np.int64)
+            else:
+                t.append(risen(a.as_py())), doc.append(unplaned(b.as_py()).astype(np.int64)), df.append(unplaned(c.as_py()).astype(np.int64))
+        t, doc, df = np.concatenate(t), np.concatenate(doc), np.concatenate(df)
+        n = int(common[0])
+        width, whole = common[1 + n : 1 + 2 * n], doc == _ALL  # common tokens stand in the same order on both sides
+        at = np.argsort(t[whole])
+        t, doc, df = np.concatenate([t[~whole], np.repeat(t[whole][at], width)]), np.concatenate([doc[~whole], common[1 + 2 * n :]]), np.concatenate([df[~whole], np.repeat(df[whole][at], width)])
+        order = np.lexsort((t, df, doc))
+        t, doc, df = t[order], doc[order], df[order]
+        first = np.searchsorted(doc, np.arange(len(sizes) + 1))
+        many = np.diff(first)
+        out = [[], [], [], []]
+        for i in np.flatnonzero(sizes - many < sizes - (percent * sizes + 99) // 100 + LEVELS):
+            a, b = first[i], first[i + 1]
+            e, take = level(int(sizes[i]), df[a:b], percent)
+            if take:
+                for column, x in zip(out, (t[a : a + take], np.full(take, keys[i] | U(e - 1)), np.full(take, sizes[i]), np.full(take, take)), strict=True):
+                    column.append(x)
+        return pa.table([as_long(np.concatenate(x)) if x else pa.nulls(0, pa.int64()) for x in out], ["token", "key", "size", "weight"])
+
+    return choose
+
+
+def _plain(c: str):
+    return F.col(c).bitwiseAND(F.lit(~(LEVELS - 1)))
+
+
+def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame, Scratch]:
+    """(membership, links, tables): doc_id, n_shingles, key, h of every row; and (a, b) pairs of keys found similar,
+    enough to connect every class of similar sets; tables holds both until it is dropped.
 
+    Null and empty texts have no key and no link. Repeated rows are equal sets; other columns are ignored.
+    h is Spark's xxhash64 of the text: with the id it finds a row's text again.
+    """
+    spark = lean(documents.sparkSession)
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("h"))
+    tables = Scratch(spark)
+    letters = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(1, letters // 6_000_000)  # about a million shingles each
+    bits = min(52, max(24, letters.bit_length() + 5))
+
+    def emit(batches):
+        number = TaskContext.get().partitionId() << 24
+        block = Block(number)
         for batch in batches:
-            for _, s in sets(batch.column("text"), k):
+            sizes, keys = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, U)
+            for row, s in sets(batch.column("text"), k):
                 if len(s):
-                    t, level = prefix(s, ordered, noise, percent)
-                    tokens.append(t)
-                    keys.append(np.full(len(t), signature(s) | (level - 1), U))
-                    held += len(t)
-                    if held > 1_000_000:
-                        yield from packed()
-                        tokens, keys, held = [], [], 0
-        if held:
-            yield from packed()
-
-    def meet(key, table):
-        both = [np.frombuffer(x.as_py(), U).reshape(2, -1) for x in table.column("packed")]
-        t, k2 = (np.concatenate([x[i] for x in both]) for i in (0, 1))
-        order = np.lexsort((k2, t))
-        t, k2 = t[order], k2[order]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (k2[1:] != k2[:-1])
-        t, k2 = t[new], k2[new]
-        width = np.diff(np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t)))
-        keep = np.repeat((width > 1) | (key[0].as_py() >= parts), width) & (k2 != 0)
-        return pa.table({"token": as_long(t[keep]), "key": as_long(k2[keep])})
-
-    # buckets from `parts` on hold hot tokens, dealt by token and key
-    shared = written(docs.mapInArrow(emit, "bucket int, packed binary").repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, "token long, key long"), "jaccard-shared")
-    links, done = None, None
-    for turn in range(3):
-        pairs = _hub_pairs(shared, turn) if turn < 2 else _all_pairs(shared)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
-        found = written(_verified(docs, members, pairs, k, percent, stars=turn < 2), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
-        if turn < 2:
-            of = components(links)
-            shared = shared.withColumnRenamed("key", "node").select("token", "node", *(["component"] if "component" in shared.columns else [])).drop("component")
-            shared = shared.join(of, "node", "left").select("token", F.col("node").alias("key"), F.coalesce("component", "node").alias("component"))
-            apart = shared.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-            shared = written(shared.join(apart, "token", "left_semi"), "jaccard-apart")
-    plain = lambda c: F.col(c).bitwiseAND(F.lit(~(LEVELS - 1)))
-    return members, links.select(plain("a").alias("a"), plain("b").alias("b"))
-
-
-def _level(c: str):
-    return F.col(c).bitwiseAND(F.lit(LEVELS - 1)) + 1
-
-
-def _counted(pairs: DataFrame) -> DataFrame:
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= F.least(_level("a"), _level("b"))).select("a", "b")
-
-
-def _hub_pairs(shared: DataFrame, turn: int) -> DataFrame:
-    """Documents of a token with the token's hub, if they share enough tokens under this hub; others stay for later."""
-    rows = shared if "component" in shared.columns else shared.withColumn("component", F.col("key"))
-    hub = rows.groupBy("token").agg(F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(turn))).alias("hub"))
-    return _counted(rows.join(hub, "token").where("component <> hub.component").select(F.col("key").alias("a"), F.col("hub.key").alias("b")))
-
-
-def _all_pairs(shared: DataFrame) -> DataFrame:
-    """Pairs of documents that share enough tokens and are still in different classes."""
-    x = shared.select("token", F.col("key").alias("a"), F.col("component").alias("ca"))
-    y = shared.select("token", F.col("key").alias("b"), F.col("component").alias("cb"))
-    return _counted(x.join(y, "token").where("a < b and ca <> cb").select("a", "b"))
-
-
-def _held(docs: DataFrame, members: DataFrame, keys: DataFrame, k: int, whole: bool) -> DataFrame:
-    """(key, held) of the wanted keys: the sets' hashes, or their upper halves."""
-    plain = F.col("key").bitwiseAND(F.lit(~(LEVELS - 1)))
-    wanted = keys.distinct().select(F.col("key").alias("full"), plain.alias("key"))
-    holders = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = holders.join(wanted, "key").select("doc_id", "full")
+                    sizes[row], keys[row] = len(s), signature(s)
+                    block.add(int(keys[row]), s, bits)
+                    if block.full(BLOCK):
+                        yield from block.sent(bits, parts, COMMON)
+                        number += 1
+                        block = Block(number)
+            h = batch.column("h").to_numpy()
+            yield _rows(batch.num_rows, kind=np.zeros(batch.num_rows, np.int32), bucket=((h >> 8) % parts).astype(np.int32), doc_id=batch.column("doc_id"), n_shingles=sizes, key=pa.array(keys.view(np.int64), mask=sizes == 0), h=h)
+        if block.total:
+            yield from block.sent(bits, parts, COMMON)
+
+    sent = docs.mapInArrow(emit, _SENT).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_count, _SENT)
+    counted = tables.write(sent, "counted")
+    members = tables.write(counted.where("kind = 0").select("doc_id", "n_shingles", "key", "h"), "members")
+    chosen = counted.where("kind > 0").groupBy("block").applyInArrow(_prefixes(percent), "token long, key long, size long, weight long")
+    prefixes = tables.write(chosen.distinct(), "prefixes")
+    tables.drop("counted")
+    by_weight = F.struct("weight", "key")
+    hubs = prefixes.groupBy("token").agg(F.count("*").alias("width"), F.max_by(F.struct("key", "size"), by_weight).alias("hub")).where("width > 1")
+    shared = tables.write(prefixes.join(hubs, "token").select("token", "key", "size", "weight", "width", F.col("hub.key").alias("hub"), F.col("hub.size").alias("hub_size")), "shared")
+    tables.drop("prefixes")
+    held = _held(docs, members, shared.select("key").distinct(), k, tables)
+
+    alike = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
+    links = tables.write(_linked(_stars(shared.where(alike), tables), held, percent), "links")
+    tables.drop("sent")
+    rows = _classed(shared, links)
+    # second hubs: of the documents outside the first hub's class the one with the most shared tokens
+    second = rows.where("class <> hub_class").groupBy("token").agg(F.max_by(F.struct("key", "size", "class"), by_weight).alias("x"))
+    rows = rows.join(second, "token").where("class <> x.class").select("token", "key", "size", F.col("x.key").alias("hub"), F.col("x.size").alias("hub_size"))
+    links = links.unionByName(tables.write(_linked(_stars(rows.where(alike), tables), held, percent), "links"))
+    tables.drop("sent")
+    links = links.unionByName(tables.write(_linked(_cells(_classed(shared, links), tables), held, percent), "links"))
+    tables.drop("sent", "placed", "shared", "held")
+    return members, links, tables
+
+
+def _classed(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of tokens whose documents are in different classes, with class and hub_class."""
+    of = components(links)
+    rows = shared.join(of.select(F.col("node").alias("key"), F.col("component").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    rows = rows.join(of.select(F.col("node").alias("hub"), F.col("component").alias("hub_class")), "hub", "left").withColumn("hub_class", F.coalesce("hub_class", "hub"))
+    apart = rows.where("class <> hub_class").select("token").distinct()
+    return rows.join(apart, "token", "left_semi")
+
+
+def _stars(rows: DataFrame, tables: Scratch) -> DataFrame:
+    """Cells of a hub with documents that share a token with it, several for a hub of many."""
+    pairs = tables.write(rows.where("key <> hub").select("key", "size", "hub", "hub_size").distinct(), "sent")
+    parts = pairs.groupBy("hub").agg(F.ceil(F.sum("size") / CELL).alias("parts"))
+    celled = pairs.join(parts, "hub").withColumn("cell", F.xxhash64("hub", F.pmod(F.xxhash64("key"), "parts")))
+    none = F.array().cast("array<bigint>").alias("tokens")
+    ends = celled.select("cell", "key", "size", F.lit(1).alias("side"), F.col("key").alias("class"), none)
+    hubs = celled.select("cell", F.col("hub").alias("key"), F.col("hub_size").alias("size"), F.lit(0).alias("side"), F.col("hub").alias("class"), none)
+    return tables.write(ends.unionByName(hubs.distinct()), "sent")
+
+
+def _cells(rows: DataFrame, tables: Scratch) -> DataFrame:
+    """Cells of the blocks of documents that share a token but not a class.
+
+    A document belongs to the family of the hub of its most frequent token. A family's documents in the
+    hub's own class and all others fall into separate blocks: two of the former never need to meet.
+    """
+    docs = rows.groupBy("key").agg(F.first("size").alias("size"), F.first("class").alias("class"), F.max_by(F.struct("hub", "hub_class"), F.struct("width", "hub")).alias("f"), F.collect_list("token").alias("tokens"))  # at most the prefix of a document
+    docs = docs.select("key", "size", "class", "tokens", F.col("f.hub").alias("family"), (F.col("class") == F.col("f.hub_class")).alias("main"))
+    docs = tables.write(docs, "placed")
+    parts = docs.groupBy("family", "main").agg(F.ceil(F.sum("size") / CELL).alias("parts"))
+    docs = docs.join(parts, ["family", "main"]).withColumn("block", F.xxhash64("family", "main", F.pmod(F.xxhash64("key"), "parts")))
+    docs = tables.write(docs.select("key", "size", "class", "tokens", "block", F.when(F.col("main"), F.col("class")).alias("only")), "placed")
+    at = tables.write(rows.select("token", "key").join(docs.select("key", "block", "only"), "key").select("token", "block", "only").distinct(), "placed")
+    x, y = (at.select("token", F.col("block").alias(f"block_{c}"), F.col("only").alias(f"only_{c}")) for c in "xy")
+    met = x.join(y, "token").where("block_x <= block_y and not coalesce(only_x = only_y, false)").select("block_x", "block_y").distinct()
+    met = met.withColumn("cell", F.xxhash64("block_x", "block_y"))
+    sides = met.select("cell", F.explode(F.when(F.col("block_x") == F.col("block_y"), F.array(F.struct(F.lit(2).alias("side"), F.col("block_x").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block_x").alias("block")), F.struct(F.lit(1).alias("side"), F.col("block_y").alias("block"))))).alias("s"))
+    return tables.write(sides.select("cell", "s.side", "s.block").join(docs, "block").select("cell", "key", "size", "side", "class", "tokens"), "sent")
+
+
+def _held(docs: DataFrame, members: DataFrame, keys: DataFrame, k: int, tables: Scratch) -> DataFrame:
+    """(key, held): the whole sets of the wanted keys, read from the text of one row of each."""
+    anyone = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    wanted = keys.select(F.col("key").alias("full"), _plain("key").alias("key"))
+    wanted = members.where("key is not null").join(wanted, "key").groupBy("full").agg(F.min(F.struct(anyone.alias("id"), "h")).alias("x")).select("full", "x.id", "x.h")
 
     def load(batches):
         for batch in batches:
-            full, keys, held = batch.column("full").to_pylist(), [], []
-            for row, s in sets(batch.column("text"), k):
-                if int(np.uint64(signature(s)).astype(np.int64)) == full[row] & ~(LEVELS - 1):  # a repeated id can hold another text
-                    keys.append(full[row])
-                    held.append((s if whole else (s >> U(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.binary())], ["key", "held"])
-
-    return docs.join(small(wanted, 16), "doc_id").select("full", "text").mapInArrow(load, "key long, held binary")
-
+            kept = [s.tobytes() for _, s in sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("full"), pa.array(kept, pa.binary())], ["key", "held"])
 
-def _family_cells(pairs: DataFrame) -> DataFrame:
-    """(a, b, cell) where documents are labelled by the smallest one they are paired with, which in a dense family is
-    the same for all; those of a label fall into blocks of about CELL, and each pair belongs to the cell of its two
-    blocks: a set is sent once per block it meets, not once per pair. Labels of one block share cells."""
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    label = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "jaccard-labels")
-    sizes = label.groupBy("label").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
-    shared = F.lit(max(1, label.count() // CELL))
-    block = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), shared)).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    placed = label.join(sizes, "label").select("node", block.alias("block"))
-    x, y = (placed.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}")) for c in ("a", "b"))
-    cell = F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", cell.alias("cell"))
+    wanted = tables.write(wanted, "wanted")
+    found = docs.withColumn("id", anyone).join(small(wanted, 24), ["id", "h"]).select("full", "text").mapInArrow(load, "key long, held binary")
+    held = tables.write(found, "held")
+    if held.count() > wanted.count():  # repeated rows: one of each will do
+        held = tables.write(held.groupBy("key").agg(F.first("held").alias("held")), "held")
+    tables.drop("wanted")
+    return held
 
 
-def _star_cells(pairs: DataFrame) -> DataFrame:
-    """(a, b, cell) for pairs around hubs: those of one a together, in several cells where they are many."""
-    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("parts"))
-    shared = F.lit(max(1, pairs.count() // CELL))
-    cell = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("a"), shared)).otherwise(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))))
-    return pairs.join(stars, "a").select("a", "b", cell.alias("cell"))
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of the ranges of n places from start on, one after another."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def _compared(celled: DataFrame, held: DataFrame, percent: int, kind: type, sure: int) -> DataFrame:
-    """Pairs with state: 0 not similar, 1 similar, 2 similar unless more than `sure` of the equal values are chance.
+def _linked(sent: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(a, b): similar pairs of each cell, of a document of side 0 or 2 with one of side 1 or 2.
 
-    celled: (a, b, cell); the pairs of a cell meet the sets they need in one group of a bounded size.
+    sent: cell, key, size, side, class, tokens; documents without tokens are compared without counting shared ones.
     """
-    pairs = written(celled, "jaccard-cells")
-    asked = pairs.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("key")).distinct()
-    sent = asked.join(held, "key").select("at", "key", "held")
-
-    def verify(key, pairs, sets):
-        of = {k: np.frombuffer(v.as_buffer(), kind) for k, v in zip(sets.column("key").to_pylist(), sets.column("held"), strict=True)}
-        state = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            x, y = of[a], of[b]
-            n = len(x) + len(y)
-            need = -(-percent * n // (100 + percent))  # of equal values
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                state.append(0)
-                continue
-            both = np.sort(np.concatenate([x, y]))
-            equal = int((both[1:] == both[:-1]).sum())
-            chance = sure + (n * n >> 30) if kind is np.uint32 else 0
-            state.append(0 if equal < need else 1 if equal >= need + chance else 2)
-        return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "state": pa.array(state, pa.int32())})
-
-    return pairs.groupBy("cell").cogroup(sent.groupBy("at")).applyInArrow(verify, "a long, b long, state int")
-
-
-def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int, stars: bool) -> DataFrame:
-    """The pairs whose whole sets reach the similarity.
-
-    Upper halves of the hashes decide first: they never count too few equal shingles, and too many
-    only by chance; pairs so near the bound that chance could matter are decided by whole hashes.
+    groups = max(1, math.ceil((sent.agg(F.sum("size").alias("n")).first()["n"] or 0) / (4 * CELL)))
+
+    def compare(key, table):
+        table = table.sort_by("cell")
+        cells = table.column("cell").to_numpy()
+        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.flatnonzero(np.append(True, cells[1:] != cells[:-1])), len(cells))), strict=True):
+            for out, pairs in zip(found, similar(table.slice(a, b - a).combine_chunks(), percent), strict=True):
+                out.append(pairs)
+        return pa.table([as_long(np.concatenate(x)) for x in found], ["a", "b"])
+
+    whole = sent.join(held, "key").withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups)).cast("int"))
+    found = whole.repartition(groups, "group").groupBy("group").applyInArrow(compare, "a long, b long")
+    return found.select(_plain("a").alias("a"), _plain("b").alias("b")).distinct()
+
+
+def similar(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the similar pairs of different classes in one cell."""
+    keys, size, side, classes = (cell.column(c).to_numpy() for c in ("key", "size", "side", "class"))
+    own = [np.asarray(t.values.to_numpy() if t.is_valid else (), np.int64) for t in cell.column("tokens")]
+    n = np.array([len(t) for t in own])
+    first = np.cumsum(n) - n
+    names, met = np.unique(np.concatenate(own), return_inverse=True)
+    demand = (keys & (LEVELS - 1)) + 1
+    words = [np.frombuffer(s.as_buffer(), U) for s in cell.column("held")]
+    start = np.cumsum(size) - size
+    every, places = np.unique(np.concatenate(words), return_inverse=True)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    flag, mark, out = np.zeros(len(names), np.int64), np.zeros(len(every), np.int64), ([], [])
+    for x in left:
+        y = right[(classes[right] != classes[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))]
+        if side[x] == 2:
+            y = y[keys[y] > keys[x]]
+        if len(y) and n[x]:
+            flag[met[first[x] : first[x] + n[x]]] = 1
+            shared = np.add.reduceat(flag[met[_ranges(first[y], n[y])]], np.cumsum(n[y]) - n[y])
+            y = y[shared >= np.minimum(demand[x], demand[y])]
+            flag[met[first[x] : first[x] + n[x]]] = 0
+        if len(y):
+            mark[places[start[x] : start[x] + size[x]]] = 1
+            both = np.add.reduceat(mark[places[_ranges(start[y], size[y])]], np.cumsum(size[y]) - size[y])
+            mark[places[start[x] : start[x] + size[x]]] = 0
+            y = y[100 * both >= percent * (size[x] + size[y] - both)]
+            out[0].append(np.full(len(y), keys[x]))
+            out[1].append(keys[y])
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in out)
+
+
+def classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, h, key and class of every row: rows of one class are connected by links.
+
+    Sets of texts that are null, empty or without words have size 0, no key and no class. h is the text's xxhash64.
     """
-    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("key"))
-    held = written(_held(docs, members, ends(pairs), k, whole=False), "jaccard-held")
-    cells = _star_cells if stars else _family_cells
-    first = written(_compared(cells(pairs), held, percent, np.uint32, 16), "jaccard-compared")
-    near = first.where("state = 2").select("a", "b")
-    if near.isEmpty():
-        return first.where("state = 1").select("a", "b")
-    exact = _compared(cells(near), _held(docs, members, ends(near), k, whole=True), percent, np.uint64, 0)
-    return first.where("state = 1").unionByName(exact.where("state = 1")).select("a", "b")
+    members, links, tables = class_links(documents, doc_id, text, k, percent)
+    of = components(links).withColumnRenamed("node", "key").withColumnRenamed("component", "class")
+    joined = written(members.join(of, "key", "left").select("doc_id", "n_shingles", "h", "key", F.coalesce("class", "key").alias("class")), "jaccard-classes")
+    tables.drop_all()
+    return joined
 
 
 def similar_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links of Jaccard similarity >= percent/100.
 
-    Texts that are null, empty or without words have size 0 and stand alone; repeated rows are kept as
-    they are; an empty table gives no rows; further columns of the input are ignored.
+    Texts that are null, empty or without words have size 0 and stand alone; repeated rows are kept as they
+    are; a row without id takes part and has the smallest id of its class, null if there is none; an empty
+    table gives no rows; further columns of the input are ignored.
     """
-    members, links = class_links(documents, doc_id, text, k, percent)
-    of = components(links).withColumnRenamed("node", "key")
-    joined = members.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    joined = written(joined.select("doc_id", "n_shingles", "component"), "jaccard-joined")
-    first = joined.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = joined.join(first, "component", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = classes(documents, doc_id, text, k, percent)
+    first = joined.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return joined.join(first, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

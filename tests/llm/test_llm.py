@@ -76,16 +76,66 @@ def test_jaccard_classes(docs, nothing):
 
 
 def test_jaccard_prefixes_keep_every_similar_pair():
-    counts, r = np.zeros(jaccard.SKETCH), np.random.default_rng(1)
-    counts[:1000] = 5000
-    for _ in range(200):
-        n = int(r.integers(1, 60))
-        a = np.unique(jaccard.mix(r.integers(0, 1 << 60, n).astype(np.uint64)))
-        b = np.unique(np.concatenate([a[: max(1, int(len(a) * r.uniform(0.8, 1)))], jaccard.mix(r.integers(0, 1 << 60, n // 9).astype(np.uint64))]))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 75 * (len(a) + len(b) - both):
-            (p, x), (q, y) = (jaccard.prefix(s, counts, 0.0, 75) for s in (a, b))
-            assert len(np.intersect1d(p, q)) >= min(x, y)
+    r = np.random.default_rng(1)
+    every = [np.unique(jaccard.mix(r.integers(0, 1 << 60, int(r.integers(1, 60))).astype(np.uint64))) for _ in range(60)]
+    every += [np.unique(np.concatenate([a[: max(1, int(len(a) * r.uniform(0.8, 1)))], jaccard.mix(r.integers(0, 1 << 60, len(a) // 9).astype(np.uint64))])) for a in every]
+    for bits in (9, 12, 40):  # with few bits many hashes fall together
+        cut = [jaccard.tokens(s, bits) for s in every]
+        df = Counter(t for c in cut for t in c.tolist())
+        prefixes = []
+        for c in cut:
+            shared = sorted((df[t], t) for t in c.tolist() if df[t] > 1)
+            e, take = jaccard.level(len(c), np.array([n for n, _ in shared]), 75)
+            prefixes.append(({t for _, t in shared[:take]}, e))
+        for i, a in enumerate(every):
+            for j, b in enumerate(every[:i]):
+                both = len(np.intersect1d(a, b))
+                assert len(np.intersect1d(cut[i], cut[j])) >= both
+                if 100 * both >= 75 * (len(a) + len(b) - both):
+                    (p, x), (q, y) = prefixes[i], prefixes[j]
+                    assert len(p & q) >= min(x, y)
+
+
+def test_jaccard_planes():
+    x = np.array([0, 1, 255, 256, 1 << 40], np.int64)
+    assert (jaccard.unplaned(jaccard.planes(x)) == x).all() and (jaccard.risen(jaccard.rising(x)) == x).all()
+    assert len(jaccard.unplaned(jaccard.planes(x[:0]))) == 0
+
+
+def family(n):
+    """Copies of one text around the bound, so that many are similar to some but not to others; ids may be null."""
+    r, base = random.Random(7), [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        own = base[:]
+        for j in r.sample(range(0, 100, 6), r.choice([1, 2, 3, 4])):
+            own[j] = f"x{i}-{j}"
+        rows.append((None if i % 40 == 3 else i, " ".join(own)))
+    return rows + [(n, rows[5][1]), (None, rows[5][1]), (n + 1, None), (None, None), (None, " ")]
+
+
+@pytest.mark.parametrize("bound", [("CELL", 100_000), ("CELL", 500), ("COMMON", 2), ("BLOCK", 300)])
+def test_jaccard_families_against_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(jaccard, *bound)
+    rows = family(150)
+    sets = [shingle_set(t) for _, t in rows]
+    of = list(range(len(rows)))
+
+    def root(x):
+        return x if of[x] == x else root(of[x])
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                of[root(a)] = root(b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    got = jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(-1 if d is None else d, len(sets[i]), least.get(root(i), -1)) for i, (d, _) in enumerate(rows)]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == sorted(want)
+    assert len({c for _, _, c in want}) > 5
 
 
 def test_context_tree(docs, nothing):
