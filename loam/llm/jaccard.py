@@ -264,12 +264,12 @@ def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     tables.drop("sent")
     links = links.unionByName(tables.write(_linked(_cells(_classed(shared, links), tables), held, percent), "links"))
     tables.drop("sent", "placed", "shared", "held")
-    return members, links, tables
+    return members, links.select(_plain("a").alias("a"), _plain("b").alias("b")), tables
 
 
 def _classed(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of tokens whose documents are in different classes, with class and hub_class."""
-    of = components(links)
+    of = components(links, rounds=2)  # documents with one label are connected; a few connected ones may still differ
     rows = shared.join(of.select(F.col("node").alias("key"), F.col("component").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "key"))
     rows = rows.join(of.select(F.col("node").alias("hub"), F.col("component").alias("hub_class")), "hub", "left").withColumn("hub_class", F.coalesce("hub_class", "hub"))
     apart = rows.where("class <> hub_class").select("token").distinct()
@@ -350,11 +350,12 @@ def _linked(sent: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
     whole = sent.join(held, "key").withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups)).cast("int"))
     found = whole.repartition(groups, "group").groupBy("group").applyInArrow(compare, "a long, b long")
-    return found.select(_plain("a").alias("a"), _plain("b").alias("b")).distinct()
+    return found.distinct()
 
 
 def similar(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the similar pairs of different classes in one cell."""
+    """Keys of similar pairs of different classes in one cell: enough to connect all that are similar there, so that
+    a cell gives fewer links than it has documents."""
     keys, size, side, classes = (cell.column(c).to_numpy() for c in ("key", "size", "side", "class"))
     own = [np.asarray(t.values.to_numpy() if t.is_valid else (), np.int64) for t in cell.column("tokens")]
     n = np.array([len(t) for t in own])
@@ -365,6 +366,7 @@ def similar(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     start = np.cumsum(size) - size
     every, places = np.unique(np.concatenate(words), return_inverse=True)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    classes = classes.copy()  # grows together as links are found
     flag, mark, out = np.zeros(len(names), np.int64), np.zeros(len(every), np.int64), ([], [])
     for x in left:
         y = right[(classes[right] != classes[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))]
@@ -380,8 +382,10 @@ def similar(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
             both = np.add.reduceat(mark[places[_ranges(start[y], size[y])]], np.cumsum(size[y]) - size[y])
             mark[places[start[x] : start[x] + size[x]]] = 0
             y = y[100 * both >= percent * (size[x] + size[y] - both)]
-            out[0].append(np.full(len(y), keys[x]))
-            out[1].append(keys[y])
+            joined, at = np.unique(classes[y], return_index=True)
+            out[0].append(np.full(len(joined), keys[x]))
+            out[1].append(keys[y[at]])
+            classes[np.isin(classes, joined)] = classes[x]
     return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in out)
 
 

@@ -23,4 +23,7 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, mod: int, held_o
         part = of.where(F.col("label") == c).orderBy("place").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return docs.join(F.broadcast(chosen), "id").select("label", "place", "text")  # at most 2 * most rows of 20 bytes
+    rows = docs.join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64("text"))  # at most 2 * most rows of 20 bytes
+    # ids may stand in many rows: of each the text with the smallest hash counts, so that the bound holds for rows too
+    one = rows.groupBy("id").agg(F.min("h").alias("h"))
+    return rows.join(F.broadcast(one), ["id", "h"]).dropDuplicates(["id", "h"]).select("label", "place", "text")

@@ -75,9 +75,11 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of `edges`; component is the smallest node reachable.
 
+    With a number of rounds it ends after these: nodes of one label are connected, but not the other way round.
+
     Alternating large-star and small-star rounds (each a grouped minimum and a join, so that no
     group is gathered), written to the shared folder each round, until no edge changes. The edges of
     the last round stay there for the result; those of earlier rounds are dropped.
@@ -95,8 +97,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         held.drop(f"star-{turn}")
         turn += 1
-        if seen == mark:
+        if seen == mark or turn == rounds:
             break
         mark = seen
-    # in the last round every node but the smallest of its component points at that one
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+    # at the end every node but the smallest of its component points at that one
+    low = e.groupBy("u").agg(F.min("v").alias("v"))
+    return low.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(e.select(F.col("u").alias("node")), "node", "left_anti"))

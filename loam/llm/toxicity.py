@@ -106,7 +106,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", mod: int
     got.sort(key=lambda r: (r["place"], r["text"]))
     texts = [(r["label"], r["text"].encode()) for r in got]
     if len({y for y, _ in texts}) < 2:
-        p = (sum(y for y, _ in texts) + 1) / (len(texts) + 2) if texts else 0.25
+        p = min(1 - 1e-9, max(1e-9, sum(y for y, _ in texts) / max(1, len(texts))))  # nothing to learn from: the share of toxic ones
         return b"", b"", np.zeros(MOST - LEAST + 1), np.array([0, 0, 0, np.log(p / (1 - p))])
     halves = [[t for i, t in enumerate(t for y, t in texts if y == c)] for c in (0, 1)]
     toxic, ordinary = dictionaries(halves[1][::2], halves[0][::2])
@@ -119,10 +119,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", mod: int
     return toxic, ordinary, weight, calibrate(shaped(x, weight), y, share / share.mean())
 
 
-def with_scores(documents: DataFrame, model: tuple[bytes, bytes, np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """The rows with a column toxicity (0 to 1)."""
+def with_scores(documents: DataFrame, model: tuple[bytes, bytes, np.ndarray, np.ndarray], text: str = "text", to: str = "toxicity") -> DataFrame:
+    """The rows with a column `to` (0 to 1), which gives way if they have one."""
     lean(documents.sparkSession)
-    held, source = documents.sparkSession.sparkContext.broadcast(model), documents.drop("toxicity")
+    held, source = documents.sparkSession.sparkContext.broadcast(model), documents.drop(to)
     names = source.columns
 
     def run(batches):
@@ -132,10 +132,10 @@ def with_scores(documents: DataFrame, model: tuple[bytes, bytes, np.ndarray, np.
             data, offsets = flat(batch.column(text).cast(pa.string()))
             raw = data.tobytes()
             x = np.array([distance.gains(raw[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-shaped(x, weight) @ curve)))], [*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-shaped(x, weight) @ curve)))], [*names, to])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{schema}, toxicity double")
+    return source.mapInArrow(run, f"{schema}, `{to}` double")
 
 
 def scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 4, held_out: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,7 +143,7 @@ def scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, mod:
 
     Labels are learned from rows whose crc32(doc_id as text) mod `mod` isn't `held_out`. Null counts as
     the empty text, which gains nothing; repeated rows score alike; an empty table gives no rows; without
-    both classes every row has the training share.
+    both classes every row has the training share of toxic texts (0 without any), but for a billionth.
     """
     model = fit(documents, labels, "toxic", mod, held_out, doc_id, text)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("held_out", remainder("doc_id", mod) == held_out)
