@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: words and weights of the content rules
+# fixed values: words (looked for anywhere in the lower-case text), patterns and weights of the content rules
 TAGS = {
-    "definitions": r"\b(definition|means|refers to|defined as)\b",
-    "procedural": r"\b(step|procedure|process|method|how to)\b",
-    "conclusions": r"\b(conclusion|summary|result|therefore)\b",
-    "examples": r"\b(example|instance|such as|for example)\b",
-    "questions": r"\?",
-    "technical": r"\b(algorithm|function|method|class|api)\b",
-    "numeric": r"\d+",
+    "definitions": ("definition", "define", "means", "refers to"),
+    "procedural": ("first", "second", "third", "step", "process"),
+    "conclusions": ("result", "conclusion", "therefore", "thus"),
+    "examples": ("example", "for instance", "such as"),
+    "questions": ("?",),
+    "technical": ("API", "URL", "HTTP", "JSON", "XML"),
 }
-UNCERTAIN = r"\b(maybe|perhaps|possibly|might|could|unclear|uncertain)\b"
-DEFINITIVE = r"\b(definitely|certainly|clearly|obviously|proven|confirmed)\b"
-SPECULATIVE = ("speculate", "assume", "guess", "estimate", "predict", "forecast")
-SWEEPING = r"\b(always|never|all|none|every|everyone)\b"
-ATTRIBUTION = r"\b(according to|research shows|studies indicate|data shows)\b"
-PRECISE = r"\b(\d{4}|\d+\.\d+|[A-Z]{2,})\b"
+AS_WRITTEN = ("technical",)  # these are looked for in the text as it is
+NUMERIC = "[0-9]"
+UNCERTAIN = ("unclear", "uncertain", "maybe", "possibly")
+DEFINITIVE = ("clearly", "definitely", "precisely", "exactly")
+SPECULATIVE = ("might", "could", "possibly", "perhaps", "allegedly", "supposedly")
+SWEEPING = ("it is known", "everyone knows", "obviously")
+ATTRIBUTION = ("according to", "research shows", "data indicates")  # in the text as it is
+PRECISE = "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]+[.][0-9]+|[A-Z]{2,}"
+
+
+def holds(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether the text holds any of the words."""
+    return reduce(or_, (F.contains(text, F.lit(w)) for w in words))
 
 
 def tags(text: str) -> Column:
     low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(name)) for name, p in TAGS.items()]))
+    found = [F.when(holds(F.col(text) if name in AS_WRITTEN else low, words), F.lit(name)) for name, words in TAGS.items()]
+    return F.array_compact(F.array(*found, F.when(F.col(text).rlike(NUMERIC), F.lit("numeric"))))
 
 
 def context(parts: dict[str, Column]) -> Column:
@@ -39,14 +49,14 @@ def clamped(x: Column) -> Column:
 
 def confidence(text: str, about: str) -> Column:
     low, n = F.lower(text), F.length(text)
-    score = F.lit(0.7) + F.when(n < 50, -0.1).when(n > 500, 0.1).otherwise(0.0) + F.when(F.length(about) > 100, 0.1).otherwise(0.0)
-    return clamped(score - F.when(low.rlike(UNCERTAIN), 0.15).otherwise(0.0) + F.when(low.rlike(DEFINITIVE), 0.1).otherwise(0.0))
+    score = F.lit(0.7) + F.when(n < 50, -0.1).when(n > 500, 0.1).otherwise(0.0) + F.when(F.length(about) > 50, 0.1).otherwise(0.0)
+    return clamped(score - F.when(holds(low, UNCERTAIN), 0.15).otherwise(0.0) + F.when(holds(low, DEFINITIVE), 0.1).otherwise(0.0))
 
 
 def risk(text: str) -> Column:
     low = F.lower(text)
     words = sum((F.when(F.contains(low, F.lit(w)), 0.1).otherwise(0.0) for w in SPECULATIVE), F.lit(0.1))
-    return clamped(words + F.when(low.rlike(SWEEPING), 0.2).otherwise(0.0) - F.when(low.rlike(ATTRIBUTION), 0.1).otherwise(0.0) - F.when(F.col(text).rlike(PRECISE), 0.05).otherwise(0.0))
+    return clamped(words + F.when(holds(low, SWEEPING), 0.2).otherwise(0.0) - F.when(holds(F.col(text), ATTRIBUTION), 0.1).otherwise(0.0) - F.when(F.col(text).rlike(PRECISE), 0.05).otherwise(0.0))
 
 
 def document_quality(chunks: DataFrame, key: str) -> DataFrame:

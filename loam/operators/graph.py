@@ -50,10 +50,10 @@ def merged_entities(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy("name", "type").agg(F.count("*").alias("source_count"), F.min(key).alias("first_seen"), F.max(key).alias("last_seen"))
 
 
-def merged_edges(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """One edge per pair of known entities; loops are left out."""
+def merged_edges(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One edge per pair of entities, of known ones if these are given; loops are left out."""
     out = edges.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("source_count"))
-    for end in ("src", "dst"):
+    for end in ("src", "dst") if known else ():
         out = out.join(known.select(F.col("name").alias(end)), end, "left_semi")
     return out.select("src", "dst", "source_count")
 
@@ -119,14 +119,28 @@ def communities(edges: DataFrame, rounds: int) -> DataFrame:
 
 
 def neighbour_similarity(edges: DataFrame, least: float) -> DataFrame:
-    """Pairs of entities whose sets of neighbours have a Jaccard similarity of at least `least`."""
+    """Pairs of entities whose sets of neighbours have a Jaccard similarity of at least `least` (above 0).
+
+    Entities with equal sets are one class under its smallest name, with its number of members. Neighbours are
+    ordered from the rarest on; of the smaller set of a pair the first n - 2 * least / (1 + least) * n + 1, of the
+    larger one the first n - least * n + 1 must have one in common, so that hubs rarely bring sets together.
+    """
     step = cut(both_ways(edges))
-    size = step.groupBy("a").agg(F.count("*").alias("n"))
-    left, right = step.select(F.col("a").alias("x"), "b"), step.select(F.col("a").alias("y"), "b")
-    common = left.join(right, "b").where("x < y").groupBy("x", "y").agg(F.count("*").alias("common"))
-    sized = common.join(size.select(F.col("a").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("a").alias("y"), F.col("n").alias("ny")), "y")
-    union = F.expr("nx + ny - common")
-    return sized.where(F.col("common") >= least * union).select(F.col("x").alias("a"), F.col("y").alias("b"), F.round(F.col("common") / union, 6).alias("similarity"))
+    sets = step.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "b")).alias("g"))
+    named = cut(sets.groupBy("n", "h", "g").agg(F.min("a").alias("a"), F.count("*").alias("members")).select("a", "n", "members"))
+    own = step.join(named, "a")
+    rare = own.groupBy("b").agg(F.count("*").alias("in_sets"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy("in_sets", "b"))
+    own = cut(own.join(rare, "b").withColumn("place", place))
+    slack = 1e-9  # of rounding: a prefix may be longer than it need be, but not shorter
+    index = own.where(F.col("place") <= F.col("n") - F.ceil(2 * least / (1 + least) * F.col("n") - slack) + 1).select("b", F.col("a").alias("x"), F.col("n").alias("nx"))
+    probe = own.where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - slack) + 1).select("b", F.col("a").alias("y"), F.col("n").alias("ny"))
+    near = index.join(probe, "b").where(F.expr("x <> y and (nx < ny or nx = ny and x < y)") & (F.col("nx") >= least * F.col("ny") - slack)).select("x", "y").distinct()
+    common = near.join(own.select(F.col("a").alias("x"), "b"), "x").join(own.select(F.col("a").alias("y"), "b"), ["y", "b"]).groupBy("x", "y").agg(F.count("*").alias("common"))
+    size = lambda c: named.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.col("members").alias(f"members_{c}"))
+    pairs = common.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common").join(size("a"), "a").join(size("b"), "b")
+    union = F.expr("n_a + n_b - common")
+    return pairs.where(F.col("common") >= least * union).select("a", "b", "members_a", "members_b", F.round(F.col("common") / union, 6).alias("similarity"))
 
 
 def statistics(edges: DataFrame) -> DataFrame:

@@ -41,9 +41,9 @@ def load_json_documents(spark, sf_dir):
     return T.json_units(table(spark, sf_dir, "events"), "props", "event_id")
 
 
-@query("""SELECT c_custkey, 'c_custkey: ' || c_custkey || ' | c_name: ' || c_name || ' | c_nationkey: ' || c_nationkey || ' | c_mktsegment: ' || c_mktsegment AS row_text FROM customer""")
+@query("""SELECT c_custkey, 'c_custkey: ' || c_custkey || ' | c_name: ' || c_name || ' | c_nationkey: ' || c_nationkey || ' | c_acctbal: ' || c_acctbal || ' | c_mktsegment: ' || c_mktsegment AS row_text FROM customer""")
 def load_csv_documents(spark, sf_dir):
-    return T.csv_units(table(spark, sf_dir, "customer").drop("c_acctbal")).select("c_custkey", "row_text")
+    return T.csv_units(table(spark, sf_dir, "customer")).select("c_custkey", "row_text")
 
 
 @query(r"""SELECT page_id, CASE lower(regexp_extract(url, '\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) WHEN 'txt' THEN 'txt' WHEN 'md' THEN 'md' WHEN 'markdown' THEN 'md' WHEN 'htm' THEN 'html'
@@ -80,12 +80,12 @@ def upsert_memories(spark, sf_dir):
     return T.upserted(base, changes.unionByName(added)).select("id", F.md5("content").alias("content_hash"), STAMP("updated_at"))
 
 
-@query(f"""WITH {M} SELECT id, CASE WHEN id % 4 = 0 THEN 'new ' || id ELSE left(content, 40) END AS content, CASE WHEN id % 4 = 0 AND id % 8 = 0 THEN '{{}}' ELSE metadata END AS metadata,
+@query(f"""WITH {M} SELECT id, md5(CASE WHEN id % 4 = 0 THEN 'new ' || id ELSE content END) AS content_hash, CASE WHEN id % 4 = 0 AND id % 8 = 0 THEN '{{}}' ELSE metadata END AS metadata,
   CAST(version + CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END AS INTEGER) AS version FROM m""")
 def update_memory_versioned(spark, sf_dir):
-    base = memories(spark, sf_dir).withColumn("content", F.substring("content", 1, 40))
+    base = memories(spark, sf_dir)
     changes = base.where("id % 4 = 0").selectExpr("id", "concat('new ', id) AS content", "if(id % 8 = 0, '{}', null) AS metadata")
-    return T.updated(base, changes, ["content", "metadata"]).select("id", "content", "metadata", "version")
+    return T.updated(base, changes, ["content", "metadata"]).select("id", F.md5("content").alias("content_hash"), "metadata", "version")
 
 
 @query(f"WITH {M} SELECT id, agent_id FROM m WHERE id % 5 <> 0")

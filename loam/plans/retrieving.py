@@ -17,7 +17,7 @@ def corpus(spark, sf_dir):
 
 
 def asked(spark, sf_dir):
-    return corpus(spark, sf_dir).where("id % 25 = 0").select(F.col("id").alias("qid"), "v")
+    return corpus(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("qid"), "v")
 
 
 def docs(spark, sf_dir):
@@ -46,7 +46,7 @@ def vector_distance(spark, sf_dir):
     return both.select("id", r6(1 - V.cosine("v", "q")).alias("cosine"), r6(V.l2("v", "q")).alias("l2"), r6(-V.dot("v", "q")).alias("negative_dot"))
 
 
-KNN = f"k AS (SELECT q.vec_id AS qid, c.vec_id AS id, {COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE q.vec_id % 25 = 0)"
+KNN = f"k AS (SELECT q.vec_id AS qid, c.vec_id AS id, {COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE q.vec_id % 20 = 0)"
 
 
 def knn(spark, sf_dir, k=5):
@@ -106,9 +106,9 @@ TERMS = "list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))
 INDEX = f"i AS (SELECT doc_id AS id, unnest({TERMS}) AS term FROM documents)"
 
 
-@query(f"WITH {INDEX}, a AS (SELECT item_id AS qid, list_sort({TERMS})[1:2] AS t FROM benchmark), w AS (SELECT qid, len(t) AS need, unnest(t) AS term FROM a) SELECT qid, id FROM i JOIN w USING (term) GROUP BY qid, id, need HAVING count(*) = need")
+@query(f"WITH {INDEX}, a AS (SELECT item_id AS qid, {TERMS} AS t FROM benchmark), w AS (SELECT qid, len(t) AS need, unnest(t) AS term FROM a) SELECT qid, id FROM i JOIN w USING (term) GROUP BY qid, id, need HAVING count(*) = need")
 def keyword_search(spark, sf_dir):
-    return R.keyword_matches(docs(spark, sf_dir), questions(spark, sf_dir), 2)
+    return R.keyword_matches(docs(spark, sf_dir), questions(spark, sf_dir))
 
 
 LEX = f"{INDEX}, w AS (SELECT qid, need, unnest(t) AS term FROM (SELECT item_id AS qid, {TERMS} AS t, len({TERMS}) AS need FROM benchmark)), o AS (SELECT qid, id, round(count(*) / need::DOUBLE, 6) AS score FROM i JOIN w USING (term) GROUP BY qid, id, need), l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM o)"

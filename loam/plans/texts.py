@@ -105,18 +105,19 @@ def _has(pattern, text="lower(text)"):
 
 
 PLAIN = r"regexp_replace(text, '[^\x00-\x7F]', '_', 'g')"
-TAG_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has(p)} THEN '{n}' END" for n, p in R.TAGS.items()) + "], lambda x : x IS NOT NULL), ',')"
-RISK_SQL = f"greatest(0.0, least(1.0, 0.1 + {' + '.join(f"CASE WHEN contains(lower(text), '{w}') THEN 0.1 ELSE 0 END" for w in R.SPECULATIVE)} + CASE WHEN {_has(R.SWEEPING)} THEN 0.2 ELSE 0 END - CASE WHEN {_has(R.ATTRIBUTION)} THEN 0.1 ELSE 0 END - CASE WHEN {_has(R.PRECISE, PLAIN)} THEN 0.05 ELSE 0 END))"
-CONF_SQL = f"greatest(0.0, least(1.0, 0.7 + CASE WHEN length(text) < 50 THEN -0.1 WHEN length(text) > 500 THEN 0.1 ELSE 0 END - CASE WHEN {_has(R.UNCERTAIN)} THEN 0.15 ELSE 0 END + CASE WHEN {_has(R.DEFINITIVE)} THEN 0.1 ELSE 0 END))"
+_any = lambda words, text='lower(text)': '(' + ' OR '.join(f"contains({text}, '{w}')" for w in words) + ')'
+TAG_SQL = "array_to_string(list_filter([" + ", ".join([f"CASE WHEN {_any(ws, 'text' if n in R.AS_WRITTEN else 'lower(text)')} THEN '{n}' END" for n, ws in R.TAGS.items()] + [f"CASE WHEN {_has(R.NUMERIC, 'text')} THEN 'numeric' END"]) + "], lambda x : x IS NOT NULL), ',')"
+RISK_SQL = f"greatest(0.0, least(1.0, 0.1 + {' + '.join(f"CASE WHEN contains(lower(text), '{w}') THEN 0.1 ELSE 0 END" for w in R.SPECULATIVE)} + CASE WHEN {_any(R.SWEEPING)} THEN 0.2 ELSE 0 END - CASE WHEN {_any(R.ATTRIBUTION, 'text')} THEN 0.1 ELSE 0 END - CASE WHEN {_has(R.PRECISE, 'text')} THEN 0.05 ELSE 0 END))"
+CONF_SQL = f"greatest(0.0, least(1.0, 0.7 + CASE WHEN length(text) < 50 THEN -0.1 WHEN length(text) > 500 THEN 0.1 ELSE 0 END - CASE WHEN {_any(R.UNCERTAIN)} THEN 0.15 ELSE 0 END + CASE WHEN {_any(R.DEFINITIVE)} THEN 0.1 ELSE 0 END))"
 
 
 def _tagged(spark, sf_dir):
     """documents with words that the rules know in some of them."""
-    more = "concat(text, element_at(array('', ' For example, step 4.', ' It could possibly be 3.5?', ' This is clearly proven. Always.', ' We assume and guess.', ' According to the API definition: AB.'), cast(doc_id % 6 + 1 as int)))"
+    more = "concat(text, element_at(array('', ' For example, step 4.', ' It could possibly be 3.5?', ' This is clearly proven, obviously.', ' Perhaps, allegedly, it might.', ' It is so according to the API definition: AB.'), cast(doc_id % 6 + 1 as int)))"
     return docs(spark, sf_dir).withColumn("text", F.expr(more))
 
 
-D = "d AS (SELECT doc_id, text || (['', ' For example, step 4.', ' It could possibly be 3.5?', ' This is clearly proven. Always.', ' We assume and guess.', ' According to the API definition: AB.'])[doc_id % 6 + 1] AS text FROM documents)"
+D = "d AS (SELECT doc_id, text || (['', ' For example, step 4.', ' It could possibly be 3.5?', ' This is clearly proven, obviously.', ' Perhaps, allegedly, it might.', ' It is so according to the API definition: AB.'])[doc_id % 6 + 1] AS text FROM documents)"
 
 
 @query(f"WITH {D} SELECT doc_id, {TAG_SQL} AS tags FROM d")
@@ -186,15 +187,12 @@ def upsert_entities(spark, sf_dir):
 
 EDGES = f"""{MENTIONS}, p AS (SELECT doc_id, name, lead(name) OVER (PARTITION BY doc_id ORDER BY ordinal) AS other FROM n),
 r AS (SELECT name AS src, other AS dst, count(*) AS source_count FROM p WHERE other IS NOT NULL AND name <> other GROUP BY ALL),
-hub AS (SELECT name FROM n GROUP BY name HAVING count(*) > 1 AND count(*) < 40),
-g AS (SELECT * FROM r WHERE src IN (FROM hub) AND dst IN (FROM hub)), both AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g)""".replace("both AS", "sym AS")
+g AS (SELECT * FROM r), both AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g)""".replace("both AS", "sym AS")
 
 
 def entity_edges(spark, sf_dir):
-    """Edges between entities that several, but not very many, documents mention."""
-    found = entity_mentions(spark, sf_dir)
-    known = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1 and n < 40")
-    return G.merged_edges(G.co_mentions(found, "doc_id"), known)
+    """Edges between all entities that follow each other in a document."""
+    return G.merged_edges(G.co_mentions(entity_mentions(spark, sf_dir), "doc_id"))
 
 
 @query(f"WITH {EDGES} SELECT src, dst, source_count FROM g")
@@ -216,13 +214,14 @@ def connected_entities(spark, sf_dir):
     return G.reached(edges, G.degrees(edges).orderBy("name").limit(5).select("name"), 2)
 
 
-@query(f"WITH RECURSIVE {EDGES}, c AS (SELECT a AS node, a AS root FROM sym UNION SELECT sym.b, c.root FROM c JOIN sym ON sym.a = c.node) SELECT node AS name, min(root) AS component FROM c GROUP BY 1")
+@query()  # a recursive twin would hold all pairs of the largest component
 def connected_components(spark, sf_dir):
     return G.components(entity_edges(spark, sf_dir))
 
 
-@query(f"""WITH {EDGES}, d AS (SELECT a, count(*) AS n FROM sym GROUP BY 1), pp AS (SELECT x.a AS a, y.a AS b, count(*) AS common FROM sym x JOIN sym y ON x.b = y.b AND x.a < y.a GROUP BY ALL)
-SELECT pp.a, pp.b, round(common / (x.n + y.n - common)::DOUBLE, 6) AS similarity FROM pp JOIN d x ON x.a = pp.a JOIN d y ON y.a = pp.b WHERE common >= 0.5 * (x.n + y.n - common)""")
+@query(f"""WITH {EDGES}, l AS (SELECT a, list(b ORDER BY b) AS bs FROM sym GROUP BY 1), d AS (SELECT min(a) AS a, any_value(len(bs)) AS n, count(*) AS members FROM l GROUP BY bs), s AS (SELECT * FROM sym WHERE a IN (SELECT a FROM d)),
+pp AS (SELECT x.a AS a, y.a AS b, count(*) AS common FROM s x JOIN s y ON x.b = y.b AND x.a < y.a GROUP BY ALL)
+SELECT pp.a, pp.b, x.members AS members_a, y.members AS members_b, round(common / (x.n + y.n - common)::DOUBLE, 6) AS similarity FROM pp JOIN d x ON x.a = pp.a JOIN d y ON y.a = pp.b WHERE common >= 0.5 * (x.n + y.n - common)""")
 def entity_similarity(spark, sf_dir):
     return G.neighbour_similarity(entity_edges(spark, sf_dir), 0.5)
 

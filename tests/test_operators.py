@@ -37,11 +37,11 @@ def test_sections(spark):
 
 
 def test_tags_and_estimates(spark):
-    texts = ["For example, 3?", "Maybe. " + "x" * 60, "We assume all guess", "According to the API", "It means a process, therefore a result"]
+    texts = ["For example, 3?", "Maybe. " + "x" * 60, "It might, perhaps; obviously", "So according to the API", "It means a process, therefore a result"]
     df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "i int, t string, about string")
     got = df.orderBy("i").select(enrichment.tags("t").alias("tags"), F.round(enrichment.confidence("t", "about"), 6).alias("c"), F.round(enrichment.risk("t"), 6).alias("r")).collect()
     assert got[0].tags == ["examples", "questions", "numeric"] and got[0].c == 0.6
-    assert got[1].c == 0.55 and got[2].r == 0.5 and got[3].r == 0.0
+    assert got[1].c == 0.55 and got[2].r == 0.5 and got[3].r == 0.0 and got[3].tags == ["technical"]
     assert got[4].tags == ["definitions", "procedural", "conclusions"]
 
 
