@@ -47,7 +47,7 @@ class Scratch:
         before = self.spark.conf.get(_TIDY, "false")
         self.spark.conf.set(_TIDY, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(_TIDY, before)
         self.at[name] = [*self.at.get(name, []), path]
