@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, written
+from .shared import Scratch, lean
 from .text import U, each, flat, mix, ranges
 
 K = 6  #: words of an anchor
@@ -133,8 +133,9 @@ def repeated(sequences: list[list[int]], weights: list[int], length: int) -> lis
 def repeated_windows(documents: DataFrame, length: int = 35) -> DataFrame:
     """(key, s, mask): bit i of mask says that the window at word s + i of the text with that key is repeated.
 
-    documents: key (long, equal for equal rows only) and text.
+    documents: key (long, equal for equal rows only) and text. The result is a written table; all others are dropped.
     """
+    tables = Scratch(documents.sparkSession)
 
     def cut(batches):
         for batch in batches:
@@ -143,13 +144,16 @@ def repeated_windows(documents: DataFrame, length: int = 35) -> DataFrame:
                 anchor, unit, row, s, count = units(words, first, length)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(unit.view(np.int64)), pa.array(keys[a + row]), pa.array(s * 64 + count)], ["anchor", "unit", "key", "p"])
 
-    found = written(documents.select("key", "text").mapInArrow(cut, "anchor long, unit long, key long, p long"), "substring-units")
+    found = tables.write(documents.select("key", "text").mapInArrow(cut, "anchor long, unit long, key long, p long"), "substring-units")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("unit").alias("x"), F.max("unit").alias("y")).where("n > 1")
-    shared = written(found.join(anchors.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchor"), "substring-shared")
+    shared = tables.write(found.join(anchors.select("anchor", (F.col("x") != F.col("y")).alias("mixed")), "anchor"), "substring-shared")
+    tables.drop("substring-units")
     classes = shared.groupBy("anchor", "unit").agg(F.count("*").alias("m"), F.min("key").alias("key"), F.min_by("p", "key").alias("p"), F.bool_or("mixed").alias("mixed"))
-    classes = written(classes, "substring-classes")
+    classes = tables.write(classes, "substring-classes")
     whole = shared.join(classes.where("m > 1").select("anchor", "unit"), ["anchor", "unit"], "left_semi")
     whole = whole.select("key", F.shiftright("p", 6).alias("s"), F.expr("shiftleft(1L, cast(p & 63 as int)) - 1").alias("mask"))
+    whole = tables.write(whole, "substring-whole")
+    tables.drop("substring-shared")
 
     mixed = classes.where("mixed")
     crowds = mixed.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > CROWD)
@@ -172,7 +176,8 @@ def repeated_windows(documents: DataFrame, length: int = 35) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.bool_()), pa.array(out[6], pa.binary())], ["anchor", "unit", "m", "key", "s", "crowded", "words"])
 
     held = documents.join(wanted, "key").select("key", "text", "units").mapInArrow(read, "anchor long, unit long, m long, key long, s long, crowded boolean, words binary")
-    held = written(held, "substring-words")
+    held = tables.write(held, "substring-words")
+    tables.drop("substring-classes")
     shards = max(1, n // SHARD_UNITS)
 
     def match(key, table):
@@ -197,7 +202,9 @@ def repeated_windows(documents: DataFrame, length: int = 35) -> DataFrame:
     crowded = held.where("crowded").dropDuplicates(["anchor", "unit"]).mapInArrow(windows, "anchor long, unit long, m long, key long, s long, i long, window long")
     often = crowded.groupBy("anchor", "window").agg(F.sum("m").alias("n")).where("n > 1").select("anchor", "window")
     single = crowded.where("m = 1").join(often, ["anchor", "window"], "left_semi").select("key", F.col("s") + F.col("i"), F.lit(1).cast("long"))
-    return whole.unionByName(matched).union(single)
+    found = tables.write(whole.unionByName(matched).union(single), "substring-marks")
+    tables.drop("substring-whole", "substring-words")
+    return found
 
 
 def keep_unrepeated(documents: DataFrame, length: int = 35, text: str = "text") -> DataFrame:
