@@ -218,16 +218,16 @@ def keep_unrepeated(documents: DataFrame, length: int = 35, text: str = "text")
     lean(documents.sparkSession)
     docs = documents.drop("n_words", "n_removed", "kept")
     others = [c for c in docs.columns if c != text]
-    keyed = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__key", F.xxhash64("__text", *[F.col(c).cast("string") for c in others]))
-    marks = repeated_windows(keyed.select(F.col("__key").alias("key"), F.col("__text").alias("text")), length)
-    marks = marks.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("s", "mask")).alias("__marks"))  # at most the windows of a text
-    joined = keyed.join(marks, "__key", "left").drop("__key")
+    keyed = docs.withColumn("__windowed_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__windowed_key", F.xxhash64("__windowed_text", *[F.col(c).cast("string") for c in others]))
+    marks = repeated_windows(keyed.select(F.col("__windowed_key").alias("key"), F.col("__windowed_text").alias("text")), length)
+    marks = marks.groupBy(F.col("key").alias("__windowed_key")).agg(F.collect_list(F.struct("s", "mask")).alias("__windowed_marks"))  # at most the windows of a text
+    joined = keyed.join(marks, "__windowed_key", "left").drop("__windowed_key")
     names = docs.columns
 
     def remove(batches):
         for batch in batches:
-            data, offsets = flat(batch.column("__text"))
-            raw, marks = data.tobytes(), batch.column("__marks")
+            data, offsets = flat(batch.column("__windowed_text"))
+            raw, marks = data.tobytes(), batch.column("__windowed_marks")
             n_words, n_removed, kept = [], [], []
             for i in range(batch.num_rows):
                 words = raw[offsets[i] : offsets[i + 1]].split()
