@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, jaccard, lines, packing, personal, pieces, quality, search, substrings, toxicity
+from . import context_tree, jaccard, lines, packing, personal, pieces, quality, search, substrings, toxicity, tries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cross_polytope": op8_cross_polytope,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -107,6 +112,21 @@ k AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
 r AS (SELECT doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN k USING (doc_id))
 SELECT doc_id, len(ws) AS n_words, len(gone) AS n_removed,
   sha256(coalesce(array_to_string(list_filter(ws, lambda x, j : NOT list_contains(gone, j)), ' '), '')) AS kept_sha256 FROM r""",
+    "op11_prefix_trie": """
+WITH t AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'id': id, 'chars': chars} ORDER BY turn NULLS FIRST, id) AS ts FROM t GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c : CAST(ascii(c) AS BIGINT)),
+  lambda c, b : list_reduce([xor(c, b)] || range(8), lambda z, i : CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END)), 4294967295) % 6 AS h FROM o),
+r AS (SELECT h.conv_id, coalesce(b.ts, [])[1:h.h] || h.ts[h.h + 1:] AS seq FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, len(seq) AS turns, unnest(range(0, len(seq) + 1)) AS depth, seq FROM r),
+k AS (SELECT conv_id, turns, depth, array_to_string(list_transform(seq[1:depth], lambda x : x.id), '') AS k, coalesce(seq[depth].chars, 0) AS chars FROM p),
+n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (turns = depth), '') AS ends FROM k GROUP BY depth, k),
+c AS (SELECT depth - 1 AS depth, left(k, 32 * (depth - 1)) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (depth, k)),
+u AS (SELECT unnest(range(0, depth + 1)) AS depth, k, n_children = 0 AS leaf, (n_convs - 1) * chars AS saved FROM m),
+s AS (SELECT depth, left(k, 32 * depth) AS k, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM u GROUP BY 1, 2)
+SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.depth = m.depth AND s.k = m.k LEFT JOIN m up ON up.depth = m.depth - 1 AND up.k = left(m.k, 32 * (m.depth - 1))""",
     "op13_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 k AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
