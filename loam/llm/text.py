@@ -62,12 +62,13 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def spans(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, rows: np.ndarray, letters: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of `data`, and of each row the index of its first word (one more at the end).
 
-    A word is a run of bytes other than space and 0x09-0x0D; rows (offsets into data) end words.
+    A word is a run of the bytes that `letters` marks, by default those other than space and 0x09-0x0D; rows (offsets
+    into data) end words.
     """
-    word = _WORD[data]
+    word = letters[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[1:-1] = word[1:] != word[:-1]
     if len(data):
