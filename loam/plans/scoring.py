@@ -137,12 +137,6 @@ def store_graph_coverage(spark, sf_dir):
     return every.join(linked, "name", "left").agg(F.count("*").alias("entities"), F.count_if(F.col("linked").isNull()).alias("orphans"))
 
 
-@query(f"WITH {X.EDGES} SELECT src, dst FROM g JOIN (SELECT name, min(doc_id) AS first FROM n GROUP BY 1) s ON s.name = src WHERE first BETWEEN 100 AND 500 ORDER BY ALL")
-def temporal_graph_query(spark, sf_dir):
-    known = G.merged_entities(X.entity_mentions(spark, sf_dir), "doc_id").where("first_seen between 100 and 500").select(F.col("name").alias("src"))
-    return X.entity_edges(spark, sf_dir).join(known, "src", "left_semi").select("src", "dst")
-
-
 @query(f"WITH {X.MENTIONS} SELECT name, count(*) AS n FROM n WHERE contains(name, 'tion') GROUP BY 1 ORDER BY n DESC, name LIMIT 20")
 def search_graph_text(spark, sf_dir):
     found = X.entity_mentions(spark, sf_dir).where(F.contains("name", F.lit("tion")))
