@@ -30,10 +30,3 @@ def normalized(a: str | Column) -> Column:
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """Of two arrays as sets."""
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
-
-
-def hashed(text: str | Column, width: int = 64, prefix: str = "") -> Column:
-    """Signed feature hashing of the words of a text, by the bytes of their MD5: the default embedding."""
-    own = F.filter(F.split(F.lower(F.concat(F.lit(prefix), text)), r"[^a-z0-9]+"), lambda w: w != "")
-    places = F.transform(own, lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(places, F.lit(0.0), lambda s, h: s + F.when(h % width == i, F.when(F.floor(h / width) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))

@@ -28,18 +28,6 @@ def nearest(corpus: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return corpus.crossJoin(F.broadcast(query.select(F.col("v").alias("q")))).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)  # one query row
 
 
-def scored(corpus: DataFrame, queries: DataFrame, blocks: int = 16) -> DataFrame:
-    """(qid, id, score) of every corpus row for a stated set of queries, which meet the corpus in blocks by a join on the block."""
-    asked = queries.select("qid", F.col("v").alias("q"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
-    spread = corpus.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"))
-    return spread.join(asked, "block").select("qid", "id", V.cosine("v", "q").alias("score"))
-
-
-def nearest_all(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) of each query's k nearest rows."""
-    return ranked(scored(corpus, queries), "score", "qid", most=k)
-
-
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.explode(terms(text)).alias("term"))
 

@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.embedding import embedded
 from ..operators import retrieval as R
+from ..operators import vectors as N
+from ..sources.scratch import Scratch
 from .registry import E, metrics, query, table
 
 r6 = lambda x: F.round(x, 6)
@@ -50,7 +53,7 @@ KNN = f"k AS (SELECT q.vec_id AS qid, c.vec_id AS id, {COS} AS score, row_number
 
 
 def knn(spark, sf_dir, k=5):
-    return R.nearest_all(corpus(spark, sf_dir), asked(spark, sf_dir), k)
+    return N.exact_nearest(corpus(spark, sf_dir), asked(spark, sf_dir).withColumnRenamed("qid", "id"), k)
 
 
 @query(f"WITH {KNN} SELECT qid, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
@@ -60,7 +63,16 @@ def batch_knn_join(spark, sf_dir):
 
 @query(f"WITH {KNN} SELECT qid, id FROM k WHERE score >= 0.25 AND id <> qid")
 def find_similar(spark, sf_dir):
-    return R.scored(corpus(spark, sf_dir), asked(spark, sf_dir)).where("score >= 0.25 and id <> qid").select("qid", "id")
+    return N.similar_rows(corpus(spark, sf_dir), asked(spark, sf_dir).withColumnRenamed("qid", "id"), 0.25).select("qid", "id")
+
+
+@query()  # which cells are probed is learned: tests hold its recall against brute force
+def ann_search_ivf(spark, sf_dir):
+    """The ten nearest other rows of every twentieth vector, by learned cells."""
+    stored = N.write_cells(corpus(spark, sf_dir), Scratch(spark), 10)
+    if stored is None:
+        return spark.createDataFrame([], "qid long, id long, score double, rank int")
+    return N.nearest_in_cells(spark, stored, asked(spark, sf_dir).withColumnRenamed("qid", "id"), 10)
 
 
 @query(f"WITH {KNN}, f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY qid, rank) AS n FROM k WHERE rank <= 5) SELECT qid, id FROM f WHERE n = 1")
@@ -85,13 +97,13 @@ h AS (SELECT id, CAST('0x' || substr(md5(w), 1, 6) AS BIGINT) AS h FROM t), g AS
 
 @query(f"WITH {HASHED.format('doc_id', '', 'documents')} SELECT id, CAST(place AS INTEGER) AS place, CAST(v AS DOUBLE) AS v FROM g WHERE v <> 0")
 def embed_texts(spark, sf_dir):
-    out = docs(spark, sf_dir).select("id", F.posexplode(V.hashed("text")).alias("place", "v"))
+    out = docs(spark, sf_dir).select("id", F.posexplode(embedded("text")).alias("place", "v"))
     return out.where("v <> 0")
 
 
 @query(f"WITH {HASHED.format('item_id', "'query: ' || ", 'benchmark')} SELECT id, CAST(place AS INTEGER) AS place, CAST(v AS DOUBLE) AS v FROM g WHERE v <> 0")
 def embed_queries(spark, sf_dir):
-    out = questions(spark, sf_dir).select(F.col("qid").alias("id"), F.posexplode(V.hashed("text", prefix="query: ")).alias("place", "v"))
+    out = questions(spark, sf_dir).select(F.col("qid").alias("id"), F.posexplode(embedded("text", prefix="query: ")).alias("place", "v"))
     return out.where("v <> 0")
 
 
