@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.vectors import cosine, jaccard
+from ..sources.scratch import sized
+from .vectors import exact_nearest
 
 # fixed values: the stop words of the keyword search
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "were", "will", "with")
@@ -33,11 +38,96 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def keyword_matches(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id) of documents that hold all terms of a query, by an inverted index; a query without terms finds nothing."""
+    """(qid, id) of documents that hold all terms of a query; a query without terms finds nothing.
+
+    Each query meets the documents by its rarest term only, and the rest of its terms are looked up in those documents.
+    """
+    asked = queries.select("qid", terms("text").alias("t")).where(F.size("t") > 0)
+    wanted = asked.select("qid", F.explode("t").alias("term"))
+    vocabulary = sized(wanted.select("term").distinct(), 64)
+    held = postings(docs, "id", "text").join(vocabulary, "term")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    rare = wanted.join(df, "term", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("x")).where("x.df > 0").select("qid", "x.term")
+    found = postings(docs, "id", "text").join(sized(rare, 64), "term").select("qid", "id")
+    whole = found.join(asked, "qid").join(docs.select("id", "text"), "id")
+    return whole.where(F.size(F.array_intersect("t", terms("text"))) == F.size("t")).select("qid", "id")
+
+
+def text_rank(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, text_rank) of documents that hold all terms of a query: the sum over minimal covers of 0.1 / (1 + noise).
+
+    A cover is a shortest stretch of the text with all terms; noise counts the other words in it. With one term that is 0.1
+    for each time it occurs. Words are taken as they are written (lower case): there is no stemming.
+    """
     asked = queries.select("qid", terms("text").alias("t"))
-    wanted = asked.select("qid", F.size("t").alias("need"), F.explode("t").alias("term"))
-    hit = postings(docs, "id", "text").join(wanted, "term").groupBy("qid", "id", "need").agg(F.count("*").alias("n"))
-    return hit.where("n = need").select("qid", "id")
+    own = keyword_matches(docs, queries).join(asked, "qid").join(docs.select("id", "text"), "id")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
+    at = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.array_position("t", w).cast("int").alias("term"))), lambda x: x["term"] > 0)
+    return own.select("qid", "id", F.size("t").alias("need"), at.alias("at")).select("qid", "id", covered("at", "need").alias("text_rank"))
+
+
+def covered(at: str, need: str) -> Column:
+    """One pass over occurrences (pos, term) in order: a cover ends where the earliest of the terms' last places moves on."""
+    nowhere = F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("i"))
+    start = F.struct(F.array_repeat(nowhere, F.col(need)).alias("last"), F.lit(0).alias("i"), F.lit(-1).alias("begun"), F.lit(0.0).alias("rank"))
+
+    def step(acc, x):
+        last = F.transform(acc["last"], lambda y, j: F.when(j + 1 == x["term"], F.struct(x["pos"].alias("pos"), acc["i"].alias("i"))).otherwise(y))
+        return F.struct(last.alias("last"), (acc["i"] + 1).alias("i"), acc["begun"].alias("begun"), acc["rank"].alias("rank"), x["pos"].alias("pos"))
+
+    def close(acc):
+        first = F.array_min(acc["last"])
+        new = (first["pos"] >= 0) & (first["pos"] > acc["begun"])
+        noise = (acc["pos"] - first["pos"]) - (acc["i"] - 1 - first["i"])
+        return F.struct(acc["last"], acc["i"], F.when(new, first["pos"]).otherwise(acc["begun"]).alias("begun"), F.when(new, acc["rank"] + 0.1 / (1 + noise)).otherwise(acc["rank"]).alias("rank"))
+
+    return F.aggregate(at, start, lambda acc, x: close(step(acc, x)), lambda acc: acc["rank"])
+
+
+def hybrid_scan(docs: DataFrame, queries: DataFrame, k: int, weight: float = 0.7, far: float = 0.8) -> DataFrame:
+    """(qid, id, score, rank): the k best by weight * cosine + (1 - weight) * text rank.
+
+    Candidates are rows that match all terms or whose cosine distance is below `far`. docs and queries: id or qid, text, v.
+    A row that does not match counts by its cosine alone, so that the k nearest and the matches hold the k best; a query
+    without terms is a search by vectors alone. Rows without a vector can only match.
+    """
+    near = exact_nearest(docs.select("id", "v"), queries.select(F.col("qid").alias("id"), "v"), k).where(F.col("score") > 1 - far).select("qid", "id", F.col("score").alias("near"))
+    matched = text_rank(docs, queries)
+    pairs = matched.join(docs.select("id", "v"), "id").join(queries.select("qid", F.col("v").alias("q")), "qid")
+    matched = pairs.select("qid", "id", "text_rank", cosine("v", "q").alias("own"))
+    both = near.join(matched, ["qid", "id"], "full_outer")
+    score = F.round(weight * F.coalesce("own", "near", F.lit(0.0)) + (1 - weight) * F.coalesce("text_rank", F.lit(0.0)), 8)
+    return ranked(both.select("qid", "id", score.alias("score")), "score", "qid", most=k)
+
+
+def deduplicated(results: DataFrame, least: float = 0.9) -> DataFrame:
+    """Each query's results (qid, place, id, score, text) without near copies, taken in order of place, as (qid, id, score, place).
+
+    A result whose word set has a Jaccard similarity above `least` with one that is kept is a copy of the first such: the
+    higher score stays, a replacement at the end of the list; on equal scores the kept one stays. Texts without words
+    are copies of each other. place is that in the new list. A query's results are few (a top-k list).
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
+    own = results.select("qid", F.struct("place", "id", "score", F.coalesce(words, F.array().cast("array<string>")).alias("words")).alias("x"))
+    lists = own.groupBy("qid").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    kind = lists.schema["xs"].dataType.simpleString()
+
+    def step(kept, x):
+        copy = lambda u: F.when((F.size(u["words"]) == 0) & (F.size(x["words"]) == 0), True).otherwise(F.coalesce(jaccard(u["words"], x["words"]), F.lit(0.0)) > least)
+        at = F.array_position(F.transform(kept, copy), F.lit(True)).cast("int")
+        better = x["score"] > F.element_at(kept, F.greatest(at, F.lit(1)))["score"]
+        instead = F.concat(F.filter(kept, lambda u, i: i != at - 1), F.array(x))
+        return F.when(F.size(kept) == 0, F.array(x)).when(at == 0, F.concat(kept, F.array(x))).when(better, instead).otherwise(kept)
+
+    folded = lists.select("qid", F.posexplode(F.aggregate("xs", F.array().cast(kind), step)).alias("place", "x"))
+    return folded.select("qid", "x.id", "x.score", (F.col("place") + 1).alias("place"))
+
+
+def merged_sources(sources: dict[str, tuple[DataFrame, float]]) -> DataFrame:
+    """(qid, place, id, score, source, text): ranked lists (qid, id, score, rank, text) one after the other, each score by its weight."""
+    parts = [df.select("qid", F.lit(i).alias("part"), "rank", "id", F.round(F.col("score") * weight, 8).alias("score"), F.lit(name).alias("source"), "text") for i, (name, (df, weight)) in enumerate(sources.items())]
+    both = reduce(DataFrame.unionByName, parts)
+    return both.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("part", "rank", "id")).alias("place"), "id", "score", "source", "text")
 
 
 def overlap(docs: DataFrame, queries: DataFrame) -> DataFrame:

@@ -135,6 +135,74 @@ def rerank_pairs(spark, sf_dir):
     return lexical(spark, sf_dir)
 
 
+MATCH = f"{INDEX}, a AS (SELECT item_id AS qid, {TERMS} AS t FROM benchmark), w AS (SELECT qid, len(t) AS need, unnest(t) AS term FROM a), mt AS (SELECT qid, id, need FROM i JOIN w USING (term) GROUP BY qid, id, need HAVING count(*) = need)"
+RANK = MATCH + """, ws AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents WHERE doc_id IN (SELECT id FROM mt)), wp AS (SELECT id, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM ws),
+oc AS (SELECT mt.qid, mt.id, mt.need, wp.term, pos, row_number() OVER (PARTITION BY mt.qid, mt.id ORDER BY pos) AS i FROM mt JOIN wp ON wp.id = mt.id JOIN w ON w.qid = mt.qid AND w.term = wp.term),
+la AS (SELECT e.qid, e.id, e.need, e.pos, e.i, o.term, max(o.pos) AS last, max(o.i) AS li FROM oc e JOIN oc o ON o.qid = e.qid AND o.id = e.id AND o.pos <= e.pos GROUP BY ALL),
+cv AS (SELECT qid, id, pos, i, min(last) AS first, min(li) AS fi FROM la GROUP BY qid, id, need, pos, i HAVING count(*) = need),
+ce AS (SELECT qid, id, first, min(pos - first - (i - fi)) AS noise FROM cv GROUP BY qid, id, first),
+tr AS (SELECT qid, id, sum(0.1::DOUBLE / (1 + noise)) AS text_rank FROM ce GROUP BY qid, id)"""
+
+
+@query(f"WITH {RANK} SELECT qid, id, round(text_rank, 6) AS text_rank FROM tr")
+def text_rank(spark, sf_dir):
+    return R.text_rank(docs(spark, sf_dir), questions(spark, sf_dir)).select("qid", "id", r6("text_rank").alias("text_rank"))
+
+
+DH, QH = HASHED.format("doc_id", "", "documents"), HASHED.format("item_id", "'query: ' || ", "benchmark").replace("t AS", "qt AS").replace("FROM t)", "FROM qt)").replace("h AS (", "qh AS (", 1).replace("g AS (", "qg AS (", 1).replace("FROM h GROUP", "FROM qh GROUP")
+NEAR = f"""{DH}, {QH}, dn AS (SELECT id, sqrt(sum(v * v)::DOUBLE) AS n FROM g GROUP BY 1 HAVING sum(v * v) > 0), qn AS (SELECT id AS qid, sqrt(sum(v * v)::DOUBLE) AS n FROM qg GROUP BY 1 HAVING sum(v * v) > 0),
+dp AS (SELECT qg.id AS qid, g.id, sum(qg.v * g.v)::DOUBLE AS dp FROM g JOIN qg USING (place) GROUP BY 1, 2),
+co AS (SELECT qn.qid, dn.id, coalesce(dp, 0) / (qn.n * dn.n) AS score FROM qn CROSS JOIN dn LEFT JOIN dp ON dp.qid = qn.qid AND dp.id = dn.id),
+nr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rank FROM co)"""
+
+
+def with_vectors(spark, sf_dir):
+    """(documents, questions) with their default embeddings, those of the documents written once."""
+    own = Scratch(spark).write(docs(spark, sf_dir).select("id", embedded("text").alias("v")), "embedded")
+    return docs(spark, sf_dir).join(own, "id"), questions(spark, sf_dir).withColumn("v", embedded("text", prefix="query: "))
+
+
+@query(f"""WITH {RANK}, {NEAR}, z AS (SELECT qid, id, round(0.7::DOUBLE * coalesce(score, 0) + (1 - 0.7::DOUBLE) * coalesce(text_rank, 0), 8) AS score FROM co FULL JOIN tr USING (qid, id) WHERE text_rank IS NOT NULL OR 1 - score < 0.8)
+SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM z) WHERE rank <= 10""")
+def hybrid_search_scan(spark, sf_dir):
+    return R.hybrid_scan(*with_vectors(spark, sf_dir), 10).select("qid", "id", "score", "rank")
+
+
+@query(f"""WITH {RANK}, {NEAR}, l AS (SELECT qid, id, round(score, 6) AS score FROM nr WHERE rank <= 10), x AS (SELECT qid, id, round(text_rank, 6) AS score FROM tr QUALIFY row_number() OVER (PARTITION BY qid ORDER BY text_rank DESC, id) <= 10),
+f AS (SELECT coalesce(l.qid, x.qid) AS qid, coalesce(l.id, x.id) AS id, round(0.7::DOUBLE * coalesce(l.score, 0) + (1 - 0.7::DOUBLE) * coalesce(x.score, 0), 8) AS score FROM l FULL JOIN x ON l.qid = x.qid AND l.id = x.id)
+SELECT qid, id, score FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5""")
+def hybrid_search_fused(spark, sf_dir):
+    """Twice as many by vectors and by text rank as are asked for, joined and weighted."""
+    own, asked = with_vectors(spark, sf_dir)
+    near = N.exact_nearest(own.select("id", "v"), asked.select(F.col("qid").alias("id"), "v"), 10).withColumn("score", r6("score"))
+    told = R.ranked(R.text_rank(own, asked).withColumnRenamed("text_rank", "score"), "score", "qid", most=10).withColumn("score", r6("score"))
+    return R.fused(near, told, 0.7, 5).select("qid", "id", "score")
+
+
+MERGED = f"""{LEX}, {NEAR}, mg AS (SELECT qid, id, round(s * w, 8) AS score, source, row_number() OVER (PARTITION BY qid ORDER BY part, rank, id) AS place FROM (
+  SELECT qid, id, round(score, 6) AS s, 0.7::DOUBLE AS w, 'vector' AS source, 0 AS part, rank FROM nr WHERE rank <= 10 UNION ALL SELECT qid, id, score, 0.3::DOUBLE, 'keyword', 1, rank FROM l WHERE rank <= 10)),
+ms AS (SELECT mg.*, list_filter(list_distinct(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+')), lambda w : w <> '') AS ws FROM mg JOIN documents ON doc_id = id),
+sm AS (SELECT a.qid, a.place, list(b.place) AS sims FROM ms a JOIN ms b ON a.qid = b.qid AND b.place < a.place WHERE (len(a.ws) = 0 AND len(b.ws) = 0) OR len(list_intersect(a.ws, b.ws)) / len(list_distinct(a.ws || b.ws))::DOUBLE > 0.9 GROUP BY 1, 2),
+mo AS (SELECT ms.qid, ms.place, ms.id, ms.score, coalesce(sims, []) AS sims FROM ms LEFT JOIN sm ON sm.qid = ms.qid AND sm.place = ms.place)"""
+
+
+def merged(spark, sf_dir):
+    own, asked = with_vectors(spark, sf_dir)
+    near = N.exact_nearest(own.select("id", "v"), asked.select(F.col("qid").alias("id"), "v"), 10).withColumn("score", r6("score"))
+    texts = docs(spark, sf_dir).select("id", "text")
+    return R.merged_sources({"vector": (near.join(texts, "id"), 0.7), "keyword": (lexical(spark, sf_dir).join(texts, "id"), 0.3)})
+
+
+@query(f"""WITH RECURSIVE {MERGED}, fold AS (SELECT qid, 0::BIGINT AS place, []::STRUCT(p BIGINT, s DOUBLE)[] AS kept FROM (SELECT DISTINCT qid FROM mo)
+  UNION ALL SELECT f.qid, m.place, CASE WHEN len(list_filter(kept, lambda k : list_contains(m.sims, k.p))) = 0 THEN kept || [{{'p': m.place, 's': m.score}}]
+    WHEN m.score > list_filter(kept, lambda k : list_contains(m.sims, k.p))[1].s THEN list_filter(kept, lambda k : k.p <> list_filter(kept, lambda j : list_contains(m.sims, j.p))[1].p) || [{{'p': m.place, 's': m.score}}] ELSE kept END
+  FROM fold f JOIN mo m ON m.qid = f.qid AND m.place = f.place + 1),
+e AS (SELECT qid, unnest(kept).p AS p, generate_subscripts(kept, 1) AS place FROM fold QUALIFY row_number() OVER (PARTITION BY qid ORDER BY fold.place DESC) = 1)
+SELECT e.qid, mo.id, mo.score, CAST(e.place AS INTEGER) AS place FROM e JOIN mo ON mo.qid = e.qid AND mo.place = e.p""")
+def dedupe_fuzzy(spark, sf_dir):
+    return R.deduplicated(merged(spark, sf_dir)).select("qid", "id", "score", "place")
+
+
 LONG = f"{LEX}, x AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(least(1.0, length(text) / 20000.0::DOUBLE), 6) AS score FROM o JOIN documents ON doc_id = id))"
 
 
@@ -143,11 +211,6 @@ def by_length(spark, sf_dir, k=10):
     return R.ranked(found.join(docs(spark, sf_dir), "id").select("qid", "id", r6(F.least(F.lit(1.0), F.length("text") / 20000.0)).alias("score")), "score", "qid", most=k)
 
 
-@query(f"WITH {LONG}, f AS (SELECT coalesce(l.qid, x.qid) AS qid, coalesce(l.id, x.id) AS id, round(0.7::DOUBLE * coalesce(l.score, 0) + (1 - 0.7::DOUBLE) * coalesce(x.score, 0), 8) AS score FROM (SELECT * FROM l WHERE rank <= 10) l FULL JOIN (SELECT * FROM x WHERE rank <= 10) x ON l.qid = x.qid AND l.id = x.id) SELECT qid, id, score FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5")
-def hybrid_search_fused(spark, sf_dir):
-    return R.fused(lexical(spark, sf_dir), by_length(spark, sf_dir), 0.7, 5).select("qid", "id", "score")
-
-
 @query(f"WITH {LONG} SELECT coalesce(l.qid, x.qid) AS qid, coalesce(l.id, x.id) AS id, round(1.0::DOUBLE / (60 + coalesce(l.rank, 11)) + 1.0::DOUBLE / (60 + coalesce(x.rank, 11)), 6) AS score FROM (SELECT * FROM l WHERE rank <= 10) l FULL JOIN (SELECT * FROM x WHERE rank <= 10) x ON l.qid = x.qid AND l.id = x.id")
 def fuse_rrf(spark, sf_dir):
     return R.reciprocal(lexical(spark, sf_dir), by_length(spark, sf_dir))

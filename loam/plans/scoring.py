@@ -54,10 +54,9 @@ def fuse_weighted_sum(spark, sf_dir):
     return own.select("qid", "id", scaled("a").alias("a"), scaled("b").alias("b")).select("qid", "id", F.round(0.3 * F.col("a") + 0.7 * F.col("b"), 5).alias("score"))
 
 
-@query(f"WITH {T.LONG} SELECT qid, id, source, round(score * CASE source WHEN 'vector' THEN 0.7 ELSE 0.3 END, 8) AS score FROM (SELECT qid, id, score, 'vector' AS source FROM l WHERE rank <= 10 UNION ALL SELECT qid, id, score, 'graph' FROM x WHERE rank <= 10)")
+@query(f"WITH {T.MERGED} SELECT qid, id, source, score, CAST(place AS INTEGER) AS place FROM mg")
 def merge_weighted_sources(spark, sf_dir):
-    parts = [df.select("qid", "id", F.lit(name).alias("source"), F.round(F.col("score") * weight, 8).alias("score")) for df, name, weight in ((T.lexical(spark, sf_dir), "vector", 0.7), (T.by_length(spark, sf_dir), "graph", 0.3))]
-    return parts[0].unionByName(parts[1])
+    return T.merged(spark, sf_dir).select("qid", "id", "source", "score", "place")
 
 
 @query(f"""WITH {X.MENTIONS}, {T.LEX}, b AS (SELECT doc_id, count(*) AS found FROM n GROUP BY 1) SELECT qid, id, round(score * power(1.02::DOUBLE, least(coalesce(found, 0), 10)), 6) AS score FROM l LEFT JOIN b ON b.doc_id = id WHERE rank <= 10""")

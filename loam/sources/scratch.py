@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast only if its counted rows take at most so many bytes.
+BROADCAST_BYTES = 16 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -25,6 +29,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows take at most `limit` bytes, else as it is."""
+    most = limit // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class Scratch:
     """Written tables cut the lineage and survive lost executors; drop what nothing reads any more."""
 
