@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -48,9 +49,26 @@ def reranker(load: Callable[[], Callable[[list[str], list[str]], list[float]]]):
     return score
 
 
-CHUNKERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+CHUNK = "chunk_no int, chunk string"
 
 
-def register_chunker(name: str, chunk: Callable[[DataFrame], DataFrame]) -> None:
-    """Adds a chunking strategy: a function from documents to chunks."""
-    CHUNKERS[name] = chunk
+def register_chunker(spark: SparkSession, name: str, chunk: Callable[[str], Iterable[str]]) -> None:
+    """Makes a user's chunking strategy (a function from a text to its chunks) a table function of that name.
+
+    In SQL: SELECT d.id, c.* FROM docs d, LATERAL name(d.text) c. chunk_no counts from 0; a null text has no chunks.
+    """
+
+    class Chunker:
+        def eval(self, text: str):
+            if text is not None:
+                yield from enumerate(chunk(text))
+
+    spark.udtf.register(name, F.udtf(Chunker, returnType=CHUNK, useArrow=True))
+
+
+def chunked(docs: DataFrame, name: str, id_: str = "id", text: str = "text") -> DataFrame:
+    """(id, chunk_no, chunk) of every document by a registered chunker."""
+    if not re.fullmatch(r"\w+", name):
+        raise ValueError(f"not a name of a chunker: {name}")
+    own = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"))
+    return own.sparkSession.sql(f"SELECT d.id, c.chunk_no, c.chunk FROM {{docs}} d, LATERAL {name}(d.text) c", docs=own).withColumnRenamed("id", id_)

@@ -222,9 +222,25 @@ def experiment_effects(spark, sf_dir):
     return X.effects(X.summary(results(spark, sf_dir)), "control")
 
 
-@query()
+# Student's tail as its finite sum: the share of the middle is a polynomial in the cosine of atan(t / sqrt(df))
+TAILS = f"""{VARIANT}, c AS (SELECT * FROM s WHERE variant = 'control'), e0 AS (SELECT s.metric, s.variant, s.n >= 10 AND c.n >= 10 AS enough, s.n + c.n - 2 AS df, s.mean - c.mean AS difference, sqrt(((s.n - 1) * s.var + (c.n - 1) * c.var) / (s.n + c.n - 2)) AS pooled, s.n, c.n AS cn FROM s JOIN c ON c.metric = s.metric WHERE s.variant <> 'control'),
+e1 AS (SELECT *, difference / (pooled * sqrt(1.0::DOUBLE / n + 1.0::DOUBLE / cn)) AS t, atan(abs(difference / (pooled * sqrt(1.0::DOUBLE / n + 1.0::DOUBLE / cn))) / sqrt(df)) AS th FROM e0),
+k AS (SELECT metric, variant, unnest(range(1, (df - 2 - df % 2) // 2 + 1)) AS k, df, th FROM e1), l AS (SELECT metric, variant, exp(sum(ln(CASE WHEN df % 2 = 0 THEN (2 * k - 1) / (2 * k)::DOUBLE ELSE (2 * k) / (2 * k + 1)::DOUBLE END) + 2 * ln(cos(th))) OVER (PARTITION BY metric, variant ORDER BY k)) AS x FROM k),
+u AS (SELECT metric, variant, 1 + sum(x) AS u FROM l GROUP BY ALL), v AS (SELECT e1.*, CASE WHEN df % 2 = 0 THEN 1 - sin(th) * coalesce(u, 1) ELSE 1 - 2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * cos(th) * coalesce(u, 1) ELSE 0 END) END AS p FROM e1 LEFT JOIN u USING (metric, variant))"""
+
+
+@query(f"""WITH {TAILS} SELECT metric, variant, df, round(difference, 6) AS difference, round(t, 6) AS t, round(p, 8) AS p, enough AND p < 0.05 AS significant, enough AND difference >= 0.05 AS practical,
+CASE WHEN NOT enough THEN 'Insufficient data for analysis. Continue collecting data.' WHEN p < 0.05 AND difference >= 0.05 THEN 'Strong evidence favoring treatment. Recommend implementing.' WHEN p < 0.05 THEN 'Statistically significant but effect size too small. Consider cost/benefit.'
+  ELSE 'No statistically significant difference detected. Continue monitoring or stop experiment.' END AS advice FROM v""")
 def experiment_significance(spark, sf_dir):
-    return X.significance(X.effects(X.summary(results(spark, sf_dir)), "control"))
+    out = X.analysed(X.summary(results(spark, sf_dir)), "control", target=0.05)
+    return out.select("metric", "variant", "df", Q.r6("difference").alias("difference"), Q.r6("t").alias("t"), F.round("p", 8).alias("p"), "significant", "practical", "advice")
+
+
+@query()  # SQL has no inverse of Student's law: tests hold the intervals against tables
+def experiment_intervals(spark, sf_dir):
+    out = X.analysed(X.summary(results(spark, sf_dir)), "control")
+    return out.select("metric", "variant", Q.r6("ci_lower").alias("ci_lower"), Q.r6("ci_upper").alias("ci_upper"))
 
 
 @query(f"WITH {VARIANT}, c AS (SELECT * FROM s WHERE variant = 'control' AND mean > 0), i AS (SELECT s.variant, (s.mean - c.mean) / c.mean AS change FROM s JOIN c ON c.metric = s.metric WHERE s.variant <> 'control') SELECT variant, round(avg(change), 6) AS change, avg(change) >= 0.05 AND min(change) >= -0.1 AS success, min(change) < -0.1 AS rollback FROM i GROUP BY 1")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ..functions.register import chunked, register_chunker
 from ..operators import chunking as C
 from ..operators import enrichment as R
 from ..operators import graph as G
@@ -256,3 +259,16 @@ def memories_for_entities(spark, sf_dir):
 @query("SELECT doc_id, md5(left(text, 10000)) AS body, 'memory' AS type FROM documents")
 def add_episodes(spark, sf_dir):
     return G.episodes(docs(spark, sf_dir).withColumn("at", F.lit("2024-01-01").cast("timestamp")), "text", "at").select("doc_id", F.md5("body").alias("body"), "type")
+
+
+def by_blank_lines(text: str):
+    """A user's chunker: what stands between blank lines."""
+    return [part.strip(" ") for part in re.split(r"\n[ \t\n\x0b\x0c\r]*\n", text) if part.strip(" ")]
+
+
+@query(r"""WITH x AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n[ \t\n\x0B\f\r]*\n'), lambda p : trim(p, ' ')), lambda p : p <> '') AS ps FROM documents)
+SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS chunk_no, md5(unnest(ps)) AS chunk FROM x""")
+def user_chunker(spark, sf_dir):
+    """A chunker that a user registers, as a table function over all documents."""
+    register_chunker(spark, "blank_line_chunks", by_blank_lines)
+    return chunked(docs(spark, sf_dir), "blank_line_chunks", "doc_id").select("doc_id", "chunk_no", F.md5("chunk").alias("chunk"))
