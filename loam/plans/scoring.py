@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.embedding import embedded
 from ..operators import graph as G
 from ..operators import quality as H
+from ..operators import redundancy as L
 from ..operators import retrieval as R
+from ..sources.scratch import Scratch
 from . import analytics as A
 from . import retrieving as T
 from . import texts as X
@@ -164,7 +167,15 @@ def stream_alerts_dedup(spark, sf_dir):
     return finished(spark, S.alerts(live, F.col("value") > 200, "operation", "hour", late=S.HISTORY).select("operation", F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour")), "append")
 
 
-@query("SELECT count(*) FILTER (n > 1) AS groups, CAST(sum(n) FILTER (n > 1) AS BIGINT) AS members FROM (SELECT count(*) AS n FROM documents GROUP BY md5(lower(text)))")
+@query(f"""WITH RECURSIVE {T.DH}, d AS (SELECT id, sqrt(sum(v * v)::DOUBLE) AS n FROM g GROUP BY 1 HAVING sum(v * v) > 0), o AS (SELECT id, n, row_number() OVER (ORDER BY id % 720 DESC, id) AS i FROM d),
+sp AS (SELECT a.id AS a, b.id AS b, sum(a.v * b.v)::DOUBLE AS dp FROM g a JOIN g b USING (place) GROUP BY 1, 2), pr AS (SELECT x.i, y.i AS j, dp / (x.n * y.n) AS s FROM sp JOIN o x ON x.id = sp.a JOIN o y ON y.id = sp.b WHERE y.i > x.i AND dp / (x.n * y.n) >= 0.95 - 1e-12),
+nb AS (SELECT o.i, coalesce(list(j) FILTER (j IS NOT NULL), []) AS js FROM o LEFT JOIN pr ON pr.i = o.i GROUP BY o.i),
+f AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS taken, []::BIGINT[] AS mine UNION ALL SELECT nb.i, CASE WHEN list_contains(taken, nb.i) THEN taken ELSE list_distinct(taken || js) END,
+  CASE WHEN list_contains(taken, nb.i) THEN [] ELSE list_filter(js, lambda j : NOT list_contains(taken, j)) END FROM f JOIN nb ON nb.i = f.i + 1),
+e AS (SELECT i, unnest(mine) AS j FROM f)
+SELECT x.id AS leader, count(*) + 1 AS members, round(avg(s), 6) AS similarity, CASE WHEN count(*) > 1 THEN 'merge' ELSE 'review' END AS action FROM e JOIN pr ON pr.i = e.i AND pr.j = e.j JOIN o x ON x.i = e.i GROUP BY x.id""")
 def redundant_memories(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").groupBy(F.md5(F.lower("text")).alias("h")).agg(F.count("*").alias("n"))
-    return n.agg(F.count_if(F.col("n") > 1).alias("groups"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("members"))
+    own = memories(spark, sf_dir).select("id", "created_at", embedded("content").alias("v"))
+    out = L.redundant_groups(L.grouped_by_leader(Scratch(spark).write(own, "embedded")))
+    return out.select("leader", "members", r6("similarity").alias("similarity"), "action")
+
