@@ -117,14 +117,32 @@ def strategy(text: str, kind: str) -> Column:
     return by_type.when(F.length(text) < 1000, "token").when(breaks >= 3, "paragraph").otherwise("semantic")
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
 def auto_chunks(docs: DataFrame, size: int, text: str = "text", kind: str = "file_type") -> DataFrame:
-    """Every document by its own strategy: one filtered branch per strategy."""
-    routed = docs.withColumn("strategy", strategy(text, kind))
-    plain = routed.where("strategy = 'token'")
-    out = token_chunks(plain, size, 0, text)
-    for name, cut in (("paragraph", paragraph_chunks), ("semantic", sentence_chunks), ("section", line_chunks), ("row", row_chunks), ("object", object_chunks), ("page", page_chunks)):
-        out = out.unionByName(cut(routed.where(F.col("strategy") == name), size, text).drop("first_unit", "last_unit"))
-    return out
+    """Every document by its own strategy, as strategy, chunk_no and chunk: one pass, in which the strategy picks the units.
+
+    token: words, as many as `token_chunks` takes; paragraph: paragraphs, or their sentences if one is larger than a
+    chunk; semantic: sentences; section: lines; row: lines below a header that stands on every chunk and counts; object:
+    items of a JSON array, else lines; page: pages. Units are whole, and their words are counted once.
+    """
+    how, t = F.col("strategy"), F.col(text)
+    lines, filled = F.split(t, "\n"), lambda units: F.filter(units, lambda u: F.trim(u) != "")
+    items, bare = F.from_json(t, "array<string>"), lambda x: F.regexp_replace(x, r'[\s,\[\]"\\]', "")
+    sentences = lambda p: F.when(13 * word_count(p) > 10 * size, F.split(p, r"[.!?]+\s+")).otherwise(F.array(p))
+    units = F.when(how == "token", words(t)).when(how == "paragraph", filled(F.flatten(F.transform(F.split(t, r"\n\s*\n"), sentences)))).when(how == "semantic", filled(F.split(t, r"[.!?]+\s+")))
+    units = units.when(how == "object", filled(F.when(bare(F.array_join(items, "")) == bare(t), items).otherwise(lines))).when(how == "page", filled(F.split(t, "\f"))).otherwise(filled(lines))
+    own = docs.withColumn("strategy", strategy(text, kind)).withColumn("__u", units)
+    own = own.withColumn("__h", F.when((how == "row") & (F.size("__u") > 1), F.get("__u", F.lit(0)))).withColumn("__u", F.when(F.col("__h").isNotNull(), F.slice("__u", 2, F.size("__u"))).otherwise(F.col("__u")))
+    sizes = F.when(how == "token", F.array_repeat(F.lit(13), F.size("__u"))).otherwise(F.transform("__u", lambda u: 13 * word_count(u)))
+    budget = F.when(how == "token", 13 * -(-10 * size // 13)).otherwise(10 * size - 13 * F.coalesce(word_count(F.col("__h")), F.lit(0)))
+    own = own.withColumn("__n", sizes).withColumn("__b", budget)
+    out = own.select("*", F.posexplode(packed(F.col("__n"), F.col("__b"))).alias("chunk_no", "__r"))
+    glue = F.when(how == "token", " ").when(how == "paragraph", "\n\n").when(how == "semantic", ". ").otherwise("\n")
+    cut = F.call_function("array_join", F.slice("__u", F.col("__r.first") + 1, F.col("__r.last") - F.col("__r.first") + 1), glue)
+    return out.withColumn("chunk", F.when(F.col("__h").isNotNull(), F.concat("__h", F.lit("\n"), cut)).otherwise(cut)).drop("__u", "__h", "__n", "__b", "__r")
 
 
 def chunk_stats(chunks: DataFrame, *keys: str) -> DataFrame:
