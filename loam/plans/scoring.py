@@ -12,6 +12,7 @@ from ..operators import quality as H
 from ..operators import redundancy as L
 from ..operators import retrieval as R
 from ..sources.scratch import Scratch
+from ..streaming import state as Y
 from . import analytics as A
 from . import retrieving as T
 from . import texts as X
@@ -151,12 +152,15 @@ def stream_anomalies(spark, sf_dir):
 
     base = A.base(spark, sf_dir)
     live = stream(spark, sf_dir).withColumn("metric_type", F.expr("element_at(array('latency', 'throughput', 'error_rate'), cast(agent_id % 3 + 1 as int))"))
-    return finished(spark, S.anomalies(live, base).select("event_id"), "append")
+    return finished(spark, S.anomalies(live, base).select("event_id"), "append").drop("batch")
 
 
-@query("SELECT user_id AS agent_id, count(*) AS n FROM events GROUP BY 1")
+@query("""SELECT event_type AS operation, count(value) AS n, round(avg(value), 6) AS mean, array_to_string(list_reverse(list(event_id ORDER BY ts DESC, event_id DESC)[1:5]), ',') AS last FROM events GROUP BY 1""")
 def stream_running_stats(spark, sf_dir):
-    return finished(spark, stream(spark, sf_dir).groupBy("agent_id").agg(F.count("*").alias("n")), "complete")
+    """Of each operation: count, mean and the ids of its last five values."""
+    live = stream(spark, sf_dir).select("operation", "ts", F.col("event_id").alias("id"), "value")
+    out = Y.combined_stats(finished(spark, Y.running_stats(live, "operation"), "update"))
+    return out.select(F.col("key").alias("operation"), "n", r6("mean").alias("mean"), F.array_join(F.transform("last", lambda x: x["id"].cast("string")), ",").alias("last"))
 
 
 @query()
@@ -164,7 +168,7 @@ def stream_alerts_dedup(spark, sf_dir):
     from ..streaming import streams as S
 
     live = stream(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
-    return finished(spark, S.alerts(live, F.col("value") > 200, "operation", "hour", late=S.HISTORY).select("operation", F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour")), "append")
+    return finished(spark, S.alerts(live, F.col("value") > 200, "operation", "hour", late=S.HISTORY).select("operation", F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour")), "append").drop("batch")
 
 
 @query(f"""WITH RECURSIVE {T.DH}, d AS (SELECT id, sqrt(sum(v * v)::DOUBLE) AS n FROM g GROUP BY 1 HAVING sum(v * v) > 0), o AS (SELECT id, n, row_number() OVER (ORDER BY id % 720 DESC, id) AS i FROM d),

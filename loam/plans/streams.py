@@ -7,9 +7,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import ingestion as I
 from ..operators.metrics import r6
+from ..sources.scratch import folder
+from ..sources.scratch import Scratch
+from ..streaming import state as Y
 from ..streaming import streams as S
-from .registry import E, query, table
+from .registry import E, M, memories, query, table
+from .texts import KIND, MENTIONS
 
 
 def stream(spark, sf_dir):
@@ -20,8 +25,7 @@ def stream(spark, sf_dir):
 
 
 def finished(spark, df, mode):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return S.run_once(df, os.path.join(shared, "stream_" + uuid.uuid4().hex), mode)
+    return S.run_once(df, os.path.join(folder(spark), "stream_" + uuid.uuid4().hex), mode)
 
 
 @query(f"WITH {E} SELECT operation, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 6) AS mean FROM e GROUP BY operation, time_bucket(INTERVAL 1 HOUR, ts)")
@@ -32,9 +36,61 @@ def stream_rollup(spark, sf_dir):
 
 @query()
 def stream_sliding_rate(spark, sf_dir):
-    return finished(spark, S.rollup(stream(spark, sf_dir), "agent_id", every="6 hours", slide="3 hours", late=S.HISTORY), "complete")
+    return finished(spark, S.rollup(stream(spark, sf_dir), "agent_id", every="6 hours", slide="3 hours", late=S.HISTORY), "complete").drop("batch")
 
 
 @query()
 def stream_sessions(spark, sf_dir):
-    return finished(spark, S.sessions(stream(spark, sf_dir), "agent_id", "600 minutes", late=S.HISTORY), "complete")
+    return finished(spark, S.sessions(stream(spark, sf_dir), "agent_id", "600 minutes", late=S.HISTORY), "complete").drop("batch")
+
+
+def arriving(spark, sf_dir):
+    """documents as a stream of new files."""
+    path = f"{sf_dir}/documents.parquet"
+    return S.events(spark, f"{sf_dir}/document[s].parquet", spark.read.parquet(path).schema, 100)
+
+
+CHANGES = """inline(case when doc_id % 6 = 0 then array(struct(doc_id, 'changed', 'updated', at), struct(doc_id, 'gone', 'deleted', at + interval 1 hour))
+  when doc_id % 6 = 1 then array(struct(doc_id, 'changed', 'updated', at)) when doc_id % 6 = 2 then array(struct(doc_id + 2000000, 'created', 'created', at)) end) as (id, status, event, event_at)"""
+
+
+@query(f"""WITH {M} SELECT id, CASE WHEN id % 6 = 1 THEN 'changed' ELSE status END AS status FROM m WHERE id % 6 <> 0
+UNION ALL SELECT id + 2000000, 'created' FROM m WHERE id % 6 = 2""")
+def stream_cdc_apply(spark, sf_dir):
+    """The memory table after a stream of changes to its documents."""
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id % 720 as int)) as at"
+    changes = arriving(spark, sf_dir).selectExpr("doc_id", at).selectExpr(CHANGES)
+    table_of = Y.ChangeTable(spark, os.path.join(folder(spark), "changes_" + uuid.uuid4().hex), "id bigint, status string")
+    table_of.run(changes)
+    return table_of.table(memories(spark, sf_dir).select("id", "status"))
+
+
+def incoming(docs):
+    return docs.select(F.col("doc_id").alias("id"), "text", F.expr(KIND).alias("file_type"), F.expr("concat('f', doc_id)").alias("file_name"))
+
+
+@query(f"""WITH {MENTIONS}, ec AS (SELECT doc_id, count(*) AS entities FROM n GROUP BY 1) SELECT d.doc_id AS memory_id, coalesce(entities, 0) AS entities, greatest(coalesce(entities, 0) - 1, 0) AS relationships,
+length(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) > 0 AS success FROM documents d LEFT JOIN ec ON ec.doc_id = d.doc_id""")
+def ingest_documents(spark, sf_dir):
+    """Everything that ingestion stores, counted; tests tie the counts of chunks and vectors to the single operators."""
+    out = ingested(spark, sf_dir)
+    return out.select("memory_id", "entities", "relationships", "success")
+
+
+def ingested(spark, sf_dir):
+    docs = incoming(table(spark, sf_dir, "documents"))
+    chunks = Scratch(spark).write(I.enriched_chunks(docs), "chunks")
+    return I.stored_documents(docs, chunks, *I.entities_of(docs))
+
+
+@query()
+def ingest_quality(spark, sf_dir):
+    """Chunks, tokens, vectors and quality that ingestion stores of each document."""
+    return ingested(spark, sf_dir).select("memory_id", "chunks", "tokens", "vectors", "confidence", "risk", "flags")
+
+
+@query()  # tests hold it against the batch
+def stream_ingest_documents(spark, sf_dir):
+    """Chunks of documents as they arrive, enriched and stored."""
+    out = finished(spark, I.enriched_chunks(incoming(arriving(spark, sf_dir))), "append")
+    return out.select("memory_id", "chunk_id", "chunk_no", F.md5("chunk").alias("chunk"), "context", "confidence", "risk", "tokens")

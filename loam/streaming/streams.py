@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 LATE = "10 minutes"
 HISTORY = "1000 years"  #: late bound for files of the past, which come in any order
@@ -39,14 +39,17 @@ def alerts(stream: DataFrame, broken: Column, *keys: str, late: str = LATE) -> D
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """All that is there, through the stream, into Parquet tables in a shared folder, one for each batch; complete: only the last one counts."""
-    done = {}
-
-    def save(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(at := f"{folder}/out/{i % 2 if mode == 'complete' else i}")
-        done[i] = at
+    """All that is there, through the stream, into a Parquet table in a shared folder, with the number of each row's batch.
 
+    A batch that is sent again replaces what it wrote before, and a run that is started again in the same folder goes on
+    and returns the rows of earlier runs, too. complete: only the last batch counts.
+    """
+    spark, out = stream.sparkSession, f"{folder}/out"
+    save = lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
     stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    if not done:
-        return stream.sparkSession.createDataFrame([], stream.schema)
-    return stream.sparkSession.read.schema(stream.schema).parquet(*([done[max(done)]] if mode == "complete" else done.values()))
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(out)
+    return rows if mode != "complete" else rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")  # one row
