@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
+
 ENTITY = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the session's shared folder (a new one where none is set, as in tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + os.path.realpath(tempfile.mkdtemp(prefix="loam-checkpoint-")))
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -118,15 +115,31 @@ def communities(edges: DataFrame, rounds: int) -> DataFrame:
     return label
 
 
+def neighbour_sets(step: DataFrame) -> DataFrame:
+    """(a, n, h, g): of every entity how many neighbours it has, and two sums of hashes that tell equal sets."""
+    return step.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "b")).alias("g"))
+
+
+def same_neighbours(edges: DataFrame) -> DataFrame:
+    """(a, b, members_a, members_b, similarity): every entity b with just the neighbours of a, the smallest such; similarity is 1.
+
+    These are the members of the classes that `neighbour_similarity` compares: what holds for a holds for each b.
+    """
+    sets = cut(neighbour_sets(both_ways(edges)))
+    classes = sets.groupBy("n", "h", "g").agg(F.min("a").alias("a"), F.count("*").alias("members")).where("members > 1")
+    both = classes.join(sets.withColumnRenamed("a", "b"), ["n", "h", "g"]).where("a <> b")
+    return both.select("a", "b", F.col("members").alias("members_a"), F.col("members").alias("members_b"), F.lit(1.0).alias("similarity"))
+
+
 def neighbour_similarity(edges: DataFrame, least: float) -> DataFrame:
     """Pairs of entities whose sets of neighbours have a Jaccard similarity of at least `least` (above 0).
 
-    Entities with equal sets are one class under its smallest name, with its number of members. Neighbours are
+    Entities with equal sets are one class under its smallest name, with its number of members (`same_neighbours`). Neighbours are
     ordered from the rarest on; of the smaller set of a pair the first n - 2 * least / (1 + least) * n + 1, of the
     larger one the first n - least * n + 1 must have one in common, so that hubs rarely bring sets together.
     """
     step = cut(both_ways(edges))
-    sets = step.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "b")).alias("g"))
+    sets = neighbour_sets(step)
     named = cut(sets.groupBy("n", "h", "g").agg(F.min("a").alias("a"), F.count("*").alias("members")).select("a", "n", "members"))
     own = step.join(named, "a")
     rare = own.groupBy("b").agg(F.count("*").alias("in_sets"))

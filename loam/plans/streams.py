@@ -50,8 +50,11 @@ def arriving(spark, sf_dir):
     return S.events(spark, f"{sf_dir}/document[s].parquet", spark.read.parquet(path).schema, 100)
 
 
-CHANGES = """inline(case when doc_id % 6 = 0 then array(struct(doc_id, 'changed', 'updated', at), struct(doc_id, 'gone', 'deleted', at + interval 1 hour))
-  when doc_id % 6 = 1 then array(struct(doc_id, 'changed', 'updated', at)) when doc_id % 6 = 2 then array(struct(doc_id + 2000000, 'created', 'created', at)) end) as (id, status, event, event_at)"""
+CHANGE = "named_struct('id', {0}, 'status', '{1}', 'event', '{2}', 'event_at', {3})"
+UPDATED = CHANGE.format("doc_id", "changed", "updated", "at")
+DELETED = CHANGE.format("doc_id", "gone", "deleted", "at + interval 1 hour")
+CREATED = CHANGE.format("doc_id + 2000000", "created", "created", "at")
+CHANGES = f"inline(case doc_id % 6 when 0 then array({UPDATED}, {DELETED}) when 1 then array({UPDATED}) when 2 then array({CREATED}) end)"
 
 
 @query(f"""WITH {M} SELECT id, CASE WHEN id % 6 = 1 THEN 'changed' ELSE status END AS status FROM m WHERE id % 6 <> 0

@@ -224,9 +224,12 @@ def connected_components(spark, sf_dir):
 
 @query(f"""WITH {EDGES}, l AS (SELECT a, list(b ORDER BY b) AS bs FROM sym GROUP BY 1), d AS (SELECT min(a) AS a, any_value(len(bs)) AS n, count(*) AS members FROM l GROUP BY bs), s AS (SELECT * FROM sym WHERE a IN (SELECT a FROM d)),
 pp AS (SELECT x.a AS a, y.a AS b, count(*) AS common FROM s x JOIN s y ON x.b = y.b AND x.a < y.a GROUP BY ALL)
-SELECT pp.a, pp.b, x.members AS members_a, y.members AS members_b, round(common / (x.n + y.n - common)::DOUBLE, 6) AS similarity FROM pp JOIN d x ON x.a = pp.a JOIN d y ON y.a = pp.b WHERE common >= 0.5 * (x.n + y.n - common)""")
+SELECT pp.a, pp.b, x.members AS members_a, y.members AS members_b, round(common / (x.n + y.n - common)::DOUBLE, 6) AS similarity FROM pp JOIN d x ON x.a = pp.a JOIN d y ON y.a = pp.b WHERE common >= 0.5 * (x.n + y.n - common)
+UNION ALL SELECT min(a) OVER (PARTITION BY bs), a, count(*) OVER (PARTITION BY bs), count(*) OVER (PARTITION BY bs), 1.0 FROM l QUALIFY min(a) OVER (PARTITION BY bs) <> a""")
 def entity_similarity(spark, sf_dir):
-    return G.neighbour_similarity(entity_edges(spark, sf_dir), 0.5)
+    """Pairs of classes of entities, and of every class its members by their smallest one: no similar pair is lost."""
+    edges = G.cut(entity_edges(spark, sf_dir))
+    return G.neighbour_similarity(edges, 0.5).unionByName(G.same_neighbours(edges))
 
 
 @query()

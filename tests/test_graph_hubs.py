@@ -27,3 +27,24 @@ def test_components_of_hubs(spark):
     pairs = [("hub", f"n{i:03}") for i in range(100)] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(20)]
     got = {r["name"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "src string, dst string")).collect()}
     assert got == {"hub": "hub"} | {f"n{i:03}": "hub" for i in range(100)} | {f"p{i:02}": "p00" for i in range(21)}
+
+
+def test_similarity_loses_no_pair(spark):
+    """Every similar pair follows from the rows of classes: members by their representative, others by both of theirs."""
+    pairs = [("a", "c"), ("b", "c"), ("d", "c"), ("d", "e"), ("x", "y"), ("z", "y"), ("z", "w"), ("u", "w"), ("u", "y"), ("v", "v2")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    rows = [(r.a, r.b, r.similarity) for r in graph.neighbour_similarity(edges, 0.5).union(graph.same_neighbours(edges)).collect()]
+    near: dict = {}
+    for s, d in pairs:
+        near.setdefault(s, set()).add(d)
+        near.setdefault(d, set()).add(s)
+    first = {n: min(m for m in near if near[m] == near[n]) for n in near}
+    got = {frozenset((a, b)): s for a, b, s in rows}
+    for a in near:
+        for b in near:
+            if a < b:
+                want = len(near[a] & near[b]) / len(near[a] | near[b])
+                found = 1.0 if first[a] == first[b] else got.get(frozenset((first[a], first[b])), 0.0)
+                assert (want >= 0.5) == (found > 0) and (want < 0.5 or abs(found - want) < 1e-6)
+                if first[a] == first[b]:
+                    assert all(frozenset((first[n], n)) in got for n in (a, b) if first[n] != n)
