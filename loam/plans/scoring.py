@@ -163,7 +163,7 @@ def stream_running_stats(spark, sf_dir):
     return out.select(F.col("key").alias("operation"), "n", r6("mean").alias("mean"), F.array_join(F.transform("last", lambda x: x["id"].cast("string")), ",").alias("last"))
 
 
-@query()
+@query("SELECT DISTINCT event_type AS operation, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour FROM events WHERE value > 200")
 def stream_alerts_dedup(spark, sf_dir):
     from ..streaming import streams as S
 

@@ -34,14 +34,22 @@ def stream_rollup(spark, sf_dir):
     return out.select("operation", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", r6("mean").alias("mean"))
 
 
-@query()
+FORMAT = "yyyy-MM-dd HH:mm:ss"
+
+
+@query("""WITH b AS (SELECT user_id AS agent_id, value, time_bucket(INTERVAL 3 HOUR, ts) AS t0 FROM events), w AS (SELECT agent_id, value, t0 AS start FROM b UNION ALL SELECT agent_id, value, t0 - INTERVAL 3 HOUR FROM b)
+SELECT agent_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 6) AS mean FROM w GROUP BY agent_id, w.start""")
 def stream_sliding_rate(spark, sf_dir):
-    return finished(spark, S.rollup(stream(spark, sf_dir), "agent_id", every="6 hours", slide="3 hours", late=S.HISTORY), "complete").drop("batch")
+    out = finished(spark, S.rollup(stream(spark, sf_dir), "agent_id", every="6 hours", slide="3 hours", late=S.HISTORY), "complete")
+    return out.select("agent_id", F.date_format("start", FORMAT).alias("start"), "n", r6("mean").alias("mean"))
 
 
-@query()
+@query("""WITH o AS (SELECT user_id AS agent_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 600 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT agent_id, ts, sum(new::INT) OVER (PARTITION BY agent_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
+SELECT agent_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY agent_id, s""")
 def stream_sessions(spark, sf_dir):
-    return finished(spark, S.sessions(stream(spark, sf_dir), "agent_id", "600 minutes", late=S.HISTORY), "complete").drop("batch")
+    out = finished(spark, S.sessions(stream(spark, sf_dir), "agent_id", "600 minutes", late=S.HISTORY), "complete")
+    return out.select("agent_id", F.date_format("start", FORMAT).alias("start"), "n")
 
 
 def arriving(spark, sf_dir):

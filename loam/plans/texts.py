@@ -217,7 +217,9 @@ def connected_entities(spark, sf_dir):
     return G.reached(edges, G.degrees(edges).orderBy("name").limit(5).select("name"), 2)
 
 
-@query()  # a recursive twin would hold all pairs of the largest component
+@query(f"""WITH RECURSIVE {EDGES}, cc(name, component) USING KEY (name) AS (SELECT DISTINCT a, a FROM sym
+  UNION SELECT sym.b, min(cc.component) FROM cc JOIN sym ON sym.a = cc.name JOIN recurring.cc AS r ON r.name = sym.b WHERE cc.component < r.component GROUP BY sym.b)
+SELECT name, component FROM cc""")
 def connected_components(spark, sf_dir):
     return G.components(entity_edges(spark, sf_dir))
 
@@ -232,12 +234,22 @@ def entity_similarity(spark, sf_dir):
     return G.neighbour_similarity(edges, 0.5).unionByName(G.same_neighbours(edges))
 
 
-@query()
+PAGES = ", ".join(
+    f"""gv{i} AS (SELECT dst, sum(rank / deg) AS got FROM r{i} JOIN g ON src = name JOIN (SELECT src AS s, count(*) AS deg FROM g GROUP BY 1) ON s = src GROUP BY 1), lo{i} AS (SELECT 1 - coalesce(sum(got), 0) AS lost FROM gv{i}),
+r{i + 1} AS (SELECT name, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) AS rank, n FROM r{i} LEFT JOIN gv{i} ON dst = name, lo{i})"""
+    for i in range(8)
+)
+
+
+@query(f"WITH {EDGES}, nn AS (SELECT DISTINCT a AS name FROM sym), r0 AS (SELECT name, 1.0::DOUBLE / count(*) OVER () AS rank, count(*) OVER () AS n FROM nn), {PAGES} SELECT name, round(rank, 9) AS rank FROM r8")
 def pagerank(spark, sf_dir):
-    return G.pagerank(entity_edges(spark, sf_dir), 8)
+    return G.pagerank(entity_edges(spark, sf_dir), 8).select("name", F.round("rank", 9).alias("rank"))
 
 
-@query()
+VOTES = ", ".join(f"l{i + 1} AS (SELECT a AS name, label FROM (SELECT sym.a, l{i}.label, count(*) AS n FROM sym JOIN l{i} ON l{i}.name = sym.b GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, label) = 1)" for i in range(4))
+
+
+@query(f"WITH {EDGES}, l0 AS (SELECT DISTINCT a AS name, a AS label FROM sym), {VOTES} SELECT name, label FROM l4")
 def label_propagation(spark, sf_dir):
     return G.communities(entity_edges(spark, sf_dir), 4)
 
