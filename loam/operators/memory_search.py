@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, relations
-from .retrieval import hybrid_scan, level, terms
+from .retrieval import deduplicated, hybrid_scan, level, merged_sources, penalised, terms
+from .vectors import exact_nearest
 
 HEAD = 200  #: characters by which results count as the same
 UNKNOWN = 0.8  #: score of an entity without confidence
@@ -119,3 +120,44 @@ def trading_checks(answers: DataFrame) -> DataFrame:
         F.when(ok(F.col("trading")) & ~F.col("approved"), F.lit("CRITICAL: Trading query detected but safety requirements not met")),
     ]
     return out.withColumn("warnings", F.array_compact(F.array(*warnings)))
+
+
+# fixed values: words by which a query asks for entities, and for relations between things
+ENTITY_WORDS = ("who", "what", "where", "when", "which")
+RELATION_WORDS = ("relationship", "connection", "related", "similar", "compare")
+
+
+def route(text: str) -> Column:
+    """graph for queries that ask for entities, hybrid for long ones and those that ask for relations, else vector."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
+    has = lambda known: F.arrays_overlap(words, F.array(*map(F.lit, known)))
+    return F.when(has(ENTITY_WORDS), "graph").when((F.size(words) > 10) | has(RELATION_WORDS), "hybrid").otherwise("vector")
+
+
+def adaptive_retrieve(docs: DataFrame, queries: DataFrame, entities: DataFrame, edges: DataFrame, k: int = 10, penalty: float = 0.1, least: float = 0.0) -> DataFrame:
+    """(qid, route, rank, key, score): the k best results of every query by the search that suits it.
+
+    docs (id, text, v), queries (qid, text, v). vector: the k nearest memories; graph: the entities that the query names; hybrid: both, by 0.7 and
+    0.3, without near copies. Then results lose up to `penalty` of their score for likeness with better ones, results
+    are reranked by the mean of score and share of the query's terms, and those below `least` go. Ties by key.
+    """
+    routed = queries.withColumn("route", route("text"))
+    near = exact_nearest(docs.select("id", "v"), routed.where("route <> 'graph'").select(F.col("qid").alias("id"), "v"), k).join(docs.select("id", "text"), "id")
+    near = near.select("qid", F.concat(F.lit("memory:"), F.lpad(F.col("id").cast("string"), 19, "0")).alias("id"), "score", "rank", "text")
+    hits = graph_hits(routed.where("route <> 'vector'"), entities, edges).withColumn("id", F.concat(F.lit("entity:"), "name"))
+    first = Window.partitionBy("qid").orderBy(F.desc("score"), "id", "type")
+    hits = hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("qid", "id", "score", "rank", F.concat(F.lit("Entity: "), "name", F.lit(" ("), "type", F.lit(")")).alias("text"))
+    which = routed.select("qid", "route", F.col("text").alias("query"))
+    of = lambda df, name: df.join(which.where(F.col("route") == name).select("qid"), "qid", "left_semi")
+    mixed = merged_sources({"vector": (of(near, "hybrid"), 0.7), "graph": (of(hits, "hybrid"), 0.3)})
+    texts = mixed.select("qid", "id", "text").dropDuplicates(["qid", "id"])
+    kept = deduplicated(mixed).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).join(texts, ["qid", "id"])
+    columns = ["qid", "id", "score", "rank", "text"]
+    found = of(near, "vector").select(columns).unionByName(of(hits, "graph").select(columns)).unionByName(kept.select(columns))
+    found = found.withColumn("text", F.coalesce("text", F.lit("")))
+    spread = penalised(found, penalty).join(found.select("qid", "id", "text").dropDuplicates(["qid", "id"]), ["qid", "id"]).join(which, "qid")
+    asked = terms("query")
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect(asked, terms("text"))), F.size(asked)), F.lit(0.0))
+    scored = spread.withColumn("score", F.round((F.col("score") + share) / 2, 6)).where(F.col("score") >= least)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("qid", "route", "rank", F.col("id").alias("key"), "score")

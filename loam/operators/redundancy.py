@@ -107,12 +107,12 @@ def grouped_by_leader(memories: DataFrame, least: float = 0.95, miss: float = 1e
     vectors = classes.select("id", "age", "v")
     open_, leaders, done = classes.select("id"), None, None
     while True:
-        status = open_.withColumn("open", F.lit(True))
-        if leaders is not None:
-            status = status.union(leaders.withColumn("open", F.lit(False)))
-        live = buckets.join(status, "id")
-        if leaders is not None:  # only buckets where something is open
-            live = live.join(live.where("open").select("table", "key").distinct(), ["table", "key"], "left_semi")
+        if leaders is None:
+            live = buckets.withColumn("open", F.lit(True))
+        else:  # only buckets where something is open, and in them what is open or leads
+            status = open_.withColumn("open", F.lit(True)).union(leaders.withColumn("open", F.lit(False)))
+            touched = buckets.select("table", "key", "id").join(open_, "id", "left_semi").select("table", "key").distinct()
+            live = buckets.join(touched, ["table", "key"], "left_semi").join(status, "id")
         ordered = live.select("table", "key", "age", "id", "half", "open").repartition("table", "key").sortWithinPartitions("table", "key", "age", "id")
         pairs = ordered.mapInArrow(lambda part: newest_alike(part, least), "u long, w long").distinct()
         both = pairs.join(vectors.select(F.col("id").alias("u"), F.col("v").alias("a")), "u").join(vectors.select(F.col("id").alias("w"), F.col("v").alias("b"), F.col("age").alias("w_age")), "w")

@@ -96,3 +96,9 @@ def trading_safety_checks(spark, sf_dir):
 def search_memory(spark, sf_dir):
     own, asked = T.with_vectors(spark, sf_dir)
     return S.search_memory(own, asked, *known_entities(spark, sf_dir), 10, 0.2)
+
+
+@query()  # a test holds routes, sources and order against plain Python
+def adaptive_retrieve(spark, sf_dir):
+    own, asked = T.with_vectors(spark, sf_dir)
+    return S.adaptive_retrieve(own, asked, *known_entities(spark, sf_dir), 10)

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the folder given to setCheckpointDir, or a new one where neither is set, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,7 +51,12 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df, written and read again; `source` of the result is its path."""
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_TIDY, "false")
+        self.spark.conf.set(_TIDY, "true")  # the shuffle files behind a written table go at once
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_TIDY, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.source = path
         return out

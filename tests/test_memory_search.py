@@ -68,3 +68,30 @@ def test_fallback_and_least_score(spark):
     out = S.with_fallback(df, {"first": F.col("a"), "second": F.col("b")}).orderBy("id").collect()
     assert [(r.v, r.model) for r in out] == [([1.0], "first"), ([2.0, 2.0], "second"), (None, None)]
     assert S.at_least(spark.createDataFrame([(0.5,), (0.4,), (None,)], "score double"), 0.5).count() == 1
+
+
+def test_adaptive_retrieval(spark):
+    vec = np.random.default_rng(4)
+    docs = [(i, t, vec.normal(size=6).tolist()) for i, t in enumerate(["red dog runs", "red dog runs", "blue cat", None, "a long text about dogs and cats", ""])]
+    queries = [(0, "red dog", vec.normal(size=6).tolist()), (1, "who is Ada Byron", vec.normal(size=6).tolist()), (2, "how does Ada Byron compare", vec.normal(size=6).tolist()), (3, None, vec.normal(size=6).tolist()), (4, "what about nobody", vec.normal(size=6).tolist()), (5, "one two three four five six seven eight nine ten eleven", vec.normal(size=6).tolist())]
+    entities, edges = [("Ada Byron", "PERSON", 0.9)], [("Ada Byron", "Charles")]
+    frames = spark.createDataFrame(docs, "id long, text string, v array<double>"), spark.createDataFrame(queries, "qid long, text string, v array<double>"), spark.createDataFrame(entities, "name string, type string, confidence double"), spark.createDataFrame(edges, "src string, dst string")
+    got: dict = {}
+    for r in S.adaptive_retrieve(*frames, k=4, penalty=0.5, least=-1.0).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.route, r.key, r.score))
+    assert {q: x[0][0] for q, x in got.items()} == {0: "vector", 1: "graph", 2: "hybrid", 3: "vector", 5: "hybrid"}
+    assert got[1] == [("graph", "entity:Ada Byron", round((0.9 + 2 / 3) / 2, 6))]  # ada and byron of who, ada, byron
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    for q in (0, 3):
+        near = sorted(((-float(unit(v) @ unit(queries[q][2])), i) for i, _, v in docs))[:4]
+        assert sorted(k for _, k, _ in got[q]) == sorted(f"memory:{i:019d}" for _, i in near)
+        before, want = [], {}
+        for s, i in near:
+            w = set((docs[i][1] or "").lower().split(" "))
+            worst = max((len(w & u) / len(w | u) for u in before), default=0.0)
+            before.append(w)
+            asked = {x for x in (queries[q][1] or "").split() if x}
+            share = len(asked & set((docs[i][1] or "").split())) / len(asked) if asked else 0.0
+            want[f"memory:{i:019d}"] = (round(-s * (1 - 0.5 * worst), 6) + share) / 2
+        assert all(abs(want[k] - s) < 2e-6 for _, k, s in got[q]) and [s for *_, s in got[q]] == sorted((s for *_, s in got[q]), reverse=True)
+    assert "entity:Ada Byron" in [k for _, k, _ in got[2]] and len({k for _, k, _ in got[2]}) == len(got[2])
