@@ -16,6 +16,7 @@ def test_chunker_as_a_table_function(spark):
     assert got == [(1, 0, "ab"), (1, 1, "cd"), (4, 0, "é"), (4, 1, "😀x")]
     df.createOrReplaceTempView("some_docs")
     assert spark.sql("SELECT d.id, c.chunk FROM some_docs d, LATERAL halves(d.text) c").count() == 4
+    spark.catalog.dropTempView("some_docs")
     with pytest.raises(ValueError):
         R.chunked(df, "halves(d.text); --")
 
