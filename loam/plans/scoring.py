@@ -16,7 +16,7 @@ from ..streaming import state as Y
 from . import analytics as A
 from . import retrieving as T
 from . import texts as X
-from .registry import UL, E, M, memories, metrics, query, table, usage
+from .registry import UL, E, M, memories, metrics, query, usage
 from .streams import finished, stream
 
 r6 = lambda x: F.round(x, 6)
