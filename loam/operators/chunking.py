@@ -65,37 +65,6 @@ def line_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     return unit_chunks(docs, F.split(text, "\n"), size, "\n")
 
 
-def paragraph_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """Whole paragraphs; one larger than a chunk counts as its sentences."""
-    sentences = lambda p: F.when(13 * F.size(words(p)) > 10 * size, F.split(p, r"[.!?]+\s+")).otherwise(F.array(p))
-    return unit_chunks(docs, F.flatten(F.transform(F.split(text, r"\n\s*\n"), sentences)), size, "\n\n")
-
-
-def sentence_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    return unit_chunks(docs, F.split(text, r"[.!?]+\s+"), size, ". ")
-
-
-def row_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """Whole rows below the header, which counts against the size and stands on every chunk; a lone line is a row."""
-    lines = F.filter(F.split(text, "\n"), lambda u: F.trim(u) != "")
-    own = docs.withColumn("__l", lines).withColumn("__h", F.when(F.size("__l") > 1, F.element_at("__l", 1)).otherwise(""))
-    out = unit_chunks(own, F.when(F.size("__l") > 1, F.slice("__l", 2, F.size("__l"))).otherwise(F.col("__l")), size, "\n", F.size(words("__h")))
-    return out.withColumn("chunk", F.when(F.col("__h") != "", F.concat("__h", F.lit("\n"), "chunk")).otherwise(F.col("chunk"))).drop("__l", "__h")
-
-
-def object_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """Whole items of a JSON array; other texts, and arrays whose items would lose text, count as JSON lines."""
-    items = F.from_json(text, "array<string>")
-    bare = lambda t: F.regexp_replace(t, r'[\s,\[\]"\\]', "")
-    whole = bare(F.array_join(items, "")) == bare(F.col(text))
-    return unit_chunks(docs, F.when(whole, items).otherwise(F.split(text, "\n")), size, "\n")
-
-
-def page_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """Whole pages, which form feeds end."""
-    return unit_chunks(docs, F.split(text, "\f"), size, "\n")
-
-
 def sections(docs: DataFrame, id_: str, text: str = "text") -> DataFrame:
     """One row per section: a header line (# to ######) and the lines below it, in order; section 0 has no header."""
     header = r"^#{1,6}\s+\S"

@@ -47,16 +47,6 @@ def chunk_line(spark, sf_dir):
     return C.line_chunks(docs(spark, sf_dir), 64).select("doc_id", "chunk_no", "first_unit", "last_unit", F.md5(F.split("chunk", "\n")[0]).alias("head"))
 
 
-@query()
-def chunk_paragraph(spark, sf_dir):
-    return C.paragraph_chunks(docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), 128).select("doc_id", "chunk_no", "chunk")
-
-
-@query()
-def chunk_semantic(spark, sf_dir):
-    return C.sentence_chunks(docs(spark, sf_dir), 128).select("doc_id", "chunk_no", "chunk")
-
-
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 SELECT doc_id, CAST((i - 1) // 5 AS INTEGER) AS section, 'title ' || ((i - 1) // 5 + 1) AS title, CAST(count(*) AS INTEGER) AS n_lines FROM l GROUP BY doc_id, (i - 1) // 5""")
 def chunk_section(spark, sf_dir):
