@@ -231,60 +231,123 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def completion(sizes: list[int], counts: Counter, room: int, waste: int, nodes: int, skip: int) -> dict[int, int]:
-    """A filling of `room` with the least waste that the search meets; undominated ones are tried first.
-
-    Larger pieces go first, so that a filling met later with no less waste is dominated or no better.
-    A filling within the waste bound ends the search; skip: how many such fillings to pass over first.
+def reach(sizes: list[int], left: dict[int, int], room: int) -> list[int]:
+    """Of every suffix of `sizes` the sums up to `room` that its pieces can make, as bits."""
+    out, mask = [1] * (len(sizes) + 1), (1 << (room + 1)) - 1
+    for i in range(len(sizes) - 1, -1, -1):
+        bits, n, step = out[i + 1], min(left[sizes[i]], room // sizes[i]), 1
+        while n:  # multiplicities by doubling
+            step = min(step, n)
+            bits |= bits << (step * sizes[i]) & mask
+            n, step = n - step, step * 2
+        out[i] = bits
+    return out
+
+
+def dominated(held: dict[int, int], slack: int, sizes: list[int], left: dict[int, int]) -> bool:
+    """Whether a piece outside could take the place of some inside that it is as long as, or longer within the slack.
+
+    Any packing with this filling then has one as good with the other, which leaves the smaller pieces for later.
     """
-    best: tuple[int, dict[int, int]] = (room, {})
-    stack: list[tuple[int, int, dict[int, int]]] = [(0, room, {})]
-    while stack and nodes:
-        nodes -= 1
-        i, left, held = stack.pop()
-        if left < best[0]:
-            best = (left, held)
-        if left <= waste:
-            if not skip:
-                return held
-            skip -= 1
+    some = many = 0  # sums of one or more pieces, of two or more
+    for s, n in held.items():
+        for _ in range(n):
+            many |= some << s | many
+            some |= some << s | 1 << s
+    some |= 1
+    for x in sizes:
+        if left[x] > held.get(x, 0):
+            low = max(0, x - slack)
+            if many >> x & 1 or some >> low & ((1 << (x - low)) - 1):
+                return True
+    return False
+
+
+def fillings(sizes: list[int], left: dict[int, int], room: int, waste: int):
+    """(pieces and how often each, waste) of all undominated fillings of `room` within the waste, least waste first.
+
+    Pieces are `sizes` (descending, `left` of each). Only sums that the rest can make are followed, so no path is in vain.
+    """
+    sums = reach(sizes, left, room)
+    for over in range(min(waste, room) + 1):
+        if not sums[0] >> (room - over) & 1:
             continue
-        lo, hi = i, len(sizes)
-        while lo < hi:  # the first size that fits
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if sizes[mid] > left else (lo, mid)
-        if lo < len(sizes):
-            s = sizes[lo]
-            stack.append((lo + 1, left, held))
-            for n in range(1, min(counts[s], left // s) + 1):
-                stack.append((lo + 1, left - n * s, held | {s: n}))
-    return best[1]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, tries: int = 4, nodes: int = 400) -> list[tuple[dict[int, int], int]]:
-    """[(lengths of a bin and how often each, number of such bins)], with as few bins as the searches find."""
+        stack: list[tuple[int, int, dict[int, int]]] = [(0, room - over, {})]
+        while stack:
+            i, need, held = stack.pop()
+            if not need:
+                if not dominated(held, over, sizes, left):
+                    yield held, over
+                continue
+            while i < len(sizes) and sizes[i] > need:
+                i += 1
+            if i == len(sizes):
+                continue
+            s = sizes[i]
+            for n in range(min(left[s], need // s) + 1):
+                if sums[i + 1] >> (need - n * s) & 1:
+                    stack.append((i + 1, need - n * s, held | {s: n} if n else held))
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[dict[int, int], int]]:
+    """[(lengths of a bin and how often each, number of such bins)] by branch and bound, best fit being the first incumbent.
+
+    Each node fills a bin around the largest piece left, by undominated fillings, least waste first: as many such
+    bins at once as the pieces allow, then only one. A branch ends where its waste is more than one bin fewer
+    than the incumbent leaves; the search ends at the lower bound, when no branch is left (the incumbent is then
+    optimal), or after `nodes` bins, with the best packing so far. Counts, not pieces, are searched.
+    """
     best = best_fit(counts, capacity)
     bins, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    total = sum(s * n for s, n in counts.items())
-    for skip in range(tries):
-        if bins <= bound:
-            break
-        left, sizes, out, used, spare = Counter(counts), sorted(counts, reverse=True), [], 0, (bins - 1) * capacity - total
-        while sizes and spare >= 0:
-            s = sizes[0]
-            left[s] -= 1
-            around = sizes if left[s] else sizes[1:]
-            held = Counter(completion(around, left, capacity - s, 0, nodes, skip)) + Counter({s: 1})
-            left[s] += 1
-            times = min(left[x] // n for x, n in held.items())
-            spare -= times * (capacity - sum(x * n for x, n in held.items()))  # waste beyond the incumbent's ends the search
-            out.append((dict(held), times))
-            used += times
-            for x, n in held.items():
-                left[x] -= n * times
-            sizes = [x for x in sizes if left[x]]
-        if not sizes and used < bins:
-            best, bins = out, used
+    total, left = sum(s * n for s, n in counts.items()), Counter(counts)
+    path: list[tuple[dict[int, int], int, int]] = []  # bins, how many, their waste
+    branches, lost, used = [], 0, 0
+
+    def options():
+        sizes = sorted((s for s, n in left.items() if n), reverse=True)
+        s = sizes[0]
+        left[s] -= 1
+        around = [x for x in sizes if left[x] and x <= capacity - s]
+        spare = (bins - 1) * capacity - total - lost
+        found = fillings(around, dict(left), capacity - s, spare)
+        left[s] += 1
+        for held, over in found:
+            whole = Counter(held)
+            whole[s] += 1
+            most = min(left[x] // n for x, n in whole.items())
+            if over:
+                most = min(most, max(1, spare // over))
+            for times in (most, 1) if most > 1 else (1,):
+                yield dict(whole), times, over * times
+
+    if bins > bound:
+        branches.append(options())
+    while branches and nodes:
+        nodes -= 1
+        move = next(branches[-1], None)
+        if move is None:
+            branches.pop()
+            if path:  # the bin that led here is taken back
+                held, times, over = path.pop()
+                lost, used = lost - over, used - times
+                for x, n in held.items():
+                    left[x] += n * times
+            continue
+        held, times, over = move
+        if lost + over > (bins - 1) * capacity - total:
+            continue
+        path.append(move)
+        lost, used = lost + over, used + times
+        for x, n in held.items():
+            left[x] -= n * times
+        if any(left.values()):
+            branches.append(options())
+            continue
+        if used < bins:
+            best, bins = [(h, t) for h, t, _ in path], used
+            if bins <= bound:
+                break
+        branches.append(iter(()))
     return best
 
 
