@@ -165,16 +165,23 @@ class CrossPolytope:
             out.append((order, np.searchsorted(bucket[order], np.arange(2 * self.d + 1))))
         return out
 
-    def candidates(self, held, q: np.ndarray, n: int) -> list[np.ndarray]:
-        """Rows in the best probed buckets of all tables, per query."""
+    def candidates(self, held, q: np.ndarray, n: int, least: int) -> list[np.ndarray]:
+        """Rows in the best probed buckets of all tables, per query; probing goes on until at least `least` rows are found.
+
+        Buckets follow each other by the query's share on their signed axis, so that all of them are reached in the end.
+        """
         hit = [np.zeros(n, bool) for _ in q]
-        for t, (order, cuts) in enumerate(held):
+        ways = []
+        for t in range(len(held)):
             y = self.rotated(q, t)
-            axis = np.argsort(-np.abs(y), axis=1)[:, : self.probes]
-            bucket = 2 * axis + (np.take_along_axis(y, axis, axis=1) < 0)
-            for mask, own in zip(hit, bucket, strict=True):
-                for b in own:
-                    mask[order[cuts[b] : cuts[b + 1]]] = True
+            ways.append(np.argsort(-np.stack([y, -y], axis=2).reshape(len(y), -1), axis=1, kind="stable"))
+        for i, mask in enumerate(hit):
+            done, upto = 0, self.probes
+            while done < 2 * self.d and (not done or mask.sum() < min(least, n)):
+                for (order, cuts), way in zip(held, ways, strict=True):
+                    for b in way[i, done:upto]:
+                        mask[order[cuts[b] : cuts[b + 1]]] = True
+                done, upto = upto, upto * 2
         return [np.flatnonzero(m) for m in hit]
 
 
@@ -183,8 +190,8 @@ def approximate_top_k(vectors: DataFrame, k: int = 20, every: int = 20, tables:
 
     Rows are hashed by direction. If their lengths differ by over a thousandth, each gets one more
     component that brings all to one length, so that the largest inner product is the nearest direction.
-    All rows of a shard are compared where the probed buckets hold fewer than k. Queries are the rows
-    whose id is divisible by `every`. Vectors that are null, zero or hold null or non-finite components
+    Where the probed buckets of a shard hold k rows or fewer, the next nearest buckets are probed too, until
+    they hold more or all are read. Queries are the rows whose id is divisible by `every`. Vectors that are null, zero or hold null or non-finite components
     take no part; shorter vectors count as padded with zeros; of rows with one id the smallest vector
     counts; an empty table gives no rows.
     """
@@ -207,10 +214,8 @@ def approximate_top_k(vectors: DataFrame, k: int = 20, every: int = 20, tables:
     def find(made, x, ids, q, q_ids, k):
         own, held = made
         out = []
-        for query, q_id, rows in zip(q, q_ids, own.candidates(held, directed(q, query=True), len(x)), strict=True):
+        for query, q_id, rows in zip(q, q_ids, own.candidates(held, directed(q, query=True), len(x), k + 1), strict=True):
             rows = rows[ids[rows] != q_id]
-            if len(rows) < k:
-                rows = np.flatnonzero(ids != q_id)
             out.append(leading((x[rows] * query).sum(axis=1), rows, k))
         return out
 
