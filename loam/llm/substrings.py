@@ -133,8 +133,11 @@ def repeated(sequences: list[list[int]], weights: list[int], length: int) -> lis
 def repeated_windows(documents: DataFrame, length: int = 35) -> DataFrame:
     """(key, s, mask): bit i of mask says that the window at word s + i of the text with that key is repeated.
 
-    documents: key (long, equal for equal rows only) and text. The result is a written table; all others are dropped.
+    documents: key (long, equal for equal rows only) and text. length: K to K + 62, as windows of one unit are bits
+    of one long. The result is a written table; all others are dropped.
     """
+    if not K <= length <= K + 62:
+        raise ValueError(f"length is {K} to {K + 62}")
     tables = Scratch(documents.sparkSession)
 
     def cut(batches):
@@ -213,7 +216,7 @@ def keep_unrepeated(documents: DataFrame, length: int = 35, text: str = "text")
     A window is `length` consecutive words of one text; it is repeated if it also starts anywhere else,
     in the same text too. Null texts have no words; shorter texts lose none; repeated rows are repeated
     texts; an empty table gives no rows. Other columns stay as they are (n_words, n_removed and kept of
-    the input give way).
+    the input give way). length is 6 to 68 words.
     """
     lean(documents.sparkSession)
     docs = documents.drop("n_words", "n_removed", "kept")
