@@ -101,6 +101,25 @@ def metric_correlations(spark, sf_dir):
     return Q.correlations(metrics(spark, sf_dir), least=4).withColumn("w", F.date_format("w", "yyyy-MM-dd HH:mm:ss"))
 
 
+_ADVICE = "a(kind, metric, other, direction, advice) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in Q.ADVICE) + ")"
+
+
+@query(f"""WITH {E}, k AS (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY ts DESC, event_id DESC) AS j FROM e), l AS (SELECT *, row_number() OVER (PARTITION BY operation, metric_type ORDER BY ts, event_id) - 1 AS i FROM k WHERE j <= 50),
+t AS (SELECT operation, metric_type, regr_slope(value, i) AS slope, regr_r2(value, i) AS r2, min(ts) AS a, max(ts) AS z FROM l GROUP BY 1, 2 HAVING count(*) >= 10 AND regr_r2(value, i) >= 0.05 AND regr_slope(value, i) <> 0),
+o AS (SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') AS w, metric_type, value, row_number() OVER (PARTITION BY time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01'), metric_type ORDER BY ts, event_id) AS i FROM e),
+c AS (SELECT x.w, x.metric_type AS m1, y.metric_type AS m2, corr(x.value, y.value) AS r FROM o x JOIN o y ON x.w = y.w AND x.i = y.i AND x.metric_type < y.metric_type WHERE x.w IN (SELECT w FROM o GROUP BY 1 HAVING count(*) >= 10) GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND abs(corr(x.value, y.value)) > 0.8),
+m AS (SELECT m1, m2, count(*) AS seen, arg_min(r, w) AS r, min(w) AS a, max(w) AS z FROM c GROUP BY 1, 2),
+p AS (SELECT 'trend' AS kind, concat_ws('_', 'trend', operation, metric_type, d) AS pattern, metric_type AS metric, NULL AS other, d AS direction, r2 AS confidence, abs(slope) AS impact, 1 AS seen, a, z FROM (SELECT *, CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS d FROM t)
+  UNION ALL SELECT 'correlation', concat_ws('_', 'correlation', m1, m2), m1, m2, CASE WHEN r > 0 THEN 'increasing' ELSE 'decreasing' END, least(1.0::DOUBLE, 0.6::DOUBLE + 0.1::DOUBLE * seen), abs(r), seen, a, z FROM m),
+{_ADVICE}
+SELECT CAST(row_number() OVER (ORDER BY round(impact * confidence, 9) DESC, pattern) AS INTEGER) AS rank, pattern, p.direction, round(confidence, 6) AS confidence, round(impact, 6) AS impact, seen, strftime(p.a, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(p.z, '%Y-%m-%d %H:%M:%S') AS last_seen, coalesce(advice, '') AS advice
+FROM p LEFT JOIN a ON a.kind = p.kind AND a.metric = p.metric AND a.other IS NOT DISTINCT FROM p.other AND a.direction = p.direction WHERE round(confidence, 9) >= 0.05""")
+def rank_patterns(spark, sf_dir):
+    """With a low bound on fit and confidence, as the events are independent of each other."""
+    at = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")]
+    return Q.patterns(metrics(spark, sf_dir), 0.05, "2 hours", 0.05).select("rank", "pattern", "direction", Q.r6("confidence").alias("confidence"), Q.r6("impact").alias("impact"), "seen", *at, "advice")
+
+
 @query(f"WITH {E} SELECT count(*) AS events, round(avg(value), 6) AS mean, round(count(*) FILTER (success) / count(*)::DOUBLE, 6) AS success_rate, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS hit_rate, count(*) FILTER (NOT success) AS errors, count(DISTINCT agent_id) AS agents FROM e WHERE ts BETWEEN {NOW} - INTERVAL 7 DAY AND {NOW}")
 def dashboard_overview(spark, sf_dir):
     own, n = Q.trailing(metrics(spark, sf_dir), AS_OF, "7 days"), F.count("*")
