@@ -195,3 +195,34 @@ def grounding(evidence: DataFrame, *keys: str) -> DataFrame:
     """Mean of the three best similarities of each claim."""
     top = ranked(evidence, "similarity", *keys, "claim_no", most=3)
     return top.groupBy(*keys, "claim_no").agg(F.round(F.avg("similarity"), 6).alias("grounding"))
+
+
+def scored_evidence(evidence: DataFrame, query: str | None = None) -> DataFrame:
+    """Evidence (claim, text, similarity) with its relevance and confidence.
+
+    Relevance adds to the similarity a tenth of the share of the claim's words that the text holds and a twentieth of
+    that of the column `query`; texts beyond 1000 characters lose a twentieth. Null texts and queries hold no words.
+    """
+    words = lambda c: F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), " "))
+    share = lambda c: F.size(F.array_intersect(words(F.col(c)), words(F.col("text")))) / F.greatest(F.size(words(F.col(c))), F.lit(1))
+    close = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("similarity", F.lit(0.0))))
+    more = close + 0.1 * share("claim") + (0.05 * F.when(F.length(query) > 0, share(query)).otherwise(0.0) if query else 0.0)
+    relevance = F.least(F.lit(1.0), more * F.when(F.length("text") > 1000, 0.95).otherwise(1.0))
+    out = evidence.withColumn("similarity", close).withColumn("relevance", relevance)
+    return out.withColumn("confidence", 1 / (1 + F.exp(-10 * (0.7 * F.col("similarity") + 0.3 * F.col("relevance") - 0.5))))
+
+
+def answer_confidence(evidence: DataFrame, *keys: str) -> DataFrame:
+    """Confidence of every answer from its scored evidence: n_claims, n_strong, spread, confidence.
+
+    The mean grounding of the claims, a twentieth more for each strong piece of evidence (a fifth at most), less a
+    twentieth where the first five pieces (by claim, then by confidence) vary by over 0.1, and less for over five claims.
+    """
+    claims = grounding(evidence, *keys).groupBy(*keys).agg(F.avg("grounding").alias("g"), F.count("*").alias("n_claims"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("claim_no", F.desc("confidence"), "id"))
+    first = F.when(F.col("__place") <= 5, F.col("confidence"))
+    pieces = evidence.withColumn("__place", place).groupBy(*keys).agg(F.count_if(F.col("confidence") > 0.8).alias("n_strong"), F.var_pop(first).alias("spread"))
+    n = F.col("n_claims")
+    value = (F.col("g") + F.least(F.lit(0.2), 0.05 * F.col("n_strong"))) * F.when(F.col("spread") > 0.1, 0.95).otherwise(1.0) * F.when(n > 5, F.greatest(F.lit(0.8), 1 - 0.02 * (n - 5))).otherwise(1.0)
+    value = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 6)
+    return claims.join(pieces, list(keys)).select(*keys, "n_claims", "n_strong", F.round("spread", 6).alias("spread"), value.alias("confidence"))

@@ -348,6 +348,23 @@ def analyze_responses(spark, sf_dir):
     return own.select("conv_id", "turn", value.alias("confidence"), (value < 0.75).alias("hallucination_flag"), (value >= 0.95).alias("safe_to_act_on"))
 
 
+_SHARE = "len(list_intersect(list_distinct(string_split(lower({0}), ' ')), list_distinct(string_split(lower(text), ' ')))) / len(list_distinct(string_split(lower({0}), ' ')))::DOUBLE"
+
+
+@query(f"""WITH {EVIDENCE}, lq AS (SELECT conv_id, max(struct_pack(turn := turn, text := text)).text AS asked FROM conversations WHERE role = 'user' GROUP BY 1),
+sc AS (SELECT c.conv_id, c.turn, c.claim_no, u.turn AS source, {_SHARE.format("claim")} AS s, {_SHARE.format("asked")} AS a, CASE WHEN length(text) > 1000 THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS f, length(asked) > 0 AS has
+  FROM cx c JOIN conversations u ON u.conv_id = c.conv_id AND u.role = 'user' JOIN lq ON lq.conv_id = c.conv_id),
+cf AS (SELECT *, 1 / (1 + exp(-10 * (0.7::DOUBLE * s + 0.3::DOUBLE * least(1.0::DOUBLE, (s + 0.1::DOUBLE * s + CASE WHEN has THEN 0.05::DOUBLE * a ELSE 0 END) * f) - 0.5::DOUBLE))) AS c FROM sc),
+fi AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY claim_no, c DESC, source) AS m FROM cf), pc AS (SELECT conv_id, turn, count(*) FILTER (c > 0.8) AS n_strong, var_pop(c) FILTER (m <= 5) AS spread FROM fi GROUP BY ALL),
+cg AS (SELECT conv_id, turn, avg(grounding) AS g, count(*) AS n_claims FROM gr GROUP BY ALL)
+SELECT cg.conv_id, cg.turn, n_claims, n_strong, round(spread, 6) AS spread, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (g + least(0.2::DOUBLE, 0.05::DOUBLE * n_strong)) * CASE WHEN spread > 0.1 THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN n_claims > 5 THEN greatest(0.8::DOUBLE, 1 - 0.02::DOUBLE * (n_claims - 5)) ELSE 1.0::DOUBLE END)), 6) AS confidence
+FROM cg JOIN pc ON pc.conv_id = cg.conv_id AND pc.turn = cg.turn""")
+def grounding_confidence(spark, sf_dir):
+    """Answers against their conversation's user turns, the last of which is the question."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max(F.struct("turn", "text"))["text"].alias("asked"))
+    return R.answer_confidence(R.scored_evidence(evidence(spark, sf_dir).join(asked, "conv_id"), "asked"), "conv_id", "turn")
+
+
 @query(f"WITH {EVIDENCE}, t5 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY similarity DESC, claim_no, source) AS m FROM ev) SELECT conv_id, turn, CAST(claim_no AS INTEGER) AS claim_no, source, CAST(m AS INTEGER) AS place FROM t5 WHERE m <= 5")
 def top_evidence(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.desc("similarity"), "claim_no", "id"))
