@@ -32,8 +32,7 @@ def stripped(text: Column) -> Column:
 
 def unit(text: Column, part: bool = False, bar: Column | None = None, label: Column | None = None, turns: bool = False) -> Column:
     """text with its words, whether it is part of a larger unit, begins one (bar) or a topic (turn), and its label."""
-    low = F.lower(text)
-    turn = F.coalesce(*[F.when(low.startswith(w), True) for w in TRANSITIONS], *[F.when(low.contains(w), True) for w in TOPICS], F.lit(False)) if turns else F.lit(False)
+    turn = F.lower(text).rlike(f"^(?:{'|'.join(TRANSITIONS)})|{'|'.join(TOPICS)}") if turns else F.lit(False)  # one pass over the lower-case text
     return F.struct(text.alias("text"), word_count(text).alias("n"), F.lit(part).alias("part"), (F.lit(False) if bar is None else bar).alias("bar"), turn.alias("turn"), (F.lit(None).cast("string") if label is None else label).alias("label"))
 
 
