@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,17 +67,23 @@ def line_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
     return unit_chunks(docs, F.split(text, "\n"), size, "\n")
 
 
-def sections(docs: DataFrame, id_: str, text: str = "text") -> DataFrame:
-    """One row per section: a header line (# to ######) and the lines below it, in order; section 0 has no header."""
-    header = r"^#{1,6}\s+\S"
+def is_header(line: Column, place: Column) -> Column:
+    return line.rlike(r"^#{1,6}\s+\S")
+
+
+def sections(docs: DataFrame, id_: str, text: str = "text", header: Callable[[Column, Column], Column] = is_header) -> DataFrame:
+    """One row per section: a header line (# to ######) and the lines below it, in order; section 0 has no header.
+
+    header: whether a line is one, by its text and place (from 0).
+    """
     lines = F.split(text, "\n")
-    heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(header))
+    heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: header(F.element_at(lines, i), i - 1))
     starts = F.when(F.try_element_at(heads, F.lit(1)) == 1, heads).otherwise(F.concat(F.array(F.lit(1)), heads))
     own = docs.select(id_, lines.alias("__l"), starts.alias("__s"))
     own = own.select(id_, "__l", "__s", F.posexplode("__s").alias("section", "__a"))
     end = F.coalesce(F.try_element_at("__s", F.col("section") + 2), F.size("__l") + 1)
     first = F.element_at("__l", F.col("__a"))
-    titled = first.rlike(header)
+    titled = header(first, F.col("__a") - 1)
     return own.select(id_, "section", F.when(titled, F.regexp_replace(first, r"^#+\s+", "")).otherwise("").alias("title"), (end - F.col("__a") - F.when(titled, 1).otherwise(0)).alias("n_lines"))
 
 

@@ -8,6 +8,8 @@ give no chunk. Columns of the input named like an output column give way. Sizes
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,12 +120,17 @@ def semantic_packs(docs: DataFrame, size: int, overlap: int = 0, text: str = "te
     return packs(docs, sentences(F.col(text), turns=True), size, " ", overlap, semantic=True)
 
 
-def section_packs(docs: DataFrame, size: int, overlap: int = 0, text: str = "text") -> DataFrame:
+def is_header(line: Column, place: Column) -> Column:
+    return stripped(line).rlike(HEADER)
+
+
+def section_packs(docs: DataFrame, size: int, overlap: int = 0, text: str = "text", header: Callable[[Column, Column], Column] = is_header) -> DataFrame:
     """Sections below their headers, with section (from 0), title and n_chunks; a larger one is packed by paragraphs.
 
     Sections without text are left out; a text with one section or none is packed by paragraphs without a title.
+    header: whether a line is one, by its text and place (from 0).
     """
-    heads = F.filter(F.transform("__l", lambda x, i: F.when(stripped(x).rlike(HEADER), i + 1)), lambda i: i.isNotNull())
+    heads = F.filter(F.transform("__l", lambda x, i: F.when(header(x, i), i + 1)), lambda i: i.isNotNull())
     own = docs.drop("section", "title").withColumn("__l", F.split(text, "\n")).withColumn("__s", F.concat(F.array(F.lit(0)), heads))
 
     def section(s, k):
