@@ -48,3 +48,15 @@ def test_similarity_loses_no_pair(spark):
                 assert (want >= 0.5) == (found > 0) and (want < 0.5 or abs(found - want) < 1e-6)
                 if first[a] == first[b]:
                     assert all(frozenset((first[n], n)) in got for n in (a, b) if first[n] != n)
+
+
+def test_cuts_are_compressed_tables(spark):
+    assert graph.cut(spark.range(5)).inputFiles()
+
+
+def test_following_names_of_a_text(spark):
+    docs = spark.createDataFrame([(1, "Ann met Bob Ray, then Ann and Cy"), (2, "Solo"), (3, "none"), (4, None)], "doc_id long, text string")
+    got = sorted(graph.following(docs, "text").collect(), key=str)
+    assert [(r.src, r.dst) for r in got] == [("Ann", "Bob Ray"), ("Bob Ray", "Cy"), ("Cy", None), ("Solo", None)]
+    want = graph.co_mentions(graph.mentions(docs, "doc_id", "text"), "doc_id").select("src", "dst").collect()
+    assert sorted(r for r in got if r.dst) == sorted(want)
