@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import relations as G
+from ..sources.scratch import Scratch
 from .registry import query, table
 
 LONG_AGO = "timestamp'1990-01-01 00:00:00'"
@@ -12,11 +13,14 @@ LONG_AGO = "timestamp'1990-01-01 00:00:00'"
 
 def relationships(spark, sf_dir):
     """Edges of the property graph: places, purchases (order lines) and supplies."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_linestatus", "l_quantity")
     open_end = "case when count_if(l_linestatus = 'O') = 0 then max(l_shipdate) end"
-    bought = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey")
-    bought = bought.groupBy(F.expr("concat('customer:', o_custkey)").alias("src"), F.expr("concat('part:', l_partkey)").alias("dst")).agg(F.min("o_orderdate").alias("valid_from"), F.expr(open_end).alias("valid_to"), F.expr("max(l_quantity) / 50").alias("confidence"))
-    supplied = lines.groupBy(F.expr("concat('part:', l_partkey)").alias("src"), F.expr("concat('supplier:', l_suppkey)").alias("dst")).agg(F.min("l_shipdate").alias("valid_from"), F.expr(open_end).alias("valid_to"), F.expr("max(l_quantity) / 50").alias("confidence"))
+    ends = lambda a, b: [F.expr(a).alias("src"), F.expr(b).alias("dst"), "valid_from", "valid_to", "confidence"]
+    bought = lines.drop("l_suppkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey")
+    bought = bought.groupBy("o_custkey", "l_partkey").agg(F.min("o_orderdate").alias("valid_from"), F.expr(open_end).alias("valid_to"), F.expr("max(l_quantity) / 50").alias("confidence"))
+    bought = bought.select(ends("concat('customer:', o_custkey)", "concat('part:', l_partkey)"))  # numbers are grouped, and named then
+    supplied = lines.groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").alias("valid_from"), F.expr(open_end).alias("valid_to"), F.expr("max(l_quantity) / 50").alias("confidence"))
+    supplied = supplied.select(ends("concat('part:', l_partkey)", "concat('supplier:', l_suppkey)"))
     places = [("customer", "concat('customer:', c_custkey)", "concat('nation:', c_nationkey)", "IN"), ("supplier", "concat('supplier:', s_suppkey)", "concat('nation:', s_nationkey)", "IN"), ("nation", "concat('nation:', n_nationkey)", "concat('region:', n_regionkey)", "PART_OF")]
     columns = ["src", "dst", "cast(valid_from as timestamp) as valid_from", "cast(valid_to as timestamp) as valid_to", "confidence", f"coalesce(cast(valid_from as timestamp), {LONG_AGO}) as created_at"]
     out = bought.withColumn("type", F.lit("BOUGHT")).unionByName(supplied.withColumn("type", F.lit("SUPPLIED_BY")))
@@ -67,7 +71,7 @@ def shortest_path(spark, sf_dir):
   WHERE depth < 3 AND e.type IN ('BOUGHT', 'SUPPLIED_BY', 'IN') AND n.type IN ('part', 'supplier', 'nation') AND e.confidence >= 0.8)
 SELECT seed, name, type, depth, round(confidence, 6) AS confidence, array_to_string(path, ' ') AS path FROM (SELECT *, row_number() OVER (PARTITION BY seed, name ORDER BY depth, path) AS i FROM r) WHERE i = 1""")
 def traverse_filtered(spark, sf_dir):
-    edges = relationships(spark, sf_dir)
+    edges = Scratch(spark).write(relationships(spark, sf_dir).select("src", "dst", "type", "confidence", "valid_from"), "edges")
     out = G.traversed(edges, entities(edges), asked(spark, sf_dir), 3, ["BOUGHT", "SUPPLIED_BY", "IN"], ["part", "supplier", "nation"], 0.8)
     return out.select("seed", "name", "type", "depth", F.round("confidence", 6).alias("confidence"), F.array_join("path", " ").alias("path"))
 
@@ -114,7 +118,7 @@ def temporal_graph_query(spark, sf_dir):
 SELECT src, dst, type FROM rl WHERE src IN (FROM h2) AND dst IN (FROM h2)""")
 def subgraph(spark, sf_dir):
     """Two steps around the regions: every nation, customer and supplier and the edges between them."""
-    return G.subgraph(relationships(spark, sf_dir), table(spark, sf_dir, "region").selectExpr("concat('region:', r_regionkey) as name"), 2)[1].select("src", "dst", "type")
+    return G.subgraph(relationships(spark, sf_dir).select("src", "dst", "type"), table(spark, sf_dir, "region").selectExpr("concat('region:', r_regionkey) as name"), 2)[1].select("src", "dst", "type")
 
 
 @query(f"""WITH {RL}, {ASKED} SELECT name AS entity, rel_id, 'out' AS direction FROM rl JOIN q ON name = src WHERE type = 'BOUGHT' UNION ALL

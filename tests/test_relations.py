@@ -103,3 +103,35 @@ def test_subgraph_and_created_between(spark, graph):
     kept, own = G.created_between(dated, named, "2000-05-01", "2000-07-01", ["x"], ["is"])
     assert sorted(r.name for r in kept.collect()) == ["a", "b"] and [r.rel_id for r in own.collect()] == ["a-is-b"]
     assert G.created_between(dated, named, "2000-06-02", "2000-07-01")[1].count() == 0
+
+
+def test_connected_counts_by_bits_of_seeds(spark):
+    rng = random.Random(5)
+    pairs = sorted({(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(260)} | {("hub", f"n{i}") for i in range(0, 150, 3)} | {("n1", "n1"), ("out", "n2")})
+    near = {}
+    for a, b in pairs:
+        if a != b and "out" not in (a, b):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    names = sorted({x for p in pairs for x in p} - {"out"})
+    nodes = spark.createDataFrame([(n,) for n in names] + [("alone",)], "name string")
+    seeds = spark.createDataFrame([(n,) for n in [*names, "alone", "unknown", "n1"]], "name string")
+    for depth in (1, 2, 3):
+        want = {}
+        for n in names:
+            reach = {n}
+            for _ in range(depth):
+                reach |= {y for x in reach for y in near.get(x, ())}
+            if len(reach) > 1:
+                want[n] = len(reach) - 1
+        got = G.connected(spark.createDataFrame(pairs, "src string, dst string"), nodes, seeds, depth, hub=0.02).collect()
+        assert {r["name"]: r.connected for r in got} == want and len(got) == len(want)
+
+
+def test_last_step_does_not_follow_wide_nodes(spark):
+    """Many pairs around one wide node: the last step meets between the levels, and paths equal those without a wide node."""
+    pairs = [(f"c{i}", "nation") for i in range(40)] + [("s", "nation"), ("s", "p"), ("c1", "p2"), ("p2", "nation")]
+    edges = spark.createDataFrame([(a, b, f"{a}|{b}") for a, b in pairs], "src string, dst string, rel_id string")
+    asked = spark.createDataFrame([(f"c{i}", "p") for i in range(5)], "src string, dst string")
+    found = {wide: sorted(tuple(r) for r in G.shortest_paths(edges, asked, 3, wide=wide).select("src", "length", "path").collect()) for wide in (3, 1024)}
+    assert found[3] == found[1024] == [(f"c{i}", 3, [f"c{i}|nation", "s|nation", "s|p"]) for i in range(5)]
