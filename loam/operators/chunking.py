@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import words
+from ..sources.tables import unrolled, words
 
 
 def estimated_tokens(text: str | Column) -> Column:
@@ -20,13 +20,13 @@ def token_chunks(docs: DataFrame, size: int, overlap: int = 0, text: str = "text
     width = -(-10 * size // 13)
     own = docs.withColumn("__w", words(text)).where(F.size("__w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("__w") - 1 - overlap, F.lit(0)), F.lit(width - overlap))
-    return own.select("*", F.posexplode(starts).alias("chunk_no", "__s")).withColumn("chunk", F.array_join(F.slice("__w", F.col("__s") + 1, width), " ")).drop("__w", "__s")
+    return unrolled(own, "*", items=starts, place="chunk_no", item="__s").withColumn("chunk", F.array_join(F.slice("__w", F.col("__s") + 1, width), " ")).drop("__w", "__s")
 
 
 def char_chunks(docs: DataFrame, size: int, overlap: int = 0, text: str = "text") -> DataFrame:
     """Windows of `size` characters, `size - overlap` apart; blank ones are left out."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1 - overlap, F.lit(0)), F.lit(size - overlap))
-    out = docs.select("*", F.posexplode(starts).alias("chunk_no", "__s")).withColumn("chunk", F.substr(F.col(text), F.col("__s") + 1, F.lit(size))).drop("__s")
+    out = unrolled(docs, "*", items=starts, place="chunk_no", item="__s").withColumn("chunk", F.substr(F.col(text), F.col("__s") + 1, F.lit(size))).drop("__s")
     return out.where(F.trim("chunk") != "")
 
 
@@ -58,9 +58,9 @@ def unit_chunks(docs: DataFrame, units: Column, size: int, glue: str, taken: Col
     budget = F.lit(10 * size) if taken is None else F.lit(10 * size) - 13 * taken
     own = docs.withColumn("__u", F.filter(units, lambda u: F.trim(u) != ""))
     own = own.withColumn("__c", packed(F.transform("__u", lambda u: 13 * F.size(words(u))), budget))
-    out = own.select("*", F.posexplode("__c").alias("chunk_no", "__r"))
-    cut = F.slice("__u", F.col("__r.first") + 1, F.col("__r.last") - F.col("__r.first") + 1)
-    return out.withColumns({"first_unit": F.col("__r.first"), "last_unit": F.col("__r.last"), "chunk": F.array_join(cut, glue)}).drop("__u", "__c", "__r")
+    pack = lambda r: F.struct(r["first"].alias("first_unit"), r["last"].alias("last_unit"), F.array_join(F.slice("__u", r["first"] + 1, r["last"] - r["first"] + 1), glue).alias("chunk"))
+    own = own.withColumn("__p", F.transform("__c", pack)).drop("__u", "__c", "chunk_no", "first_unit", "last_unit", "chunk")
+    return unrolled(own, "*", items=F.col("__p"), place="chunk_no", item="__r").select("*", "__r.*").drop("__p", "__r")
 
 
 def line_chunks(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
@@ -80,7 +80,7 @@ def sections(docs: DataFrame, id_: str, text: str = "text", header: Callable[[Co
     heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: header(F.element_at(lines, i), i - 1))
     starts = F.when(F.try_element_at(heads, F.lit(1)) == 1, heads).otherwise(F.concat(F.array(F.lit(1)), heads))
     own = docs.select(id_, lines.alias("__l"), starts.alias("__s"))
-    own = own.select(id_, "__l", "__s", F.posexplode("__s").alias("section", "__a"))
+    own = unrolled(own, id_, "__l", "__s", items=F.col("__s"), place="section", item="__a")
     end = F.coalesce(F.try_element_at("__s", F.col("section") + 2), F.size("__l") + 1)
     first = F.element_at("__l", F.col("__a"))
     titled = header(first, F.col("__a") - 1)
@@ -116,10 +116,11 @@ def auto_chunks(docs: DataFrame, size: int, text: str = "text", kind: str = "fil
     sizes = F.when(how == "token", F.array_repeat(F.lit(13), F.size("__u"))).otherwise(F.transform("__u", lambda u: 13 * word_count(u)))
     budget = F.when(how == "token", 13 * -(-10 * size // 13)).otherwise(10 * size - 13 * F.coalesce(word_count(F.col("__h")), F.lit(0)))
     own = own.withColumn("__n", sizes).withColumn("__b", budget)
-    out = own.select("*", F.posexplode(packed(F.col("__n"), F.col("__b"))).alias("chunk_no", "__r"))
     glue = F.when(how == "token", " ").when(how == "paragraph", "\n\n").when(how == "semantic", ". ").otherwise("\n")
-    cut = F.call_function("array_join", F.slice("__u", F.col("__r.first") + 1, F.col("__r.last") - F.col("__r.first") + 1), glue)
-    return out.withColumn("chunk", F.when(F.col("__h").isNotNull(), F.concat("__h", F.lit("\n"), cut)).otherwise(cut)).drop("__u", "__h", "__n", "__b", "__r")
+    cut = lambda r: F.call_function("array_join", F.slice("__u", r["first"] + 1, r["last"] - r["first"] + 1), glue)
+    own = own.withColumn("__p", F.transform(packed(F.col("__n"), F.col("__b")), cut)).drop("__u", "__n", "__b", "chunk_no", "chunk")  # packed before they are rows, so that no row holds a whole text
+    out = unrolled(own, "*", items=F.col("__p"), place="chunk_no", item="chunk").drop("__p")
+    return out.withColumn("chunk", F.when(F.col("__h").isNotNull(), F.concat("__h", F.lit("\n"), "chunk")).otherwise(F.col("chunk"))).drop("__h")
 
 
 def chunk_stats(chunks: DataFrame, *keys: str) -> DataFrame:

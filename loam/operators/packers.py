@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import words
+from ..sources.tables import unrolled, words
 from .chunking import word_count
 
 BLANK = " \t\n\r\x0b\x0c"
@@ -84,20 +84,28 @@ def packs(docs: DataFrame, of: Column, size: int, glue: str, overlap: int = 0, s
         raise ValueError("size is 1 or more, and overlap 0 or more")
     own = docs.drop("chunk_no", "first_unit", "last_unit", "lead", "labels", "chunk", "n_chunks").withColumn("__u", of).withColumn("__t", F.lit(0) if taken is None else taken)
     own = own.withColumn("__r", runs("__u", size, overlap, semantic, lines, F.col("__t"))).withColumn("n_chunks", F.size("__r"))
-    out = own.select("*", F.posexplode("__r").alias("chunk_no", "__x"))
-    first, last, lead = (F.col(f"__x.{c}") for c in ("first", "last", "lead"))
-    held = out.withColumn("__k", F.slice("__u", first + 1, last - first + 1))
-    part = F.get("__k", F.lit(0))["part"]
-    between = F.when(part, " ").otherwise(glue)
-    body = F.call_function("array_join", F.col("__k.text"), between)
-    if overlap and lines:
-        before = F.array_join(F.slice("__u", first - lead + 1, lead)["text"], glue)
-    elif overlap:  # every unit has a word, so that as many units hold these words
-        near = words(F.array_join(F.slice("__u", F.greatest(first - overlap + 1, F.lit(1)), F.least(first, F.lit(overlap)))["text"], " "))
-        before = F.array_join(F.slice(near, F.greatest(F.size(near) - lead + 1, F.lit(1)), lead), " ")
-    chunk = F.when(lead > 0, F.concat(before, between, body)).otherwise(body) if overlap else body
-    labels = F.when(part, F.slice("__k.label", 1, 1)).otherwise(F.col("__k.label"))
-    return held.withColumns({"first_unit": first, "last_unit": last, "lead": lead, "labels": labels, "chunk": chunk}).drop("__u", "__t", "__r", "__x", "__k")
+
+    def units_of(x):
+        first, last, lead = x["first"], x["last"], x["lead"]
+        near = F.slice("__u", first - lead + 1, lead) if lines else F.slice("__u", F.greatest(first - overlap + 1, F.lit(1)), F.least(first, F.lit(overlap)))  # every unit has a word, so that as many units hold these words
+        return F.struct(x.alias("x"), F.slice("__u", first + 1, last - first + 1).alias("k"), (near if overlap else F.slice("__u", 1, 0)).alias("near"))
+
+    def pack(y):
+        x, k, lead = y["x"], y["k"], y["x"]["lead"]
+        part = F.get(k, F.lit(0))["part"]
+        between = F.when(part, " ").otherwise(glue)
+        chunk = F.call_function("array_join", k["text"], between)
+        if overlap:
+            before = F.array_join(y["near"]["text"], glue)
+            if not lines:
+                near = words(F.array_join(y["near"]["text"], " "))
+                before = F.array_join(F.slice(near, F.greatest(F.size(near) - lead + 1, F.lit(1)), lead), " ")
+            chunk = F.when(lead > 0, F.concat(before, between, chunk)).otherwise(chunk)
+        labels = F.when(part, F.slice(k["label"], 1, 1)).otherwise(k["label"])
+        return F.struct(x["first"].alias("first_unit"), x["last"].alias("last_unit"), lead.alias("lead"), labels.alias("labels"), chunk.alias("chunk"))
+
+    own = own.withColumn("__p", F.transform(F.transform("__r", units_of), pack)).drop("__u", "__t", "__r")  # packed before they are rows, so that no row holds a whole text
+    return unrolled(own, "*", items=F.col("__p"), place="chunk_no", item="__x").select("*", "__x.*").drop("__p", "__x")
 
 
 def line_packs(docs: DataFrame, size: int, overlap: int = 0, text: str = "text") -> DataFrame:
@@ -140,7 +148,7 @@ def section_packs(docs: DataFrame, size: int, overlap: int = 0, text: str = "tex
 
     found = F.filter(F.transform("__s", section), lambda x: x["body"] != "")
     own = own.withColumn("__f", found).withColumn("__f", F.when(F.size("__f") > 1, F.col("__f")).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("title"), F.col(text).alias("body")))))
-    own = own.select("*", F.posexplode("__f").alias("section", "__b")).withColumn("title", F.col("__b.title"))
+    own = unrolled(own, "*", items=F.col("__f"), place="section", item="__b").withColumn("title", F.col("__b.title"))
     body = F.col("__b.body")
     whole = F.col("title").isNotNull() & (13 * word_count(body) <= 10 * size)
     return packs(own, F.when(whole, F.array(unit(body))).otherwise(_paragraphs(body, size)), size, "\n\n", overlap).drop("__l", "__s", "__f", "__b")

@@ -60,6 +60,15 @@ def file_type(name: str) -> Column:
     return F.try_element_at(known, F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)(?:[?#].*)?$", 1)))
 
 
+def unrolled(df: DataFrame, *columns: str | Column, items: Column, place: str, item: str) -> DataFrame:
+    """The columns with a row for each of the items and its place (from 0).
+
+    The outer form, as behind the plain one Spark puts a filter on the size of the items, pushed down to the scan: what
+    they are computed from is then written out in full wherever it is named, and computed again for each of these.
+    """
+    return df.select(*columns, F.posexplode_outer(items).alias(place, item)).where(F.col(place).isNotNull())
+
+
 def violations(rules: dict[str, Column]) -> Column:
     """Names of the rules that a row breaks."""
     return F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]))
