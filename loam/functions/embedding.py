@@ -8,10 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-WORDS = 1 << 20  #: distinct words whose hashes a task remembers
+WORDS = 1 << 16  #: distinct words whose hashes a task remembers (about 10 MB); frequent ones come back soon
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most 1000 rows for a Python worker at once, as it keeps the memory of its largest batch; it stays set, as results are computed later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def embedded(text: str | Column, width: int = 64, prefix: str = "") -> Column:

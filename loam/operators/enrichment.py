@@ -32,8 +32,13 @@ def holds(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, (F.contains(text, F.lit(w)) for w in words))
 
 
-def tags(text: str) -> Column:
-    low = F.lower(text)
+def lowered(text: str, low: str | None) -> Column:
+    """The lower-case text, or the column that has it: rules look at it up to twenty times, and Spark would make it each time."""
+    return F.lower(text) if low is None else F.col(low)
+
+
+def tags(text: str, low: str | None = None) -> Column:
+    low = lowered(text, low)
     found = [F.when(holds(F.col(text) if name in AS_WRITTEN else low, words), F.lit(name)) for name, words in TAGS.items()]
     return F.array_compact(F.array(*found, F.when(F.col(text).rlike(NUMERIC), F.lit("numeric"))))
 
@@ -47,14 +52,14 @@ def clamped(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def confidence(text: str, about: str) -> Column:
-    low, n = F.lower(text), F.length(text)
+def confidence(text: str, about: str, low: str | None = None) -> Column:
+    low, n = lowered(text, low), F.length(text)
     score = F.lit(0.7) + F.when(n < 50, -0.1).when(n > 500, 0.1).otherwise(0.0) + F.when(F.length(about) > 50, 0.1).otherwise(0.0)
     return clamped(score - F.when(holds(low, UNCERTAIN), 0.15).otherwise(0.0) + F.when(holds(low, DEFINITIVE), 0.1).otherwise(0.0))
 
 
-def risk(text: str) -> Column:
-    low = F.lower(text)
+def risk(text: str, low: str | None = None) -> Column:
+    low = lowered(text, low)
     words = sum((F.when(F.contains(low, F.lit(w)), 0.1).otherwise(0.0) for w in SPECULATIVE), F.lit(0.1))
     return clamped(words + F.when(holds(low, SWEEPING), 0.2).otherwise(0.0) - F.when(holds(F.col(text), ATTRIBUTION), 0.1).otherwise(0.0) - F.when(F.col(text).rlike(PRECISE), 0.05).otherwise(0.0))
 

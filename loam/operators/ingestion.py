@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.embedding import embedded
+from ..functions.embedding import embedded, small_batches
 from . import chunking, enrichment, graph
 
 SIZE = 128  #: tokens of a chunk
@@ -17,11 +17,12 @@ def enriched_chunks(docs: DataFrame, size: int = SIZE) -> DataFrame:
     Stateless: the same on a table and on a stream. chunk_id is <memory>_chunk_<i>, i from 0. Documents without words
     have no chunks; a null type counts as plain text. What a chunk is told apart by, not its words, is its context.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("id").alias("memory_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("file_type", F.lit("txt")).alias("file_type"), "file_name")
-    cut = chunking.auto_chunks(own, size).withColumn("tags", enrichment.tags("chunk"))
+    cut = chunking.auto_chunks(own, size).withColumn("low", F.lower("chunk")).withColumn("tags", enrichment.tags("chunk", "low"))
     about = {"file": F.col("file_name"), "type": F.col("strategy"), "chunk": F.col("chunk_no") + 1, "content": F.when(F.size("tags") > 0, F.array_join("tags", ", "))}
     out = cut.withColumn("context", enrichment.context(about)).withColumn("chunk_id", F.concat(F.col("memory_id").cast("string"), F.lit("_chunk_"), F.col("chunk_no").cast("string")))
-    out = out.withColumns({"confidence": enrichment.confidence("chunk", "context"), "risk": enrichment.risk("chunk"), "tokens": F.greatest(F.lit(1.0), chunking.word_count(F.col("chunk")) * 1.3)})
+    out = out.withColumns({"confidence": enrichment.confidence("chunk", "context", "low"), "risk": enrichment.risk("chunk", "low"), "tokens": F.greatest(F.lit(1.0), chunking.word_count(F.col("chunk")) * 1.3)})
     return out.select("memory_id", "chunk_id", "chunk_no", "strategy", "chunk", "context", "tags", "confidence", "risk", "tokens", embedded("chunk").alias("v"))
 
 
