@@ -16,7 +16,9 @@ from .vectors import matrix, usable, width_of
 
 SLACK = 1e-3  #: cosines of half-precision unit vectors are off by less
 MEMBERS = 1024  #: rows of a bucket aimed at
-PAIR = pa.schema([("u", pa.int64()), ("w", pa.int64())])
+NAMED = 8  #: alike rows that one search of a bucket names for a row
+PAIR = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("age", pa.int64()), ("sure", pa.bool_()), ("cut", pa.bool_())])
+BUCKET = "bucket long, age long, id long, open boolean, half binary"
 
 
 def tables_needed(rows: int, least: float, miss: float) -> tuple[int, int]:
@@ -27,7 +29,7 @@ def tables_needed(rows: int, least: float, miss: float) -> tuple[int, int]:
 
 
 def bucket_rows(batches: Iterator[pa.RecordBatch], planes: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """(table, key, age, id, half) of (id, age, v): each vector once for every table of planes, in half precision."""
+    """(bucket, age, id, open, half) of (id, age, v, open): each vector once for every table of planes, in half precision."""
     tables, bits, _ = planes.shape
     for b in batches:
         if not b.num_rows:
@@ -35,49 +37,67 @@ def bucket_rows(batches: Iterator[pa.RecordBatch], planes: np.ndarray, width: in
         v = matrix(b["v"], width)
         side = (v @ planes.reshape(-1, width).T > 0).reshape(len(v), tables, bits)
         keys = (side << np.arange(bits)).sum(axis=2).astype(np.int64)
-        half = [x.tobytes() for x in v.astype(np.float16)]
+        half = pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())
         for t in range(tables):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(keys[:, t]), b["age"], b["id"], pa.array(half, pa.binary())], names=["table", "key", "age", "id", "half"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, t] | (t << 32)), b["age"], b["id"], b["open"], half], names=["bucket", "age", "id", "open", "half"])
 
 
-def newest_alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """(u, w) of buckets that come in order, newest first: for each open row the newest one before it that is surely alike, and those before that which may be."""
+def newest_alike(batches: Iterator[pa.RecordBatch], least: float, named: int) -> Iterator[pa.RecordBatch]:
+    """(u, w, age, sure, cut) of buckets that come in order, newest first: for each open row the newest `named` before it that
+    are surely alike, the last of them marked as the cut, and those up to there which may be."""
     held: list[pa.RecordBatch] = []
     last = None
 
     def found() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
-        ids, wanted = rows["id"].to_numpy(), rows["open"].to_numpy()
+        ids, ages, wanted = rows["id"].to_numpy(), rows["age"].to_numpy(), rows["open"].to_numpy()
         v = np.frombuffer(b"".join(rows["half"].to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
         for a in range(0, len(ids), 256):
             mine = a + np.flatnonzero(wanted[a : a + 256])
+            need = np.full(len(mine), named)
             for c in range(0, a + 256, 4096):
                 if not len(mine):
                     break
                 scores = v[mine] @ v[c : c + 4096].T
                 scores[np.arange(c, c + scores.shape[1]) >= mine[:, None]] = -2  # newer ones only
                 sure = scores >= least + SLACK
-                first = np.where(sure.any(axis=1), sure.argmax(axis=1), scores.shape[1])
-                i, j = np.nonzero((scores >= least - SLACK) & (np.arange(scores.shape[1]) <= first[:, None]))
+                count = sure.cumsum(axis=1)
+                i, j = np.nonzero((scores >= least - SLACK) & (count - sure < need[:, None]))
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine[i]]), pa.array(ids[c + j])], schema=PAIR)
-                mine = mine[first == scores.shape[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine[i]]), pa.array(ids[c + j]), pa.array(ages[c + j]), pa.array(sure[i, j]), pa.array(sure[i, j] & (count[i, j] == need[i]))], schema=PAIR)
+                need = need - count[:, -1]
+                mine, need = mine[need > 0], need[need > 0]
 
     for b in batches:
-        table, key = b["table"].to_numpy(), b["key"].to_numpy()
-        cuts = [0, *(np.flatnonzero((table[1:] != table[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), b.num_rows]
+        bucket = b["bucket"].to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), b.num_rows]
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             if x == y:
                 continue
-            if last is not None and last != (table[x], key[x]):
+            if last is not None and last != bucket[x]:
                 yield from found()
                 held = []
             held.append(b.slice(x, y - x))
-            last = (table[x], key[x])
+            last = bucket[x]
     if held:
         yield from found()
 
 
+def searched(rows: DataFrame, vectors: DataFrame, least: float, held: Scratch) -> DataFrame:
+    """(u, w, age, cut) of bucket rows: pairs alike, w newer; of a row with a cut those up to its newest cut, which are all there are."""
+    named = NAMED
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "age", "id")
+    pairs = ordered.mapInArrow(lambda part: newest_alike(part, least, named), "u long, w long, age long, sure boolean, cut boolean")
+    pairs = held.write(pairs.groupBy("u", "w", "age").agg(F.max("sure").alias("sure"), F.max("cut").alias("cut")), "met")
+    both = pairs.where("not sure").select("u", "w", "age").join(vectors.select(F.col("id").alias("u"), F.col("v").alias("a")), "u").join(vectors.select(F.col("id").alias("w"), F.col("v").alias("b")), "w")
+    alike = pairs.where("sure").select("u", "w", "age", "cut").union(both.where(cosine("a", "b") >= least - 1e-12).select("u", "w", "age", F.lit(False).alias("cut")))
+    ends = pairs.where("cut").groupBy("u").agg(F.min(F.struct("age", "w")).alias("end"))
+    kept = alike.select("u", "w", "age").join(ends, "u", "left").where(F.col("end").isNull() | (F.struct("age", "w") <= F.col("end")))
+    out = held.write(kept.select("u", "w", "age", F.col("end").isNotNull().alias("cut")), "pairs")
+    held.drop(pairs)
+    return out
+
+
 def grouped_by_leader(memories: DataFrame, least: float = 0.95, miss: float = 1e-4, seed: int = 3) -> DataFrame:
     """(id, leader, similarity): the group of every memory (id, created_at, v) with a vector; a leader leads itself.
 
@@ -85,10 +105,11 @@ def grouped_by_leader(memories: DataFrame, least: float = 0.95, miss: float = 1e
     in none whose cosine with it is at least `least` join it. Vectors that cannot be compared take no part; of rows
     with one id the newest counts.
 
-    Equal vectors are one class from the start, as the newest of them decides for all. Classes meet in buckets of sign bits; a pair at
-    `least` is missed with probability `miss` at most. In each round every open class looks for the newest class
-    alike that is open or leads: without one it leads, behind a leader it joins, else it waits. A bucket's vectors (2 bytes
-    a value) are held by one task; of a family of near copies each row only meets the newest ones.
+    Equal vectors are one class from the start, as the newest of them decides for all. Classes meet in buckets of sign bits once; a pair at
+    `least` is missed with probability `miss` at most. A bucket names the newest NAMED classes alike of each class. Rounds over these pairs
+    alone follow: a class whose newest one alike that is in no other's group leads joins it, without one it leads, else it waits. One
+    that has run out of a list that was cut is searched for again, in its buckets only, among those that are open or lead. A bucket's
+    vectors (2 bytes a value) are held by one task.
     """
     spark, held = memories.sparkSession, Scratch(memories.sparkSession)
     age = F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(2**62))
@@ -103,33 +124,37 @@ def grouped_by_leader(memories: DataFrame, least: float = 0.95, miss: float = 1e
         return spark.createDataFrame([], "id long, leader long, similarity double")
     bits, tables = tables_needed(rows, least, miss)
     planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
-    buckets = held.write(classes.select("id", "age", "v").mapInArrow(lambda part: bucket_rows(part, planes, width), "table int, key long, age long, id long, half binary"), "buckets")
     vectors = classes.select("id", "age", "v")
-    open_, leaders, done = classes.select("id"), None, None
+    dealt = lambda some: some.mapInArrow(lambda part: bucket_rows(part, planes, width), BUCKET)
+    pairs = searched(dealt(vectors.withColumn("open", F.lit(True))), vectors, least, held)
+    open_ = classes.select("id").join(pairs.where("cut").select(F.col("u").alias("id"), "cut").distinct(), "id", "left").select("id", F.coalesce("cut", F.lit(False)).alias("cut"))
+    pairs, done = pairs.select("u", "w", "age", F.lit(False).alias("leads")), None
     while True:
-        if leaders is None:
-            live = buckets.withColumn("open", F.lit(True))
-        else:  # only buckets where something is open, and in them what is open or leads
-            status = open_.withColumn("open", F.lit(True)).union(leaders.withColumn("open", F.lit(False)))
-            touched = buckets.select("table", "key", "id").join(open_, "id", "left_semi").select("table", "key").distinct()
-            live = buckets.join(touched, ["table", "key"], "left_semi").join(status, "id")
-        ordered = live.select("table", "key", "age", "id", "half", "open").repartition("table", "key").sortWithinPartitions("table", "key", "age", "id")
-        pairs = ordered.mapInArrow(lambda part: newest_alike(part, least), "u long, w long").distinct()
-        both = pairs.join(vectors.select(F.col("id").alias("u"), F.col("v").alias("a")), "u").join(vectors.select(F.col("id").alias("w"), F.col("v").alias("b"), F.col("age").alias("w_age")), "w")
-        alike = both.withColumn("similarity", cosine("a", "b")).where(F.col("similarity") >= least - 1e-12)
-        newest = alike.groupBy(F.col("u").alias("id")).agg(F.min(F.struct("w_age", "w", "similarity")).alias("x")).select("id", F.col("x.w").alias("w"), F.col("x.similarity").alias("similarity"))
-        seen = held.write(open_.join(newest, "id", "left"), "round")
-        leads = seen.where("w is null").select("id")
-        if leaders is None:
-            joined = seen.where("w is not null").limit(0)
-        else:
-            joined = seen.join(leaders.select(F.col("id").alias("w")), "w", "left_semi")
-        joined = held.write(joined.select("id", F.col("w").alias("leader"), "similarity").union(leads.select("id", F.col("id").alias("leader"), F.lit(1.0).alias("similarity"))), "joined")
-        done = joined if done is None else done.union(joined)
-        leaders = leads if leaders is None else leaders.union(leads)
-        open_ = held.write(open_.join(joined.select("id"), "id", "left_anti"), "open")
+        best = pairs.groupBy(F.col("u").alias("id")).agg(F.min(F.struct("age", "w", "leads")).alias("x"))
+        seen = held.write(open_.join(best, "id", "left").select("id", "cut", "x.w", F.coalesce("x.leads", F.lit(False)).alias("leads")), "round")
+        alone = F.col("w").isNull() & ~F.col("cut")
+        decided = held.write(seen.where(alone | F.col("leads")).select("id", F.when(alone, F.col("id")).otherwise(F.col("w")).alias("leader")), "joined")
+        done = decided if done is None else done.union(decided)
+        open_ = seen.where(~alone & ~F.col("leads")).select("id", "cut")
         if open_.isEmpty():
             break
+        left = pairs.join(open_.select(F.col("id").alias("u")), "u", "left_semi")
+        if not decided.isEmpty():
+            now = decided.select(F.col("id").alias("w"), (F.col("id") == F.col("leader")).alias("now"))
+            left = left.join(now, "w", "left").where(F.coalesce("now", F.lit(True))).select("u", "w", "age", F.coalesce("now", "leads").alias("leads"))
+        else:  # all that are open wait for some whose list was cut
+            short = seen.where(F.col("w").isNull()).select("id")
+            leading = done.where("id = leader").select("id", F.lit(True).alias("leads"))
+            status = held.write(leading.union(open_.select("id", F.lit(False))), "status")
+            again = vectors.join(short, "id", "left_semi").withColumn("open", F.lit(True))
+            touched = dealt(again).select("bucket").distinct()
+            others = vectors.join(status, "id", "left_semi").join(short, "id", "left_anti").withColumn("open", F.lit(False))
+            new = searched(dealt(again.union(others)).join(touched, "bucket", "left_semi"), vectors, least, held)
+            open_ = held.write(open_.join(short, "id", "left_anti").union(short.join(new.where("cut").select(F.col("u").alias("id"), "cut").distinct(), "id", "left").select("id", F.coalesce("cut", F.lit(False)))), "open")
+            left = left.select("u", "w", "age", "leads").union(new.join(status.withColumnRenamed("id", "w"), "w").select("u", "w", "age", "leads"))
+        pairs = held.write(left.select("u", "w", "age", "leads"), "left")
+    joined = done.where("id <> leader").join(vectors.select("id", F.col("v").alias("a")), "id").join(vectors.select(F.col("id").alias("leader"), F.col("v").alias("b")), "leader")
+    done = joined.select("id", "leader", cosine("a", "b").alias("similarity")).union(done.where("id = leader").select("id", "leader", F.lit(1.0)))
     of_class = classes.select("h", "g", F.col("id").alias("class")).join(done.withColumnRenamed("id", "class"), "class")
     return own.select("id", "h", "g").join(of_class, ["h", "g"]).select("id", "leader", "similarity")
 
