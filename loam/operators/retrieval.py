@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.vectors import cosine, jaccard
-from ..sources.scratch import sized
+from ..sources.scratch import Scratch, sized
 from .vectors import exact_nearest
 
 # fixed values: the stop words of the keyword search
@@ -34,7 +34,7 @@ def nearest(corpus: DataFrame, query: DataFrame, k: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("id"), F.explode(terms(text)).alias("term"))
+    return docs.select(F.col(key).alias("id"), F.explode_outer(terms(text)).alias("term")).where("term is not null")  # outer as in `unrolled`
 
 
 def keyword_matches(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -45,10 +45,10 @@ def keyword_matches(docs: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select("qid", terms("text").alias("t")).where(F.size("t") > 0)
     wanted = asked.select("qid", F.explode("t").alias("term"))
     vocabulary = sized(wanted.select("term").distinct(), 64)
-    held = postings(docs, "id", "text").join(vocabulary, "term")
+    held = Scratch(docs.sparkSession).write(postings(docs, "id", "text").join(vocabulary, "term"), "postings")  # one pass over the texts
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     rare = wanted.join(df, "term", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("x")).where("x.df > 0").select("qid", "x.term")
-    found = postings(docs, "id", "text").join(sized(rare, 64), "term").select("qid", "id")
+    found = held.join(sized(rare, 64), "term").select("qid", "id")
     whole = found.join(asked, "qid").join(docs.select("id", "text"), "id")
     return whole.where(F.size(F.array_intersect("t", terms("text"))) == F.size("t")).select("qid", "id")
 
