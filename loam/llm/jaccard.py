@@ -12,7 +12,9 @@ Pairs of a token's documents are never listed. Two rounds compare them with one
 document with the most shared tokens; classes come from the links found. Tokens whose documents are still
 in different classes are left to cells: documents of a family (those that share a hub) fall into blocks of
 a bounded size, and two blocks that share a token meet in one group of a task, where pairs of different
-classes, similar sizes and enough shared prefix tokens are compared by their whole sets.
+classes, similar sizes and enough shared prefix tokens are compared. Sketches of about two to four bits a
+shingle are compared first; they bound the difference of two sets from below, and only the documents of
+pairs that it does not rule out come with their whole sets.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, lean, small, written
+from .shared import BROADCAST_BYTES, Scratch, components, lean, small, written
 from .text import U, each, mix
 
 LEVELS = 8  #: prefix levels, held in the low three bits of a key
@@ -33,6 +35,7 @@ BLOCK = 1 << 20  #: shingles that are counted together before they leave a task
 COMMON = 32  #: a token of more documents of one block is sent once for all of them
 CELL = 100_000  #: shingles of the documents of one side of a cell, about
 _ALL = 0xFFFF  #: in place of a document's number: all documents of the block that hold the token
+_ZSTD = pa.Codec("zstd", 1)
 _WIDE = np.array([0x9E3779B97F4A7C15 * (2 * i + 3) % (1 << 64) for i in range(64)], U)
 _SENT = "kind int, bucket int, block long, doc_id long, n_shingles long, key long, h long, a binary, b binary, c binary"
 
@@ -83,16 +86,25 @@ def level(n: int, df: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Unsigned numbers as planes of bytes, lowest first, so that high bytes compress to nothing."""
+    """Unsigned numbers as planes of bytes, lowest first, each compressed on its own where that makes it smaller."""
     x = x.astype(U)
     need = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([need]) + x.view(np.uint8).reshape(-1, 8)[:, :need].T.tobytes()
+    out = [bytes([need]), len(x).to_bytes(4, "little")]
+    for plane in x.view(np.uint8).reshape(-1, 8)[:, :need].T:
+        held = _ZSTD.compress(plane.tobytes(), asbytes=True)
+        held = held if len(held) < len(x) else plane.tobytes()
+        out += [len(held).to_bytes(4, "little"), held]
+    return b"".join(out)
 
 
 def unplaned(raw: bytes) -> np.ndarray:
-    need = raw[0]
-    out = np.zeros(((len(raw) - 1) // need, 8), np.uint8)
-    out[:, :need] = np.frombuffer(raw, np.uint8, offset=1).reshape(need, -1).T
+    n, at = int.from_bytes(raw[1:5], "little"), 5
+    out = np.zeros((n, 8), np.uint8)
+    for i in range(raw[0]):
+        size = int.from_bytes(raw[at : at + 4], "little")
+        held = raw[at + 4 : at + 4 + size]
+        out[:, i] = np.frombuffer(held if size == n else _ZSTD.decompress(held, n, asbytes=True), np.uint8)
+        at += 4 + size
     return out.view(U).ravel()
 
 
@@ -245,35 +257,35 @@ def class_links(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     counted = tables.write(sent, "counted")
     members = tables.write(counted.where("kind = 0").select("doc_id", "n_shingles", "key", "h"), "members")
     chosen = counted.where("kind > 0").groupBy("block").applyInArrow(_prefixes(percent), "token long, key long, size long, weight long")
-    prefixes = tables.write(chosen.distinct(), "prefixes")
-    tables.drop("counted")
+    prefixes = chosen.repartition("token").distinct()  # dealt by token once, for the hubs and for the join
     by_weight = F.struct("weight", "key")
     hubs = prefixes.groupBy("token").agg(F.count("*").alias("width"), F.max_by(F.struct("key", "size"), by_weight).alias("hub")).where("width > 1")
     shared = tables.write(prefixes.join(hubs, "token").select("token", "key", "size", "weight", "width", F.col("hub.key").alias("hub"), F.col("hub.size").alias("hub_size")), "shared")
-    tables.drop("prefixes")
+    tables.drop("counted")
     held = _held(docs, members, shared.select("key").distinct(), k, tables)
 
     alike = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
-    links = tables.write(_linked(_stars(shared.where(alike), tables), held, percent), "links")
+    links = tables.write(_linked(_stars(shared.where(alike), tables), held, percent, tables), "links")
     tables.drop("sent")
-    rows = _classed(shared, links)
+    rows = _classed(shared, links, tables)
     # second hubs: of the documents outside the first hub's class the one with the most shared tokens
     second = rows.where("class <> hub_class").groupBy("token").agg(F.max_by(F.struct("key", "size", "class"), by_weight).alias("x"))
     rows = rows.join(second, "token").where("class <> x.class").select("token", "key", "size", F.col("x.key").alias("hub"), F.col("x.size").alias("hub_size"))
-    links = links.unionByName(tables.write(_linked(_stars(rows.where(alike), tables), held, percent), "links"))
-    tables.drop("sent")
-    links = links.unionByName(tables.write(_linked(_cells(_classed(shared, links), tables), held, percent), "links"))
-    tables.drop("sent", "placed", "shared", "held")
+    links = links.unionByName(tables.write(_linked(_stars(rows.where(alike), tables), held, percent, tables), "links"))
+    tables.drop("sent", "apart")
+    links = links.unionByName(tables.write(_linked(_cells(_classed(shared, links, tables), tables), held, percent, tables), "links"))
+    tables.drop("sent", "apart", "placed", "shared", "held")
     return members, links.select(_plain("a").alias("a"), _plain("b").alias("b")), tables
 
 
-def _classed(shared: DataFrame, links: DataFrame) -> DataFrame:
+def _classed(shared: DataFrame, links: DataFrame, tables: Scratch) -> DataFrame:
     """Rows of tokens whose documents are in different classes, with class and hub_class."""
-    of = components(links, rounds=2)  # documents with one label are connected; a few connected ones may still differ
+    of = small(components(links, rounds=2), 16)  # documents with one label are connected; a few connected ones may still differ
     rows = shared.join(of.select(F.col("node").alias("key"), F.col("component").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    apart = tables.write(rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token"), "apart")
+    rows = rows.join(small(apart, 8), "token", "left_semi")
     rows = rows.join(of.select(F.col("node").alias("hub"), F.col("component").alias("hub_class")), "hub", "left").withColumn("hub_class", F.coalesce("hub_class", "hub"))
-    apart = rows.where("class <> hub_class").select("token").distinct()
-    return rows.join(apart, "token", "left_semi")
+    return tables.write(rows, "apart")
 
 
 def _stars(rows: DataFrame, tables: Scratch) -> DataFrame:
@@ -308,21 +320,21 @@ def _cells(rows: DataFrame, tables: Scratch) -> DataFrame:
 
 
 def _held(docs: DataFrame, members: DataFrame, keys: DataFrame, k: int, tables: Scratch) -> DataFrame:
-    """(key, held): the whole sets of the wanted keys, read from the text of one row of each."""
+    """(key, sketch, held): sketches and whole sets of the wanted keys, read from the text of one row of each."""
     anyone = F.coalesce("doc_id", F.lit(-(1 << 63)))
     wanted = keys.select(F.col("key").alias("full"), _plain("key").alias("key"))
     wanted = members.where("key is not null").join(wanted, "key").groupBy("full").agg(F.min(F.struct(anyone.alias("id"), "h")).alias("x")).select("full", "x.id", "x.h")
 
     def load(batches):
         for batch in batches:
-            kept = [s.tobytes() for _, s in sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("full"), pa.array(kept, pa.binary())], ["key", "held"])
+            kept = [(sketch(s).tobytes(), s.tobytes()) for _, s in sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("full"), *(pa.array([x[i] for x in kept], pa.binary()) for i in (0, 1))], ["key", "sketch", "held"])
 
     wanted = tables.write(wanted, "wanted")
-    found = docs.withColumn("id", anyone).join(small(wanted, 24), ["id", "h"]).select("full", "text").mapInArrow(load, "key long, held binary")
+    found = docs.withColumn("id", anyone).join(small(wanted, 24), ["id", "h"]).select("full", "text").mapInArrow(load, "key long, sketch binary, held binary")
     held = tables.write(found, "held")
     if held.count() > wanted.count():  # repeated rows: one of each will do
-        held = tables.write(held.groupBy("key").agg(F.first("held").alias("held")), "held")
+        held = tables.write(held.groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("held").alias("held")), "held")
     tables.drop("wanted")
     return held
 
@@ -332,36 +344,108 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def _linked(sent: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(a, b): similar pairs of each cell, of a document of side 0 or 2 with one of side 1 or 2.
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes falls on each of a power of two of bits, two to four for each of the set.
 
-    sent: cell, key, size, side, class, tokens; documents without tokens are compared without counting shared ones.
+    Bits that differ between two sketches each stand for at least one hash that only one of the sets holds. A sketch
+    is halved by xor of neighbouring words: bits are dealt so that this gives the sketch of half the length.
     """
-    groups = max(1, math.ceil((sent.agg(F.sum("size").alias("n")).first()["n"] or 0) / (4 * CELL)))
+    wide = 1 << max(0, (2 * len(s) - 1).bit_length() - 6)  # words
+    if not len(s):
+        return np.zeros(1, U)
+    x = mix(s + U(7))
+    word = (x >> U(32)) & U(0xFFFFFFFF)
+    odd = np.bincount((((word * U(wide)) >> U(32)) << U(6) | x & U(63)).astype(np.int64), minlength=64 * wide) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
+def possible(cell: pa.Table, percent: int) -> np.ndarray:
+    """Of the documents of one cell those that shared tokens and sketches let be similar to another one there."""
+    keys, size, side, classes = (cell.column(c).to_numpy() for c in ("key", "size", "side", "class"))
+    demand, (names, met, first, n) = (keys & (LEVELS - 1)) + 1, _met(cell)
+    sketches = [np.frombuffer(s.as_buffer(), U) for s in cell.column("sketch")]
+    wide = np.array([len(x) for x in sketches], np.int64)
+    place, rows = np.zeros((2, len(keys)), np.int64), {}  # sketches of one length, and those of twice the length halved
+    for w in np.unique(np.append(wide, wide // 2)):
+        own, double = np.flatnonzero(wide == w), np.flatnonzero(wide == 2 * w)
+        if w:
+            place[0, own], place[1, double] = np.arange(len(own)), len(own) + np.arange(len(double))
+            rows[w] = np.array([sketches[i] for i in own] + [np.bitwise_xor.reduce(sketches[i].reshape(-1, 2), axis=1) for i in double], U).reshape(-1, w)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    flag, found = np.zeros(len(names), np.int64), np.zeros(len(keys), bool)
+
+    def near(x: int, y: np.ndarray) -> np.ndarray:
+        if len(y) and n[x]:
+            flag[met[first[x] : first[x] + n[x]]] = 1
+            shared = np.add.reduceat(flag[met[_ranges(first[y], n[y])]], np.cumsum(n[y]) - n[y])
+            y = y[shared >= np.minimum(demand[x], demand[y])]
+            flag[met[first[x] : first[x] + n[x]]] = 0
+        stay = np.ones(len(y), bool)
+        for w in np.unique(np.minimum(wide[y], wide[x])):
+            at = np.flatnonzero((np.minimum(wide[y], wide[x]) == w) & (np.maximum(wide[y], wide[x]) <= 2 * w))
+            if not len(at):
+                continue
+            a, b = rows[w][place[int(wide[x] != w), x]], rows[w][place[(wide[y[at]] != w).astype(int), y[at]]]
+            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            stay[at] = (100 + percent) * differ <= (100 - percent) * (size[x] + size[y[at]])
+        return y[stay]
+
+    for x in left:
+        y = right[(classes[right] != classes[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x]))]
+        if side[x] == 2:
+            y = y[keys[y] > keys[x]]
+        new = near(x, y[~found[y]])
+        if not found[x] and (len(new) or len(near(x, y[found[y]]))):
+            found[x] = True
+        found[new] = True
+    return found
+
+
+def _grouped(sent: DataFrame, held: DataFrame, to: str, schema: str, each_cell) -> DataFrame:
+    """What each_cell makes of the cells, which come in groups of about four cells' shingles."""
+    shingled, most = sent.agg(F.coalesce(F.sum("size"), F.lit(0)), 48 * F.count("*") + 8 * F.coalesce(F.sum(F.coalesce(F.size("tokens"), F.lit(0))), F.lit(0))).first()
+    groups = max(1, math.ceil(shingled / (4 * CELL)))
 
     def compare(key, table):
         table = table.sort_by("cell")
         cells = table.column("cell").to_numpy()
-        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.flatnonzero(np.append(True, cells[1:] != cells[:-1])), len(cells))), strict=True):
-            for out, pairs in zip(found, similar(table.slice(a, b - a).combine_chunks(), percent), strict=True):
-                out.append(pairs)
-        return pa.table([as_long(np.concatenate(x)) for x in found], ["a", "b"])
+        cuts = np.append(np.flatnonzero(np.append(True, cells[1:] != cells[:-1])), len(cells))
+        return pa.concat_tables([each_cell(table.slice(a, b - a).combine_chunks()) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    # sets are dealt once, by the group of their cell, where the list of documents can be broadcast; else only wanted sets are dealt by key
+    held = held.select("key", to)
+    listed = most <= BROADCAST_BYTES
+    held = held if listed else held.join(small(sent.select("key").distinct(), 8), "key", "left_semi")
+    whole = held.join(F.broadcast(sent) if listed else sent, "key").withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups)).cast("int"))
+    return whole.repartition(groups, "group").groupBy("group").applyInArrow(compare, schema)
+
+
+def _linked(sent: DataFrame, held: DataFrame, percent: int, tables: Scratch) -> DataFrame:
+    """(a, b): similar pairs of each cell, of a document of side 0 or 2 with one of side 1 or 2.
+
+    sent: cell, key, size, side, class, tokens; documents without tokens are compared without counting shared ones.
+    Documents that no sketch of their cell is near to stay behind before whole sets are sent.
+    """
+    columns = ["cell", "key", "size", "side", "class", "tokens"]
+    types = dict(sent.dtypes)
+    near = _grouped(sent, held, "sketch", ", ".join(f"{c} {types[c]}" for c in columns), lambda cell: cell.select(columns).filter(pa.array(possible(cell, percent))))
+    near = tables.write(near, "sent")
+    return _grouped(near, held, "held", "a long, b long", lambda cell: pa.table([as_long(x) for x in similar(cell, percent)], ["a", "b"])).distinct()
 
-    whole = sent.join(held, "key").withColumn("group", F.pmod(F.xxhash64("cell"), F.lit(groups)).cast("int"))
-    found = whole.repartition(groups, "group").groupBy("group").applyInArrow(compare, "a long, b long")
-    return found.distinct()
+
+def _met(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a cell, the place of each document's tokens among them, and of each document the first and their number."""
+    own = [np.asarray(t.values.to_numpy() if t.is_valid else (), np.int64) for t in cell.column("tokens")]
+    n = np.array([len(t) for t in own])
+    names, met = np.unique(np.concatenate(own), return_inverse=True)
+    return names, met, np.cumsum(n) - n, n
 
 
 def similar(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of similar pairs of different classes in one cell: enough to connect all that are similar there, so that
     a cell gives fewer links than it has documents."""
     keys, size, side, classes = (cell.column(c).to_numpy() for c in ("key", "size", "side", "class"))
-    own = [np.asarray(t.values.to_numpy() if t.is_valid else (), np.int64) for t in cell.column("tokens")]
-    n = np.array([len(t) for t in own])
-    first = np.cumsum(n) - n
-    names, met = np.unique(np.concatenate(own), return_inverse=True)
-    demand = (keys & (LEVELS - 1)) + 1
+    demand, (names, met, first, n) = (keys & (LEVELS - 1)) + 1, _met(cell)
     words = [np.frombuffer(s.as_buffer(), U) for s in cell.column("held")]
     start = np.cumsum(size) - size
     every, places = np.unique(np.concatenate(words), return_inverse=True)
