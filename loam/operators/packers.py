@@ -166,9 +166,10 @@ def slide_packs(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
 
 
 def object_packs(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """Entries of a JSON object as `key: value`, with keys; texts that are none are packed by sentences, without keys."""
+    """Entries of a JSON object as `key: value`, without blanks and line ends at their ends, with keys; texts that are none are packed by sentences, without keys."""
     entries = F.map_entries(F.from_json(text, "map<string,string>"))
-    own = F.filter(F.transform(entries, lambda e: unit(F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null"))), label=e["key"])), lambda u: u["n"] > 0)
+    entry = lambda e: F.btrim(F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("null"))), F.lit(" \n"))
+    own = F.filter(F.transform(entries, lambda e: unit(entry(e), label=e["key"])), lambda u: u["n"] > 0)
     return packs(docs, F.when(F.size(entries) > 0, own).otherwise(sentences(F.col(text), turns=True)), size, "\n", semantic=True).withColumn("keys", F.filter("labels", lambda x: x.isNotNull()))
 
 

@@ -50,6 +50,25 @@ def test_slides_objects_items_and_rows(spark):
     assert chunks(P.row_packs(frame(spark, "h,i\na b\nc d\n\ne f", "lone"), 7), "start_row", "end_row", "has_header") == [("h,i\na b\nc d", 1, 2, True), ("h,i\ne f", 3, 3, True), ("lone", 1, 1, False)]
 
 
+def test_entries_without_blanks_at_their_ends(spark):
+    assert chunks(P.object_packs(frame(spark, '{"k": "a b ", " l": " ", "m": "", "n": "c\\n"}'), 10), "keys") == [("k: a b\nl:\nm:\nn: c", ["k", " l", "m", "n"])]
+
+
+def test_blank_lines_of_objects_as_in_their_sql(spark, monkeypatch):
+    import duckdb
+
+    from loam.plans import packers as Q
+    from loam.plans.registry import ORACLES
+
+    texts = ["", " ", "a\n\nb", "a b \nc", "a\nb\n", " a\n\n \nb", "a\t\nb", None]
+    monkeypatch.setattr(Q, "docs", lambda *_: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    own = duckdb.connect()
+    own.execute("CREATE TABLE documents AS SELECT unnest(range(len($t))) AS doc_id, unnest($t::VARCHAR[]) AS text", {"t": texts})
+    got = Q.pack_objects(spark, "")
+    want = own.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['pack_objects']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_chapters_keep_titles(spark):
     from pyspark.sql import functions as F
 
