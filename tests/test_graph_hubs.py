@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from loam.operators import graph
 
 
@@ -23,6 +25,45 @@ def test_similarity_of_neighbours(spark):
         assert {(r.a, r.b, r.members_a, r.members_b, r.similarity) for r in got} == want and len(got) == len(want)
 
 
+def hubs(draw, names, neighbours, of):
+    """Sets of neighbours drawn at random, every third one like the one before it."""
+    sets: list[set] = []
+    for i in range(names):
+        own = set(draw.sample(range(of), draw.randrange(*neighbours)))
+        sets.append(set(draw.sample(sorted(sets[-1]), int(0.8 * len(sets[-1])))) | {of + i} if i % 3 == 2 else own)
+    return [(f"h{i:03}", f"n{j:04}") for i, own in enumerate(sets) for j in own]
+
+
+@pytest.mark.parametrize(("large", "cell"), [(0, 64), (20, 512)])
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.75])
+def test_sketches_lose_no_pair(spark, monkeypatch, large, cell, least):
+    monkeypatch.setattr(graph, "LARGE", large)
+    monkeypatch.setattr(graph, "CELL", cell)
+    pairs = hubs(random.Random(8), 40, (1, 90), 150)
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    first: dict = {}
+    for name in sorted(near):
+        first.setdefault(frozenset(near[name]), name)
+    names = sorted(first.values())
+    want = {(a, b, round(len(near[a] & near[b]) / len(near[a] | near[b]), 6)) for a in names for b in names if a < b and len(near[a] & near[b]) >= least * len(near[a] | near[b])}
+    got = [(r.a, r.b, r.similarity) for r in graph.neighbour_similarity(spark.createDataFrame(pairs, "src string, dst string"), least).collect()]
+    assert set(got) == want and len(got) == len(want) and want
+
+
+@pytest.mark.parametrize("neighbours", [(20, 60), (150, 200)])
+def test_unlike_hubs_are_not_counted(spark, monkeypatch, neighbours):
+    """Sketches rule out nearly all pairs of hubs that have a rare neighbour in common before all of their neighbours are joined."""
+    kept, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    pairs = hubs(random.Random(4), 90, neighbours, 600)
+    graph.neighbour_similarity(spark.createDataFrame(pairs, "src string, dst string"), 0.5).collect()
+    counted = [df.where("x like 'h%'").count() for df in kept if {"x", "y", "met"} <= set(df.columns)]
+    assert len(counted) == 1 and 30 <= counted[0] <= 100
+
+
 def test_components_of_hubs(spark):
     pairs = [("hub", f"n{i:03}") for i in range(100)] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(20)]
     got = {r["name"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "src string, dst string")).collect()}
