@@ -16,9 +16,10 @@ from .vectors import matrix, usable, width_of
 
 SLACK = 1e-3  #: cosines of half-precision unit vectors are off by less
 MEMBERS = 1024  #: rows of a bucket aimed at
-NAMED = 8  #: alike rows that one search of a bucket names for a row
+NAMED = 8  #: alike rows that the first search of a bucket names for a row
+SETTLED = 1 << 18  #: rows, of pairs and classes still open, that are settled at once and not by rounds
 PAIR = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("age", pa.int64()), ("sure", pa.bool_()), ("cut", pa.bool_())])
-BUCKET = "bucket long, age long, id long, open boolean, half binary"
+BUCKET = "bucket long, age long, id long, open boolean, leads boolean, half binary"
 
 
 def tables_needed(rows: int, least: float, miss: float) -> tuple[int, int]:
@@ -29,7 +30,7 @@ def tables_needed(rows: int, least: float, miss: float) -> tuple[int, int]:
 
 
 def bucket_rows(batches: Iterator[pa.RecordBatch], planes: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, age, id, open, half) of (id, age, v, open): each vector once for every table of planes, in half precision."""
+    """(bucket, age, id, open, leads, half) of (id, age, v, open, leads): each vector once for every table of planes, in half precision."""
     tables, bits, _ = planes.shape
     for b in batches:
         if not b.num_rows:
@@ -39,34 +40,43 @@ def bucket_rows(batches: Iterator[pa.RecordBatch], planes: np.ndarray, width: in
         keys = (side << np.arange(bits)).sum(axis=2).astype(np.int64)
         half = pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())
         for t in range(tables):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, t] | (t << 32)), b["age"], b["id"], b["open"], half], names=["bucket", "age", "id", "open", "half"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, t] | (t << 32)), b["age"], b["id"], b["open"], b["leads"], half], names=["bucket", "age", "id", "open", "leads", "half"])
 
 
 def newest_alike(batches: Iterator[pa.RecordBatch], least: float, named: int) -> Iterator[pa.RecordBatch]:
     """(u, w, age, sure, cut) of buckets that come in order, newest first: for each open row the newest `named` before it that
-    are surely alike, the last of them marked as the cut, and those up to there which may be."""
+    are surely alike, the last of them marked as the cut, and those up to there which may be. One surely alike that leads ends the
+    list without a cut: whatever is older decides nothing."""
     held: list[pa.RecordBatch] = []
     last = None
 
     def found() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
-        ids, ages, wanted = rows["id"].to_numpy(), rows["age"].to_numpy(), rows["open"].to_numpy()
+        ids, ages, wanted, leading = (rows[c].to_numpy() for c in ("id", "age", "open", "leads"))
         v = np.frombuffer(b"".join(rows["half"].to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
         for a in range(0, len(ids), 256):
             mine = a + np.flatnonzero(wanted[a : a + 256])
             need = np.full(len(mine), named)
-            for c in range(0, a + 256, 4096):
+            for c in range(0, min(a + 256, len(ids)), 4096):
                 if not len(mine):
                     break
-                scores = v[mine] @ v[c : c + 4096].T
-                scores[np.arange(c, c + scores.shape[1]) >= mine[:, None]] = -2  # newer ones only
-                sure = scores >= least + SLACK
-                count = sure.cumsum(axis=1)
-                i, j = np.nonzero((scores >= least - SLACK) & (count - sure < need[:, None]))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine[i]]), pa.array(ids[c + j]), pa.array(ages[c + j]), pa.array(sure[i, j]), pa.array(sure[i, j] & (count[i, j] == need[i]))], schema=PAIR)
-                need = need - count[:, -1]
-                mine, need = mine[need > 0], need[need > 0]
+                scores = v[mine] @ v[c : min(c + 4096, a + 256)].T
+                i, j = np.divmod(np.flatnonzero(scores.ravel() >= least - SLACK), scores.shape[1])  # few, by row: all that follows is about these
+                newer = c + j < mine[i]
+                i, j = i[newer], j[newer]
+                sure = scores[i, j] >= least + SLACK
+                ends = sure & leading[c + j]
+                first = np.searchsorted(i, np.arange(len(mine)))
+                upto = lambda of: (n := np.cumsum(of)) - np.concatenate(([0], n))[first][i]  # of one row, itself with them  # noqa: B023, E731
+                count = upto(sure)
+                named_too = (count - sure < need[i]) & (upto(ends) == ends)  # none before it leads
+                if named_too.any():
+                    x, y = i[named_too], c + j[named_too]
+                    last = sure & (count == need[i]) & ~ends
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine[x]]), pa.array(ids[y]), pa.array(ages[y]), pa.array(sure[named_too]), pa.array(last[named_too])], schema=PAIR)
+                need = need - np.bincount(i[sure], minlength=len(mine))
+                more = (need > 0) & (np.bincount(i[ends], minlength=len(mine)) == 0)
+                mine, need = mine[more], need[more]
 
     for b in batches:
         bucket = b["bucket"].to_numpy()
@@ -83,9 +93,8 @@ def newest_alike(batches: Iterator[pa.RecordBatch], least: float, named: int) ->
         yield from found()
 
 
-def searched(rows: DataFrame, vectors: DataFrame, least: float, held: Scratch) -> DataFrame:
+def searched(rows: DataFrame, vectors: DataFrame, least: float, held: Scratch, named: int) -> DataFrame:
     """(u, w, age, cut) of bucket rows: pairs alike, w newer; of a row with a cut those up to its newest cut, which are all there are."""
-    named = NAMED
     ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "age", "id")
     pairs = ordered.mapInArrow(lambda part: newest_alike(part, least, named), "u long, w long, age long, sure boolean, cut boolean")
     pairs = held.write(pairs.groupBy("u", "w", "age").agg(F.max("sure").alias("sure"), F.max("cut").alias("cut")), "met")
@@ -98,6 +107,30 @@ def searched(rows: DataFrame, vectors: DataFrame, least: float, held: Scratch) -
     return out
 
 
+def settled(classes: pa.Table, pairs: pa.Table) -> tuple[pa.Table, pa.Table, pa.Table]:
+    """All rounds at once: (id, leader) of the classes (id, age, cut) that pairs (u, w, age, leads) decide, (id, cut) of the others and their pairs that are left."""
+    classes, pairs = classes.sort_by([("age", "ascending"), ("id", "ascending")]), pairs.sort_by([("u", "ascending"), ("age", "ascending"), ("w", "ascending")])
+    u, w, leads = (pairs[c].to_numpy() for c in ("u", "w", "leads"))
+    ids = classes["id"].to_numpy()
+    first, end = (np.searchsorted(u, ids, side=x).tolist() for x in ("left", "right"))
+    w, leads = w.tolist(), leads.tolist()
+    leader: dict[int, int] = {}  # newest first, so that all that a class may join are known before it, or wait
+    for i, cut, a, z in zip(ids.tolist(), classes["cut"].to_pylist(), first, end, strict=True):
+        while a < z and not leads[a] and leader.get(w[a], w[a]) != w[a]:
+            a += 1
+        if a == z:
+            if not cut:
+                leader[i] = i
+        elif leads[a] or w[a] in leader:
+            leader[i] = w[a]
+    leads_now = [x or leader.get(j) == j for x, j in zip(leads, w, strict=True)]
+    kept = np.array([i not in leader and (x or j not in leader) for i, j, x in zip(u.tolist(), w, leads_now, strict=True)], bool)
+    decided = pa.table({"id": pa.array(leader.keys(), pa.int64()), "leader": pa.array(leader.values(), pa.int64())})
+    waiting = np.array([i not in leader for i in ids.tolist()], bool)
+    left = pairs.set_column(pairs.schema.get_field_index("leads"), "leads", pa.array(leads_now, pa.bool_())).select(["u", "w", "age", "leads"])
+    return decided, classes.select(["id", "cut"]).filter(pa.array(waiting)), left.filter(pa.array(kept))
+
+
 def grouped_by_leader(memories: DataFrame, least: float = 0.95, miss: float = 1e-4, seed: int = 3) -> DataFrame:
     """(id, leader, similarity): the group of every memory (id, created_at, v) with a vector; a leader leads itself.
 
@@ -107,9 +140,10 @@ def grouped_by_leader(memories: DataFrame, least: float = 0.95, miss: float = 1e
 
     Equal vectors are one class from the start, as the newest of them decides for all. Classes meet in buckets of sign bits once; a pair at
     `least` is missed with probability `miss` at most. A bucket names the newest NAMED classes alike of each class. Rounds over these pairs
-    alone follow: a class whose newest one alike that is in no other's group leads joins it, without one it leads, else it waits. One
-    that has run out of a list that was cut is searched for again, in its buckets only, among those that are open or lead. A bucket's
-    vectors (2 bytes a value) are held by one task.
+    alone follow: a class whose newest one alike that is in no other's group leads joins it, without one it leads, else it waits. Once
+    SETTLED rows or fewer are open, they are settled at once. Where all that are open wait, those whose list was cut are searched for again, in their
+    buckets only, among those that are open or lead, up to the first that leads or to eight times as many as before. A bucket's vectors
+    (2 bytes a value) are held by one task.
     """
     spark, held = memories.sparkSession, Scratch(memories.sparkSession)
     age = F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(2**62))
@@ -126,33 +160,42 @@ def grouped_by_leader(memories: DataFrame, least: float = 0.95, miss: float = 1e
     planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
     vectors = classes.select("id", "age", "v")
     dealt = lambda some: some.mapInArrow(lambda part: bucket_rows(part, planes, width), BUCKET)
-    pairs = searched(dealt(vectors.withColumn("open", F.lit(True))), vectors, least, held)
-    open_ = classes.select("id").join(pairs.where("cut").select(F.col("u").alias("id"), "cut").distinct(), "id", "left").select("id", F.coalesce("cut", F.lit(False)).alias("cut"))
-    pairs, done = pairs.select("u", "w", "age", F.lit(False).alias("leads")), None
+    of_search = lambda some, open_, leads: some.select("id", "age", "v", F.lit(open_).alias("open"), F.lit(leads).alias("leads") if isinstance(leads, bool) else leads)
+    cut_of = lambda some, met: some.join(met.where("cut").select(F.col("u").alias("id"), "cut").distinct(), "id", "left").select("id", F.coalesce("cut", F.lit(False)).alias("cut"))
+    named = NAMED
+    pairs = searched(dealt(of_search(vectors, True, False)), vectors, least, held, named)
+    open_, done = held.write(cut_of(classes.select("id"), pairs), "open"), None
+    pairs = held.write(pairs.select("u", "w", "age", F.lit(False).alias("leads")), "left")
     while True:
-        best = pairs.groupBy(F.col("u").alias("id")).agg(F.min(F.struct("age", "w", "leads")).alias("x"))
-        seen = held.write(open_.join(best, "id", "left").select("id", "cut", "x.w", F.coalesce("x.leads", F.lit(False)).alias("leads")), "round")
-        alone = F.col("w").isNull() & ~F.col("cut")
-        decided = held.write(seen.where(alone | F.col("leads")).select("id", F.when(alone, F.col("id")).otherwise(F.col("w")).alias("leader")), "joined")
+        few = open_.count() + pairs.count() <= SETTLED
+        if few:
+            parts = settled(open_.join(classes.select("id", "age"), "id").select("id", "age", "cut").toArrow(), pairs.toArrow())
+            decided, open_, pairs = (spark.createDataFrame(part) for part in parts)
+            decided = held.write(decided, "joined")
+        else:
+            best = pairs.groupBy(F.col("u").alias("id")).agg(F.min(F.struct("age", "w", "leads")).alias("x"))
+            seen = held.write(open_.join(best, "id", "left").select("id", "cut", "x.w", F.coalesce("x.leads", F.lit(False)).alias("leads")), "round")
+            alone = F.col("w").isNull() & ~F.col("cut")
+            decided = held.write(seen.where(alone | F.col("leads")).select("id", F.when(alone, F.col("id")).otherwise(F.col("w")).alias("leader")), "joined")
+            open_ = seen.where(~alone & ~F.col("leads")).select("id", "cut")
+            now = decided.select(F.col("id").alias("w"), (F.col("id") == F.col("leader")).alias("now"))
+            left = pairs.join(open_.select(F.col("id").alias("u")), "u", "left_semi").join(now, "w", "left").where(F.coalesce("now", F.lit(True)))
+            pairs = left.select("u", "w", "age", F.coalesce("now", "leads").alias("leads"))
+        open_, pairs = held.write(open_, "open"), held.write(pairs, "left")
         done = decided if done is None else done.union(decided)
-        open_ = seen.where(~alone & ~F.col("leads")).select("id", "cut")
         if open_.isEmpty():
             break
-        left = pairs.join(open_.select(F.col("id").alias("u")), "u", "left_semi")
-        if not decided.isEmpty():
-            now = decided.select(F.col("id").alias("w"), (F.col("id") == F.col("leader")).alias("now"))
-            left = left.join(now, "w", "left").where(F.coalesce("now", F.lit(True))).select("u", "w", "age", F.coalesce("now", "leads").alias("leads"))
-        else:  # all that are open wait for some whose list was cut
-            short = seen.where(F.col("w").isNull()).select("id")
-            leading = done.where("id = leader").select("id", F.lit(True).alias("leads"))
-            status = held.write(leading.union(open_.select("id", F.lit(False))), "status")
-            again = vectors.join(short, "id", "left_semi").withColumn("open", F.lit(True))
+        if few or decided.isEmpty():  # all that are open wait for some whose list was cut: these see further, and no further than to one that leads
+            named *= 8
+            short = open_.where("cut").select("id")
+            status = held.write(done.where("id = leader").select("id", F.lit(True).alias("leads")).union(open_.select("id", F.lit(False))), "status")
+            again = of_search(vectors.join(short, "id", "left_semi"), True, False)
+            others = of_search(vectors.join(short, "id", "left_anti").join(status, "id"), False, F.col("leads"))
             touched = dealt(again).select("bucket").distinct()
-            others = vectors.join(status, "id", "left_semi").join(short, "id", "left_anti").withColumn("open", F.lit(False))
-            new = searched(dealt(again.union(others)).join(touched, "bucket", "left_semi"), vectors, least, held)
-            open_ = held.write(open_.join(short, "id", "left_anti").union(short.join(new.where("cut").select(F.col("u").alias("id"), "cut").distinct(), "id", "left").select("id", F.coalesce("cut", F.lit(False)))), "open")
-            left = left.select("u", "w", "age", "leads").union(new.join(status.withColumnRenamed("id", "w"), "w").select("u", "w", "age", "leads"))
-        pairs = held.write(left.select("u", "w", "age", "leads"), "left")
+            new = searched(dealt(again.union(others)).join(touched, "bucket", "left_semi"), vectors, least, held, named)
+            found = new.join(status.withColumnRenamed("id", "w"), "w").select("u", "w", "age", "leads")
+            left = pairs.join(short.withColumnRenamed("id", "u"), "u", "left_anti").select("u", "w", "age", "leads")
+            open_, pairs = held.write(open_.where("not cut").union(cut_of(short, new)), "open"), held.write(left.union(found), "left")
     joined = done.where("id <> leader").join(vectors.select("id", F.col("v").alias("a")), "id").join(vectors.select(F.col("id").alias("leader"), F.col("v").alias("b")), "leader")
     done = joined.select("id", "leader", cosine("a", "b").alias("similarity")).union(done.where("id = leader").select("id", "leader", F.lit(1.0)))
     of_class = classes.select("h", "g", F.col("id").alias("class")).join(done.withColumnRenamed("id", "class"), "class")
